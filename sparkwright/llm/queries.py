@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, token_counts
+from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -29,6 +29,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.class_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 5) == 0
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main(table(spark, sf_dir, "pages"))
 
@@ -41,7 +51,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op6_bpe, op10_html)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op6_bpe, op8_ngram_jaccard, op9_toxicity, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
