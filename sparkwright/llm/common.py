@@ -91,7 +91,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n; kept up to two blocks' length."""
+    """base**i and base**-i modulo 2**64 for i <= n; kept up to four blocks' length."""
     key = int(base)
     if key in _POWERS and len(_POWERS[key][0]) > n:
         return _POWERS[key]
@@ -100,7 +100,7 @@ def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
     up[0] = down[0] = 1
     made = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if size <= 4 * BLOCK_BYTES:
+    if size <= 4 * BLOCK_BYTES + (1 << 17):
         _POWERS[key] = made
     return made
 
