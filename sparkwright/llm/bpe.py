@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 240_000
+CACHE = 500_000
 LONG_PIECE = 4096
 _MODELS: dict[str, "Bpe"] = {}
 
