@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, suffix_dedup, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -37,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.class_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -59,7 +63,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op8_ngram_jaccard, op9_toxicity, op10_html)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
