@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, lowered, span_hash, word_spans
 
@@ -312,13 +313,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """Learns from labelled training rows and scores every document."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_toxic"))
+def _learn(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str, text_col: str, per_class: int) -> Model:
+    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.filter(is_training).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # which documents to read is settled on ids alone; their texts are taken by a broadcast of at most about 2 * per_class ids
+    # which documents to read is settled on ids alone; their texts are taken by a broadcast of about 3 * per_class ids
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("_toxic") == 1, min(1.0, 1.5 * per_class / max(sizes.get(1, 1), 1))).otherwise(min(1.0, 1.5 * per_class / max(sizes.get(0, 1), 1)))
     picked = rows.join(F.broadcast(known.filter(place < share)), rows["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
-    return score(docs, fit(picked, "doc_id", "text", "toxic", per_class), id_col, text_col)
+    return fit(picked, "doc_id", "text", "toxic", per_class)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """Learns from labelled training rows and scores every document: doc_id and score."""
+    return score(docs, _learn(docs, labels, is_training, id_col, text_col, per_class), id_col, text_col)
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+    """Learns likewise and returns whole rows with a column ``score``, without a join."""
+    model = _learn(docs, labels, is_training, id_col, text_col, per_class)
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(model.scores(batch.column(at)), pa.float64())], names=[*batch.schema.names, "score"])
+
+    return docs.mapInArrow(run, schema)
