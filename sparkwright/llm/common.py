@@ -7,6 +7,9 @@ a time (a single longer document is a block of its own).  A null text is empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows in an Arrow batch, where the session has Spark's default (10,000 whole texts take too much of an executor's memory).
+BATCH_ROWS = 1000
 
 #: The white space of the contracts: 0x20 and 0x09-0x0D.
 _SPACE = np.zeros(256, dtype=bool)
@@ -54,6 +59,19 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def gathered(batches, rows: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """Columns of numbers, from so many small batches that they are worth a call of numpy."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(waiting).columns]
+            waiting, n = [], 0
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(waiting).columns]
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document) of the words ``[^\\x20\\x09-\\x0D]+``; none crosses documents."""
     n = len(raw)
@@ -91,7 +109,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n; kept up to four blocks' length."""
+    """base**i and base**-i modulo 2**64 for i <= n; kept up to eight blocks' length."""
     key = int(base)
     if key in _POWERS and len(_POWERS[key][0]) > n:
         return _POWERS[key]
@@ -100,7 +118,7 @@ def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
     up[0] = down[0] = 1
     made = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if size <= 4 * BLOCK_BYTES + (1 << 17):
+    if size <= 8 * BLOCK_BYTES + (1 << 17):
         _POWERS[key] = made
     return made
 
@@ -114,7 +132,15 @@ def prefix_hash(raw: np.ndarray, base: np.uint64 = _R1) -> tuple[np.ndarray, np.
 
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _R1) -> np.ndarray:
-    """64-bit hashes of byte spans."""
+    """64-bit hashes of byte spans; of long texts with spans in order, a stretch at a time."""
+    if len(raw) > 8 * BLOCK_BYTES and len(starts) > 1 and (np.diff(starts) >= 0).all() and int((ends - starts).max()) < BLOCK_BYTES:
+        cuts = np.searchsorted(starts, np.arange(0, len(raw) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                low = starts[a]
+                parts.append(span_hash(raw[low : ends[a:b].max()], starts[a:b] - low, ends[a:b] - low, base))
+        return np.concatenate(parts)
     sums, down = prefix_hash(raw, base)
     value = (sums[ends] - sums[starts]) * down[starts]
     return mix64(value ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
@@ -139,6 +165,7 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/sparkwright-{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
@@ -152,7 +179,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that a fit on the driver used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

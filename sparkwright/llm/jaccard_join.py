@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, lowered, mix64, span_hash, word_spans
+from .common import Scratch, blocks, gathered, lowered, mix64, span_hash, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -230,8 +230,8 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def shared(batches):
         """Rows of hashes that two sets have, counted by set; runs may go on from batch to batch."""
         held = None
-        for batch in batches:
-            now = [np.concatenate([a, b]) if held else b for a, b in zip(held or [None] * 3, (c.to_numpy(zero_copy_only=False) for c in batch.columns), strict=True)]
+        for columns in gathered(batches):
+            now = [np.concatenate([a, b]) if held else b for a, b in zip(held or [None] * 3, columns, strict=True)]
             h, flag, ka = now
             if not len(h):
                 continue
@@ -279,8 +279,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def neighbours(batches):
         """Edges between neighbours in size within a run of equal hashes, while their sizes can link."""
         last = None
-        for batch in batches:
-            h, n, d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for h, n, d in gathered(batches):
             if last is not None:
                 h, n, d = (np.concatenate([[x], y]) for x, y in zip(last, (h, n, d), strict=True))
             if not len(h):

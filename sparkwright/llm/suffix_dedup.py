@@ -41,21 +41,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, mix64, prefix_hash, second_base, span_hash
+from .common import Scratch, blocks, gathered, mix64, prefix_hash, second_base, span_hash
 
 LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM + 1
 HOT = 200_000
-CHUNK_BYTES = 4 << 20
-BROADCAST_SPANS = 4_000_000  # 8 bytes each
+CHUNK_BYTES = 2 << 20
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    y, n = x, 1
-    while 2 * n <= width:
-        y, n = np.minimum(y[:-n], y[n:]), 2 * n
-    return np.minimum(y[: len(y) - (width - n)], y[width - n :]) if n < width else y
+def _sliding_min(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least value, its offset) of each window; of equal values the leftmost counts, so it depends on the window's content alone."""
+    y, at, n = x, np.zeros(len(x), np.uint8), 1
+    while n < width:
+        step = min(n, width - n)
+        left, right = y[:-step], y[step:]
+        at = np.where(left <= right, at[:-step], at[step:] + np.uint8(step))
+        y, n = np.minimum(left, right), n + step
+    return y, at
 
 
 def gram_hash(raw: np.ndarray) -> np.ndarray:
@@ -71,18 +74,15 @@ def stretches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(raw) < LENGTH:
         return none.astype(np.uint64), none, none, none
     place = np.arange(len(raw))
-    key = (gram_hash(raw) & ~np.uint64(63)) | (place & 63).astype(np.uint64)
-    least = _sliding_min(key, REACH)[: len(raw) - LENGTH + 1]
+    least, at = (x[: len(raw) - LENGTH + 1] for x in _sliding_min(gram_hash(raw), REACH))
     ends = np.repeat(off[1:], np.diff(off))[: len(least)]
     valid = place[: len(least)] + LENGTH <= ends
     new = valid.copy()
-    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    new[1:] &= ~valid[:-1] | (at[1:] + np.uint8(1) != at[:-1])
     first = np.flatnonzero(new)
     # a stretch ends where the next begins or where windows stop being valid
     stop = np.flatnonzero(np.append(valid[:-1] & (~valid[1:] | new[1:]), valid[-1])) + 1
-    at = least[first]
-    anchor = first + (((at & np.uint64(63)).astype(np.int64) - first) & 63)
-    return at & ~np.uint64(63), first, stop - first, anchor
+    return least[first], first, stop - first, first + at[first]
 
 
 def pack(start, windows, anchor):
@@ -287,13 +287,8 @@ def _spans(d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.repeat(d[first], pieces)), pa.array(pack(begin, width, 0))], names=["doc_id", "p"])
 
 
-def _with_spans(docs: DataFrame, lists: DataFrame, spans: int, how: str) -> DataFrame:
-    """Documents beside their lists; the lists are broadcast while they are small (the count is known), else shuffled."""
-    return docs.join(F.broadcast(lists) if spans <= BROADCAST_SPANS else lists, "doc_id", how)
-
-
-def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, DataFrame]:
-    """((doc_id, spans array of packed windows), number of spans, (doc_id) of whole copies)."""
+def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, array of packed windows), (doc_id) of whole copies)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     digests = scratch.keep(docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("k"), F.md5(F.col("text").cast("binary")).alias("m")), "digests")
@@ -326,8 +321,8 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, Da
 
     def meet(batches):
         meetings = Meetings()
-        for batch in batches:
-            yield from meetings.feed(*(c.to_numpy() for c in batch.columns))
+        for columns in gathered(batches):
+            yield from meetings.feed(*columns)
         yield from meetings.finish()
 
     met = scratch.keep(rows.repartition(parts, "h").sortWithinPartitions("h", "u", "doc_id").mapInArrow(meet, "gone boolean, h long, doc_id long, p long"), "met")
@@ -351,7 +346,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, Da
                 last = first + windows - 1 + LENGTH
                 ok = last <= off[1:][row]  # rows that repeat a doc_id may be shorter
                 row, p, first, last, anchor = row[ok], p[ok], first[ok], last[ok], anchor[ok]
-                h = (gram_hash(raw)[first + anchor] & ~np.uint64(63)).view(np.int64)
+                h = gram_hash(raw)[first + anchor].view(np.int64)
                 size = last - first
                 where = np.concatenate([[0], np.cumsum(size)])
                 ids = part.column(0).to_numpy()[row]
@@ -361,7 +356,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, Da
                     bytes_ = pa.Array.from_buffers(pa.binary(), j - k, [None, pa.py_buffer((where[k : j + 1] - where[k]).astype(np.int32)), pa.py_buffer(data)])
                     yield pa.record_batch([pa.array(h[k:j]), pa.array(ids[k:j]), pa.array(p[k:j]), bytes_], names=["h", "doc_id", "p", "bytes"])
 
-    held = _with_spans(docs.select("doc_id", "text"), lists, size, "inner").select("doc_id", "text", "ps").mapInArrow(contents, "h long, doc_id long, p long, bytes binary")
+    held = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "ps").mapInArrow(contents, "h long, doc_id long, p long, bytes binary")
     held = scratch.keep(held, "held")
     cold_rows = held.join(F.broadcast(hot), "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h")
 
@@ -405,7 +400,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, Da
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     by_hash = windows.join(least, ["a", "b"]).filter("doc_id > least").select("doc_id", F.expr("shiftleft(s, 16) + 256").alias("p"))
     spans = scratch.keep(whole.unionByName(cold).unionByName(by_hash).join(copies, "doc_id", "left_anti").distinct(), "spans")
-    return spans.groupBy("doc_id").agg(F.collect_list("p").alias("ps")), spans.count(), copies
+    return spans.groupBy("doc_id").agg(F.collect_list("p").alias("ps")), copies
 
 
 def _binary(column) -> tuple[np.ndarray, np.ndarray]:
@@ -432,9 +427,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document n_bytes, n_removed, n_spans and kept_sha256; with ``contents`` also the kept bytes and removed spans."""
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lists, spans, copies = removed_spans(docs, scratch)
+    lists, copies = removed_spans(docs, scratch)
     marks = lists.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("ps"), F.lit(True).alias("copy")))
-    total = spans + copies.count()
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<long>>" if contents else "")
 
     def finish(batches):
@@ -470,4 +464,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.list_(pa.int64()))}
             yield pa.record_batch([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
-    return _with_spans(docs, marks, total, "left").select("doc_id", "text", "ps", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(finish, schema)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "ps", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(finish, schema)
