@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, lowered, span_hash, word_spans
+from .common import blocks, lowered, release, span_hash, word_spans
 
 WINDOW, STRIDE = 32, 16
 PER_CLASS = 1500
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
 BATCH = 2048
+TRAIN_BYTES = 1 << 20
 
 
 class Words:
@@ -55,11 +56,20 @@ class Words:
         self.grams = ((mixed * np.uint32(668265263)) >> np.uint32(32 - CHAR_ROWS.bit_length() + 1)).astype(np.int64)
         self.gram_start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
-    def inputs(self, net: dict) -> np.ndarray:
-        if not len(self.row):
-            return np.zeros((0, 2 * DIM), np.float32)
-        sums = np.add.reduceat(net["chars"][self.grams], self.gram_start[:-1], axis=0)
-        return np.concatenate([net["words"][self.row], sums / np.diff(self.gram_start)[:, None].astype(np.float32)], axis=1)
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trigram rows, how many of them each word has) of some words."""
+        size = np.diff(self.gram_start)[words]
+        total = np.cumsum(size)
+        return self.grams[np.repeat(self.gram_start[words] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)], size
+
+    def inputs(self, net: dict, words: np.ndarray | None = None) -> np.ndarray:
+        words = np.arange(len(self.row)) if words is None else words
+        out = np.zeros((len(words), 2 * DIM), np.float32)
+        out[:, :DIM] = net["words"][self.row[words]]
+        for lo in range(0, len(words), 20_000):
+            grams, size = self.grams_of(words[lo : lo + 20_000])
+            out[lo : lo + 20_000, DIM:] = np.add.reduceat(net["chars"][grams], np.cumsum(size) - size, axis=0) / size[:, None].astype(np.float32)
+        return out
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +165,7 @@ def gradients(net: dict, words: Words, index: np.ndarray, real: np.ndarray, labe
     """Of the mean cross-entropy of some windows."""
     used, at = np.unique(words.token[index], return_inverse=True)
     at = at.reshape(index.shape)
-    x = words.inputs(net)[used]
+    x = words.inputs(net, used)
     tape: dict = {}
     logit = window_logits(net, projections(net, x), at, real, tape)
     steps, n = at.shape
@@ -191,27 +201,28 @@ def gradients(net: dict, words: Words, index: np.ndarray, real: np.ndarray, labe
                 np.add.at(dx, at[t], d @ net[f"W{gate}{side}"].T)
             dh = back
     g["word rows"], g["word grads"] = words.row[used], dx[:, :DIM]
-    size = np.diff(words.gram_start)[used]
-    take = np.concatenate([words.grams[words.gram_start[u] : words.gram_start[u + 1]] for u in used])
-    g["char rows"], g["char grads"] = take, np.repeat(dx[:, DIM:] / size[:, None], size, axis=0)
+    g["char rows"], size = words.grams_of(used)
+    g["char grads"] = np.repeat(dx[:, DIM:] / size[:, None], size, axis=0)
     return g
 
 
-def _start_from_log_odds(net: dict, words: Words, labels: np.ndarray) -> None:
-    doc = np.repeat(np.arange(len(words.counts)), words.counts)
-    for name, rows_of, size in (("words", None, WORD_ROWS), ("chars", True, CHAR_ROWS)):
-        if rows_of is None:
-            pairs = np.unique(doc * np.int64(size) + words.row[words.token])
-        else:
-            each = np.unique(doc * np.int64(len(words.row)) + words.token)
-            d, u = each // len(words.row), each % len(words.row)
-            n = np.diff(words.gram_start)[u]
-            at = np.repeat(words.gram_start[u] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            pairs = np.unique(np.repeat(d, n) * np.int64(size) + words.grams[at])
-        d, row = pairs // size, pairs % size
-        bad = np.bincount(row, weights=labels[d], minlength=size)
-        good = np.bincount(row, weights=1 - labels[d], minlength=size)
-        nb, ng = max(labels.sum(), 1), max((1 - labels).sum(), 1)
+def _start_from_log_odds(net: dict, parts: list[Words], labels: list[np.ndarray]) -> None:
+    everything = np.concatenate(labels)
+    nb, ng = max(everything.sum(), 1), max((1 - everything).sum(), 1)
+    for name, size in (("words", WORD_ROWS), ("chars", CHAR_ROWS)):
+        bad, good = np.zeros(size), np.zeros(size)
+        for words, y in zip(parts, labels, strict=True):
+            doc = np.repeat(np.arange(len(words.counts)), words.counts)
+            if name == "words":
+                pairs = np.unique(doc * np.int64(size) + words.row[words.token])
+            else:
+                each = np.unique(doc * np.int64(max(len(words.row), 1)) + words.token)
+                d, u = each // max(len(words.row), 1), each % max(len(words.row), 1)
+                grams, n = words.grams_of(u)
+                pairs = np.unique(np.repeat(d, n) * np.int64(size) + grams)
+            d, row = pairs // size, pairs % size
+            bad += np.bincount(row, weights=y[d], minlength=size)
+            good += np.bincount(row, weights=1 - y[d], minlength=size)
         p, q = (bad + 1) / (nb + 2), (good + 1) / (ng + 2)
         sure = np.abs(p - q) / np.sqrt(p * (1 - p) / nb + q * (1 - q) / ng + 1e-9) > 5
         net[name][:, 0] += np.where(sure, np.clip(np.log(p / q), -3, 3), 0).astype(np.float32)
@@ -220,31 +231,38 @@ def _start_from_log_odds(net: dict, words: Words, labels: np.ndarray) -> None:
 def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 3) -> dict:
     """A network fitted to whole labelled texts."""
     net = new_net(seed)
-    column = pa.array(texts, pa.large_string())
-    parts = [(lo, hi, Words(raw, off)) for lo, hi, raw, off in blocks(column, 1 << 62)]
-    words = parts[0][2]
-    base = np.concatenate([[0], np.cumsum(words.counts)[:-1]])
-    _start_from_log_odds(net, words, labels)
-    square = {k: np.full_like(v, 1e-4) for k, v in net.items()}
     rng = np.random.default_rng(seed)
+    mixed = rng.permutation(len(texts))
+    column = pa.array([texts[i] for i in mixed], pa.large_string())
+    parts, ys = [], []
+    for lo, hi, raw, off in blocks(column, TRAIN_BYTES):
+        parts.append(Words(raw, off))
+        ys.append(labels[mixed[lo:hi]].astype(np.float64))
+    _start_from_log_odds(net, parts, ys)
+    square = {k: np.full_like(v, 1e-4) for k, v in net.items()}
     step = np.arange(WINDOW)[:, None]
-    usable = np.flatnonzero(words.counts > 0)
     for _ in range(epochs):
-        _, where, _, start = block_logits(net, words)
-        for docs in np.array_split(rng.permutation(usable), max(1, len(usable) // batch)):
-            at = start[where[docs]]
-            real = step < np.minimum(words.counts[docs] - (at - base[docs]), WINDOW)
-            g = gradients(net, words, np.where(real, at + step, at), real, labels[docs].astype(np.float32))
-            for name in ("word", "char"):
-                key, rows, d = name + "s", g.pop(f"{name} rows"), g.pop(f"{name} grads")
-                r, inv = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(r), DIM), np.float32)
-                np.add.at(total, inv, d)
-                square[key][r] += total * total
-                net[key][r] -= rate * total / np.sqrt(square[key][r])
-            for k, d in g.items():
-                square[k] += d * d
-                net[k] -= rate * d / np.sqrt(square[k])
+        for k in rng.permutation(len(parts)):
+            words, y = parts[k], ys[k].astype(np.float32)
+            base = np.concatenate([[0], np.cumsum(words.counts)[:-1]])
+            _, where, _, start = block_logits(net, words)
+            usable = np.flatnonzero(words.counts > 0)
+            for docs in np.array_split(rng.permutation(usable), max(1, len(usable) // batch)):
+                if not len(docs):
+                    continue
+                at = start[where[docs]]
+                real = step < np.minimum(words.counts[docs] - (at - base[docs]), WINDOW)
+                g = gradients(net, words, np.where(real, at + step, at), real, y[docs])
+                for name in ("word", "char"):
+                    key, rows, d = name + "s", g.pop(f"{name} rows"), g.pop(f"{name} grads")
+                    r, inv = np.unique(rows, return_inverse=True)
+                    total = np.zeros((len(r), DIM), np.float32)
+                    np.add.at(total, inv, d)
+                    square[key][r] += total * total
+                    net[key][r] -= rate * total / np.sqrt(square[key][r])
+                for name, d in g.items():
+                    square[name] += d * d
+                    net[name] -= rate * d / np.sqrt(square[name])
     return net
 
 
@@ -299,6 +317,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     yt = y[test]
     weight = np.where(yt == 1, sizes[1] / max((yt == 1).sum(), 1), sizes[0] / max((yt == 0).sum(), 1))
     weight = weight / weight.mean()
+    release()
     return Model(net, *calibrate(z, yt, weight))
 
 
