@@ -314,15 +314,26 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
                         seen[key] = int(ids[i])
                 u = span_hash(raw, first, first + windows - 1 + LENGTH)
                 keep = ~skip[doc]
-                p = pack(first - off[doc], windows, anchor - first)
-                yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(u[keep].view(np.int64)), pa.array(ids[doc][keep]), pa.array(p[keep])], names=["h", "u", "doc_id", "p"])
-
-    rows = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(anchors, "h long, u long, doc_id long, p long")
+                h, u, d = h[keep], u[keep], ids[doc][keep]
+                p = pack(first - off[doc], windows, anchor - first)[keep]
+                # of a stretch that several documents of the block have, only the smallest one's goes to the meeting;
+                # the others are settled, and are dealt by a key of their own, so that no line fills a task
+                order = np.lexsort((d, u, h))
+                h, u, d, p = h[order], u[order], d[order], p[order]
+                head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (u[1:] != u[:-1]))) if len(h) else np.empty(0, np.int64)
+                gone = d > np.repeat(d[head], np.diff(np.append(head, len(h))))
+                h = np.where(gone, mix64(d.astype(np.uint64) ^ (p.astype(np.uint64) << np.uint64(20))), h)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(d), pa.array(p), pa.array(gone.astype(np.int8))], names=["h", "u", "doc_id", "p", "gone"])
+
+    rows = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(anchors, "h long, u long, doc_id long, p long, gone tinyint")
 
     def meet(batches):
         meetings = Meetings()
-        for columns in gathered(batches):
-            yield from meetings.feed(*columns)
+        for h, u, d, p, gone in gathered(batches):
+            settled = gone == 1
+            if settled.any():
+                yield meetings.rows(True, h[settled], d[settled], p[settled])
+            yield from meetings.feed(h[~settled], u[~settled], d[~settled], p[~settled])
         yield from meetings.finish()
 
     met = scratch.keep(rows.repartition(parts, "h").sortWithinPartitions("h", "u", "doc_id").mapInArrow(meet, "gone boolean, h long, doc_id long, p long"), "met")
