@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import scratch
+
 BLOCK_BYTES = 1 << 19
 #: Rows in an Arrow batch, where the session has Spark's default (10,000 whole texts take too much of an executor's memory).
 BATCH_ROWS = 1000
@@ -133,8 +134,8 @@ def prefix_hash(raw: np.ndarray, base: np.uint64 = _R1) -> tuple[np.ndarray, np.
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _R1) -> np.ndarray:
     """64-bit hashes of byte spans; of long texts with spans in order, a stretch at a time."""
-    if len(raw) > 8 * BLOCK_BYTES and len(starts) > 1 and (np.diff(starts) >= 0).all() and int((ends - starts).max()) < BLOCK_BYTES:
-        cuts = np.searchsorted(starts, np.arange(0, len(raw) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
+    if len(raw) > 2 * BLOCK_BYTES and len(starts) > 1 and (np.diff(starts) >= 0).all() and int((ends - starts).max()) < BLOCK_BYTES:
+        cuts = np.searchsorted(starts, np.arange(0, len(raw) + BLOCK_BYTES, BLOCK_BYTES))
         parts = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
@@ -151,32 +152,12 @@ def second_base() -> np.uint64:
     return _R2
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; one in /tmp only where unset (local runs, tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/sparkwright-checkpoints"
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage and survive lost executors."""
+class Scratch(scratch.Scratch):
+    """Tables in the shared folder, in a session whose Arrow batches are small."""
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
-        self.spark, self.root = spark, f"{shared_folder(spark)}/sparkwright-{name}-{uuid.uuid4().hex[:12]}"
-
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        """Writes a table and reads it again."""
-        frame.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(frame.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        super().__init__(spark, name)
 
 
 def release() -> None:
