@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 CACHE = 500_000
 LONG_PIECE = 4096
+OLD = unicodedata.ucd_3_2_0
 _MODELS: dict[str, "Bpe"] = {}
 
 
@@ -97,6 +98,7 @@ class Bpe:
         self.exact_words = self.proposed_words = 0
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V1)
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.path, self.library = path, None
         self.cache, self.word_cache = Recent(), Recent()
 
     def merged(self, symbols: list[int]) -> list[int]:
@@ -220,7 +222,9 @@ class Bpe:
             if k % 2:
                 out.append(("", self.special[part]))
             elif part:
-                if not part.isascii():
+                if not part.isascii() and any(OLD.category(c) == "Cn" for c in part if c > "\x7f"):
+                    out += [(w, -1) for w in self.split_by_library(part)]
+                elif not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                     part = part.lower()
                     out += [("".join([self.letters[b] for b in w.encode("utf-8", "replace")]), -1) for w in self.pattern.findall(part)]
@@ -229,6 +233,14 @@ class Bpe:
                     out += [(w if w.isprintable() else "".join([letters[ord(c)] for c in w]), -1) for w in self.pattern.findall(part.lower())]
         return out
 
+    def split_by_library(self, part: str) -> list[str]:
+        """Words of a piece with characters that Unicode 3.2 did not have: tables of letters differ, so the library's own decides."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
+
     def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """(little-endian ids, decoded tokens each after a space) of pieces."""
         split = [self.split(p) for p in pieces]
