@@ -287,12 +287,12 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.top_k_batch(vectors, queries, 5).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@query("WITH s AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS pos, CASE WHEN o_orderkey % 3 = 0 THEN [] ELSE ['o' || o_orderkey] END AS ids FROM orders WHERE o_orderkey < 50), p AS (SELECT 'o' || l_orderkey AS c FROM lineitem WHERE l_orderkey < 20) SELECT DISTINCT chunk_id FROM (SELECT coalesce(ids[1], 'graph_fact_' || pos) AS chunk_id FROM s UNION ALL SELECT c FROM p)")
+@query("SELECT DISTINCT chunk_id FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'graph_fact_' || o_orderkey ELSE 'o' || o_orderkey END AS chunk_id FROM orders UNION ALL SELECT 'o' || l_orderkey FROM lineitem)")
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").filter("o_orderkey < 50")
+    """Orders as statements (a third without a chunk), order lines as passages: what may be cited."""
     ids = F.when(F.col("o_orderkey") % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))))
-    stated = orders.select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("pos"), F.lit("fact").alias("text"), ids.alias("source_chunk_ids"))
-    passages = table(spark, d, "lineitem").filter("l_orderkey < 20").select(F.lit(0).alias("pos"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("chunk_id"), F.lit("s").alias("section_path"), F.lit("c").alias("company"), F.lit("t").alias("text"))
+    stated = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.lit("fact").alias("text"), ids.alias("source_chunk_ids"))
+    passages = table(spark, d, "lineitem").select(F.lit(0).cast("long").alias("pos"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("chunk_id"), F.lit("s").alias("section_path"), F.lit("c").alias("company"), F.lit("t").alias("text"))
     return answers.retrieved_ids(answers.evidence(stated, passages))
 
 
