@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its hashed embedding beside the mean of its hashed character
-trigrams' embeddings.  Windows of ``WINDOW`` words, one every ``STRIDE`` words and
+4-grams' embeddings.  Windows of ``WINDOW`` words, one every ``STRIDE`` words and
 one at the very end, cover the whole text; each goes through a forward and a
 backward GRU, attention pools the states, and a document's logit is that of its
 most toxic window.  Training (AdaGrad, back-propagation through time, the top
@@ -29,13 +29,13 @@ from .common import blocks, lowered, release, span_hash, word_spans
 
 WINDOW, STRIDE = 32, 16
 PER_CLASS = 1500
-WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
+WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8
 BATCH = 2048
 TRAIN_BYTES = 1 << 20
 
 
 class Words:
-    """The different words of a block: embedding rows, trigram rows, and each token's word."""
+    """The different words of a block: embedding rows, 4-gram rows, and each token's word."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         raw = lowered(raw)
@@ -45,19 +45,21 @@ class Words:
         self.keys, first, self.token = np.unique(key, return_index=True, return_inverse=True)
         self.row = (self.keys & np.uint64(WORD_ROWS - 1)).astype(np.int64)
         a, b = starts[first], ends[first]
-        # trigrams of "<word>": one for each byte, with a mark beyond either end
+        # four bytes of "<word>": one gram for each byte, with a mark beyond either end
         size = b - a
         at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(a) else np.empty(0, np.int64)
         owner_first, owner_last = np.repeat(a, size), np.repeat(b - 1, size)
         here = raw[at].astype(np.uint32)
         left = np.where(at > owner_first, raw[np.maximum(at - 1, 0)], 2).astype(np.uint32)
         right = np.where(at < owner_last, raw[np.minimum(at + 1, max(len(raw) - 1, 0))], 3).astype(np.uint32) if len(raw) else here
-        mixed = (left * np.uint32(2654435761)) ^ (here * np.uint32(2246822519)) ^ (right * np.uint32(3266489917))
+        after = np.where(at + 1 < owner_last, raw[np.minimum(at + 2, max(len(raw) - 1, 0))], 4).astype(np.uint32) if len(raw) else here
+        mixed = (left * np.uint32(2654435761)) ^ (here * np.uint32(2246822519)) ^ (right * np.uint32(3266489917)) ^ (after * np.uint32(374761393))
+        mixed ^= mixed >> np.uint32(15)
         self.grams = ((mixed * np.uint32(668265263)) >> np.uint32(32 - CHAR_ROWS.bit_length() + 1)).astype(np.int64)
         self.gram_start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(trigram rows, how many of them each word has) of some words."""
+        """(4-gram rows, how many of them each word has) of some words."""
         size = np.diff(self.gram_start)[words]
         total = np.cumsum(size)
         return self.grams[np.repeat(self.gram_start[words] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)], size
@@ -224,11 +226,11 @@ def _start_from_log_odds(net: dict, parts: list[Words], labels: list[np.ndarray]
             bad += np.bincount(row, weights=y[d], minlength=size)
             good += np.bincount(row, weights=1 - y[d], minlength=size)
         p, q = (bad + 1) / (nb + 2), (good + 1) / (ng + 2)
-        sure = np.abs(p - q) / np.sqrt(p * (1 - p) / nb + q * (1 - q) / ng + 1e-9) > 5
+        sure = np.abs(p - q) / np.sqrt(p * (1 - p) / nb + q * (1 - q) / ng + 1e-9) > 3.5
         net[name][:, 0] += np.where(sure, np.clip(np.log(p / q), -3, 3), 0).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, seed: int = 3) -> dict:
+def train(texts: list[str], labels: np.ndarray, steps: int = 600, batch: int = 32, rate: float = 0.05, seed: int = 3) -> dict:
     """A network fitted to whole labelled texts."""
     net = new_net(seed)
     rng = np.random.default_rng(seed)
@@ -241,7 +243,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 64
     _start_from_log_odds(net, parts, ys)
     square = {k: np.full_like(v, 1e-4) for k, v in net.items()}
     step = np.arange(WINDOW)[:, None]
-    for _ in range(epochs):
+    for _ in range(max(4, -(-steps * batch // max(len(texts), 1)))):
         for k in rng.permutation(len(parts)):
             words, y = parts[k], ys[k].astype(np.float32)
             base = np.concatenate([[0], np.cumsum(words.counts)[:-1]])
@@ -340,7 +342,9 @@ def _learn(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str,
     place = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("_toxic") == 1, min(1.0, 1.5 * per_class / max(sizes.get(1, 1), 1))).otherwise(min(1.0, 1.5 * per_class / max(sizes.get(0, 1), 1)))
     picked = rows.join(F.broadcast(known.filter(place < share)), rows["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
-    return fit(picked, "doc_id", "text", "toxic", per_class)
+    model = fit(picked, "doc_id", "text", "toxic", per_class)
+    release()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
