@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BLOCK = 1024
 _ENCODERS: dict[str, object] = {}
 
@@ -52,7 +54,8 @@ def length_histogram(docs: DataFrame, text_col: str = "text", ranks: str | None
             found = Counter(len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(0)))
             yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["length", "docs"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(counts, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(counts, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return Scratch(docs.sparkSession, "lengths").keep(counted, "histogram")  # sums read it more than once; texts are encoded once
 
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
