@@ -319,8 +319,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     yt = y[test]
     weight = np.where(yt == 1, sizes[1] / max((yt == 1).sum(), 1), sizes[0] / max((yt == 0).sum(), 1))
     weight = weight / weight.mean()
+    scale, shift = calibrate(z, yt, weight)
     release()
-    return Model(net, *calibrate(z, yt, weight))
+    if held.any():  # what was held back for the calibration is learnt from, too
+        net = train(texts, y)
+        release()
+    return Model(net, scale, shift)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
