@@ -7,7 +7,8 @@ symbol as the bits of a Huffman code that depends on the symbol before.  Each bi
 hashed contexts: 1 and 3 symbols before (at the word's start a class of the word
 before) and the whole beginning of the word, the first and the last with the group
 of the text's last frequent word (frequent words are grouped by the company
-they keep), each with counts of zeros and ones from all training documents.  Their logits are combined by weights
+they keep), each with counts of zeros and ones from all words of all training documents (a task
+counts its own, and the tasks' tables are summed by ranges of slots).  Their logits are combined by weights
 that a gate picks by how often the contexts were seen; the mixed probability is
 then refined by an adaptive table over its own logit and the gate.  Weights and table are learnt
 online, bit batch by bit batch, on at most about ``SAMPLE`` training documents, with
@@ -16,7 +17,7 @@ score is the log10 of a proper probability.  Equal tokens in equal places have e
 scores, so a task spells each once while it has it at hand.
 
 The base needs every token's exact count.  Words that a first look shows to
-be frequent (at most ``HEAD``) are counted in tables, the others
+be frequent (at most ``HEAD``) are counted in a table, the others
 meet by hash in one shuffle, where a run of equal hashes gives the count and each
 document's part.  No run is longer than a rare word's count.
 
@@ -50,8 +51,8 @@ SPELL = 16_000  # symbols (about) whose bits are held at a time when scoring: th
 COUNT = 200_000  # the same when counting
 BASES = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 SLOTS = sum(SIZES)
-#: Contexts whose slots are counted as such; those of the word's beginning are made of the frequent words' counts by group.
-COUNTED = 2
+#: Cells (a slot's zeros and ones are two) that are summed together.
+RANGE = 1 << 18
 GATES, BINS = 180, 65
 CLASSES = 8
 GROUPS = 8
@@ -437,36 +438,16 @@ class Model:
 
 
 def add_counts(code: Code, units: Units, often: np.ndarray, seen: list[np.ndarray]) -> None:
-    """Adds the units' bits to (slots, 2) tables of the counted contexts."""
+    """Adds the units' bits to each context's table of zeros and ones."""
     for lo, hi in units.stretches(COUNT):
         symbols, unit, place = units.symbols(lo, hi)
         bits = Bits(code, code.rows(symbols, place))
         weight = np.repeat(often[lo:hi][unit].astype(np.float64), bits.size)
-        for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])[:COUNTED]):
+        for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])):
             slot = bits.slots(i, h)
             slot *= 2
             slot += bits.bit
-            seen[i] += np.bincount(slot, weights=weight, minlength=2 * SIZES[i])
-
-
-def add_frequent(code: Code, words: list[bytes], counts: np.ndarray, zeros: np.ndarray, ones: np.ndarray, batch: int = 20_000) -> None:
-    """Fills the tables of words' beginnings from the frequent words' counts by group; the last row counts the texts' ends."""
-    for context in range(COUNTED, len(SIZES)):
-        by_group = context == len(SIZES) - 1
-        word, group = np.nonzero(counts) if by_group else (np.flatnonzero(counts.any(axis=1)), None)
-        for lo in range(0, len(word), batch):
-            w = word[lo : lo + batch]
-            g = group[lo : lo + batch] if by_group else np.zeros(len(w), np.int64)
-            n = counts[w, g] if by_group else counts[w].sum(axis=1)
-            spelled = [np.append(np.frombuffer(words[i], np.uint8).astype(np.int64), TERM) if i < len(words) else np.array([END]) for i in w]
-            size = np.array([len(x) for x in spelled])
-            symbols, unit = np.concatenate(spelled), np.repeat(np.arange(len(w)), size)
-            place = np.arange(len(symbols)) - (np.cumsum(size) - size)[unit]
-            bits = Bits(code, code.rows(symbols, place))
-            slot = bits.slots(context, context_hashes(symbols, place, g[unit] * CLASSES)[context]) + BASES[context]
-            weight = np.repeat(n[unit], bits.size)
-            np.add.at(ones, slot[bits.bit == 1], weight[bits.bit == 1].astype(ones.dtype))
-            np.add.at(zeros, slot[bits.bit == 0], weight[bits.bit == 0].astype(zeros.dtype))
+            np.add.at(seen[i], slot, weight)
 
 
 def _top(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -535,56 +516,48 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     marks = word_groups(picked, frequent)
     shared_head, shared_code = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((code, marks))  # 2 MB at most
 
-    counted = SIZES[:COUNTED]
-    first_word = sum(counted)  # keys below are slots, then come (word, group) pairs, then words
+    of_head = -1  # the range of the head's words and the texts' ends
 
     def tables(batches):
-        """Counts of the counted contexts' slots, of the head's words (and texts' ends) by group, and the words' bytes."""
+        """Counts of a task's cells that are not 0, by range, and of the head's words (last the texts' ends)."""
         head_, (code_, marks_) = shared_head.value, shared_code.value
-        seen, words = [np.zeros(2 * n) for n in counted], np.zeros((len(head_) + 1) * GROUPS)
-        spelled, known = {}, np.zeros(len(head_) + 1, bool)
-        pool = Pool(code_, seen)
-        known[-1] = True
+        cells, words = np.zeros(2 * SLOTS), np.zeros(len(head_) + 1, np.int64)
+        pool = Pool(code_, np.split(cells, 2 * np.array(BASES[1:])))
         for batch in batches:
             for _, _, raw, off in blocks(batch.column(0), UNIT_BYTES):
                 units = Units(raw, off, marks_)
-                often = np.bincount(units.unit, minlength=units.count)
-                pool.add(units, often)
+                pool.add(units, np.bincount(units.unit, minlength=units.count))
                 place = head_places(head_, units.different)
-                of = np.append(np.where(place >= 0, place, -1)[units.word], np.full(CLASSES * GROUPS, len(head_)))
-                told = of >= 0
-                words += np.bincount(of[told] * GROUPS + units.before[told] // CLASSES, weights=often[told], minlength=len(words))
-                own = np.flatnonzero((of[: len(units.word)] >= 0) & ~known[of[: len(units.word)]])
-                for u in own.tolist():
-                    spelled[int(of[u])] = units.raw[units.start[u] : units.stop[u]].tobytes()
-                known[of[own]] = True
+                words[place[place >= 0]] += units.times[place >= 0]
+                words[-1] += len(off) - 1
         pool.empty()
-        table = np.concatenate(seen).astype(np.int64).reshape(-1, 2)
-        at, w = np.flatnonzero(table.any(axis=1)), np.flatnonzero(words)
-        keys = np.concatenate([at, first_word + w, first_word + len(words) + np.fromiter(spelled, np.int64, len(spelled))])
-        rest = np.zeros(len(spelled), np.int64)
-        yield pa.record_batch(
-            [pa.array(keys, pa.int32()), pa.array(np.concatenate([table[at, 0], words[w].astype(np.int64), rest])), pa.array(np.concatenate([table[at, 1], np.zeros(len(w), np.int64), rest])), pa.array([None] * (len(at) + len(w)) + list(spelled.values()), pa.binary())],
-            names=["key", "a", "b", "word"],
-        )
-
-    counts = scratch.keep(train.select("text").mapInArrow(tables, "key int, a long, b long, word binary"), "counts")
-    got = counts.filter("word is null").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # bounded: the counted slots and HEAD * GROUPS pairs
-    key, a, b = (got.column(i).to_numpy() for i in range(3))
-    zeros, ones = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    slot, pair = key < first_word, (key >= first_word) & (key < first_word + (len(head) + 1) * GROUPS)
-    zeros[key[slot]], ones[key[slot]] = a[slot], b[slot]
-    by_group = np.zeros((len(head) + 1) * GROUPS, np.int64)
-    by_group[key[pair] - first_word] = a[pair]
-    by_group = by_group.reshape(-1, GROUPS)
-    del got, key, a, b, slot, pair
-    words = counts.filter("word is not null").select("key", "word").distinct().toArrow()  # HEAD rows at most
-    spelled = dict(zip((words.column(0).to_numpy() - first_word - by_group.size).tolist(), words.column(1).to_pylist(), strict=True))
-    del words
-    scratch.drop("counts")
+        for number, part in [*enumerate(np.split(cells, range(RANGE, len(cells), RANGE))), (of_head, words)]:
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.record_batch([pa.array([number], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].astype(np.int64).tobytes()], pa.binary())], names=["number", "at", "n"])
+
+    def sums(batches):
+        """The tasks' counts of each range added up."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = held.setdefault(number, np.zeros(len(shared_head.value) + 1 if number == of_head else RANGE, np.int64))
+                total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        for number, total in held.items():
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([(total if number == of_head else total.astype(np.float32)).tobytes()], pa.binary())], names=["number", "n"])
+
+    counts = train.select("text").mapInArrow(tables, "number int, at binary, n binary").repartition(parts, "number")
+    got = counts.mapInArrow(sums, "number int, n binary").toArrow()  # bounded: 40 MB of cells and the head's counts
+    cells, head_counts = np.zeros(2 * SLOTS, np.float32), np.zeros(len(head) + 1, np.int64)
+    for number, n in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+        if number == of_head:
+            head_counts[:] = np.frombuffer(n.as_buffer(), np.int64)
+        else:
+            cells[number * RANGE : (number + 1) * RANGE] = np.frombuffer(n.as_buffer(), np.float32)[: len(cells) - number * RANGE]
+    zeros, ones = cells[::2].copy(), cells[1::2].copy()
+    del got, cells
     release()
-    head_counts, train_texts = by_group[:-1].sum(axis=1), int(by_group[-1].sum())
-    add_frequent(code, [spelled.get(i, b"") for i in range(len(head))], by_group, zeros, ones)
+    head_counts, train_texts = head_counts[:-1], int(head_counts[-1])
     model = Model(code, zeros, ones, marks)
     model.learn(picked)
     release()

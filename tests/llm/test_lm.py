@@ -83,3 +83,13 @@ def test_kept_units_score_alike():
     for text in ("one two three two", "two four one", "", "five " * 50):
         u = units(text)
         assert np.allclose(model.log10_known(u, kept), model.log10_units(u))
+
+
+def test_rare_words_count_in_all_contexts(make):
+    """What the model learns does not depend on how many words are told apart as frequent."""
+    rng = random.Random(6)
+    common = [f"{a}{b}" for a in "abcdefghijklmn" for b in "opqrstuvwxyzab"][: lm.MARKS]
+    rarer = ["".join(rng.choice("kelmorti") for _ in range(7)) for _ in range(60)]
+    texts = [" ".join([*common, *rng.sample(rarer, 20)]) for _ in range(40)]
+    scores = [{r["doc_id"]: r["score"] for r in lm.score_texts(make(texts), remainder(F.col("doc_id"), 7) != 2, head_size=n).collect()} for n in (lm.MARKS, lm.HEAD)]
+    assert all(abs(scores[0][d] - scores[1][d]) < 1e-6 for d in scores[0])
