@@ -10,9 +10,11 @@ of the text's last frequent word (frequent words are grouped by the company
 they keep), each with counts of zeros and ones from all words of all training documents (a task
 counts its own, and the tasks' tables are summed by ranges of slots).  Their logits are combined by weights
 that a gate picks by how often the contexts were seen; the mixed probability is
-then refined by an adaptive table over its own logit and the gate.  Weights and table are learnt
-online, bit batch by bit batch, on at most about ``SAMPLE`` training documents, with
-each bit's own count taken out.  Every bit's two probabilities sum to 1, so a text's
+then refined by an adaptive table over its own logit and the gate.  Weights, table and
+word groups are learnt from all training documents, with each bit's own count taken out: a task
+takes Newton steps over its own bits, and the tasks' curvatures, curved weights and table
+sums, of fixed size, are added up (so the weights depend a little on how the input is
+dealt over tasks).  Every bit's two probabilities sum to 1, so a text's
 score is the log10 of a proper probability.  Equal tokens in equal places have equal
 scores, so a task spells each once while it has it at hand.
 
@@ -40,7 +42,6 @@ from .common import _SPACE, Scratch, blocks, gathered, lowered, mix64, prefix_ha
 from .suffix_dedup import ragged
 
 HEAD = 1 << 17
-SAMPLE = 400
 TERM, END, SYMBOLS = 256, 257, 258
 #: Slots of the contexts: the text's group (codes depend on the symbol before), 3 symbols before, the word's beginning, the same with the group.
 SIZES = (1 << 18, 1 << 19, 1 << 21, 1 << 21)
@@ -58,6 +59,9 @@ CLASSES = 8
 GROUPS = 8
 MARKS = 192
 LEVELS = (1, 3, 12, 60, 400)
+#: What weights and table start from counts as so much curvature and so many bits.
+STIFF, START = 30.0, 20.0
+STEPS, STEP_BITS = 16, 8192  # Newton steps at most for a stretch of bits, bits at least for each
 
 
 def _classes() -> np.ndarray:
@@ -119,32 +123,59 @@ class Code:
         return np.where(place == 0, TERM, before) * SYMBOLS + symbols
 
 
-def word_groups(texts: list[str], words: np.ndarray, groups: int = GROUPS - 1, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted word hashes, group of each): frequent words that keep company in texts, by spherical k-means."""
-    if not len(words) or not texts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def added(tasks: DataFrame) -> np.ndarray | None:
+    """The sum of the tasks' vectors (a column ``v`` of doubles' bytes)."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for v in batch.column(0):
+                part = np.frombuffer(v.as_buffer())
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    got = tasks.repartition(8).mapInArrow(add, "v binary").collect()  # 8 rows of 300 KB at most
+    return sum(np.frombuffer(r["v"]) for r in got) if got else None
+
+
+def word_groups(train: DataFrame, words: np.ndarray, groups: int = GROUPS - 1, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted word hashes, group of each): frequent words that keep company in texts, by spherical k-means.
+
+    A word is the vector of the roots of its counts in all texts; only the words' products are needed."""
     words = np.sort(words)
-    there = np.zeros((len(words), len(texts)), np.float32)
-    for lo, _, raw, off in blocks(pa.array(texts, pa.large_string())):
-        raw = lowered(raw)
-        starts, ends, doc = word_spans(raw, off)
-        at = head_places(words, span_hash(raw, starts, ends))
-        np.add.at(there, (at[at >= 0], doc[at >= 0] + lo), 1)
-    there = np.sqrt(there)
-    there /= np.maximum(np.linalg.norm(there, axis=1, keepdims=True), 1e-9)
-    common = (there > 0).sum(axis=1)
+    n = len(words)
+
+    def company(batches):
+        products, common = np.zeros((n, n)), np.zeros(n)
+        for batch in batches:
+            for lo, hi, raw, off in blocks(batch.column(0)):
+                raw = lowered(raw)
+                starts, ends, doc = word_spans(raw, off)
+                at = head_places(words, span_hash(raw, starts, ends))
+                there = np.sqrt(np.bincount(doc[at >= 0] * n + at[at >= 0], minlength=(hi - lo) * n).reshape(-1, n).astype(np.float32))
+                products += there.T @ there
+                common += (there > 0).sum(axis=0)
+        yield pa.record_batch([pa.array([np.append(products, common).tobytes()], pa.binary())], names=["v"])
+
+    total = added(train.select("text").mapInArrow(company, "v binary")) if n else None
+    if total is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    products, common = total[: n * n].reshape(n, n), total[n * n :]
+    size = np.sqrt(np.maximum(np.diag(products), 1e-18))
+    cosine = products / size / size[:, None]
     centres = [int(np.argmax(common))]
-    near = there @ there[centres[0]]
-    while len(centres) < min(groups, len(words)):  # next the word that is most common and far from the others
+    near = cosine[centres[0]]
+    while len(centres) < min(groups, n):  # next the word that is most common and far from the others
         centres.append(int(np.argmax(common * np.maximum(1 - near, 0) ** 2)))
-        near = np.maximum(near, there @ there[centres[-1]])
-    middle = there[centres]
+        near = np.maximum(near, cosine[centres[-1]])
+    middle = np.zeros((n, len(centres)))  # each middle is the sum of these words
+    middle[centres, np.arange(len(centres))] = 1
     for _ in range(rounds):
-        of = np.argmax(there @ middle.T, axis=1)
-        for g in range(len(middle)):
-            if (of == g).any():
-                middle[g] = there[of == g].sum(axis=0)
-        middle = middle / np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
+        length = np.sqrt(np.maximum(np.einsum("ig,ij,jg->g", middle, cosine, middle, optimize=True), 1e-18))
+        of = np.argmax(cosine @ middle / length, axis=1)
+        for g in np.unique(of):
+            middle[:, g] = of == g
     return words, of + 1
 
 
@@ -249,8 +280,9 @@ class Kept:
 class Pool:
     """Counts units over the blocks of a task; each different one is spelled once when the pool is emptied."""
 
-    def __init__(self, code: Code, seen: list[np.ndarray]):
-        self.code, self.seen = code, seen
+    def __init__(self, take):
+        """take: what is called with units and how often each is there."""
+        self.take = take
         self.ends = np.zeros(CLASSES * GROUPS, np.int64)
         self.clear()
 
@@ -265,7 +297,7 @@ class Pool:
         if self.size + len(new) > KEPT:
             self.empty()
             if len(new := np.arange(words)) > KEPT:  # one long text
-                add_counts(self.code, units.pick(new), np.concatenate([often[:words], np.zeros(CLASSES * GROUPS, np.int64)]), self.seen)
+                self.take(units.pick(new), np.concatenate([often[:words], np.zeros(CLASSES * GROUPS, np.int64)]))
                 return
             there = np.zeros(words, bool)
         self.counts[slot[there].astype(np.int64)] += often[:words][there]
@@ -276,11 +308,12 @@ class Pool:
         self.size += len(new)
 
     def empty(self) -> None:
-        if self.parts:
+        if self.parts or self.ends.any():
+            self.parts.append((np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)))
             size = np.concatenate([p[1] for p in self.parts])
             stop = np.cumsum(size)
             units = Spelled(np.concatenate([p[0] for p in self.parts]), stop - size, stop, np.concatenate([*(p[2] for p in self.parts), np.arange(CLASSES * GROUPS)]))
-            add_counts(self.code, units, np.concatenate([self.counts[: self.size], self.ends]), self.seen)
+            self.take(units, np.concatenate([self.counts[: self.size], self.ends]))
             self.ends[:] = 0
         self.clear()
 
@@ -341,7 +374,17 @@ class Model:
         self.weights = np.full((GATES, len(SIZES) + 1), 0.3, np.float32)
         self.weights[:, -1] = 0
         self.table = np.tile(np.linspace(-8, 8, BINS), (GATES, 1)).astype(np.float32)
-        self.freeze()
+        if zeros is not None:
+            self.freeze()
+
+    def settle(self, sums: np.ndarray) -> None:
+        """Weights and table from the summed learners."""
+        k = len(SIZES) + 1
+        curve, curved, mass, hits = np.split(sums, np.cumsum([GATES * k * k, GATES * k, GATES * BINS]))
+        curved = curved.reshape(GATES, k) + STIFF * self.weights
+        self.weights = np.linalg.solve(curve.reshape(GATES, k, k) + np.eye(k) * STIFF, curved[:, :, None])[:, :, 0].astype(np.float32)
+        p = (hits + START * squash(self.table.astype(float).ravel())) / (mass + START)
+        self.table = np.clip(stretch(np.clip(p, 1e-5, 1 - 1e-5)), -9, 9).astype(np.float32).reshape(GATES, BINS)
 
     def freeze(self) -> None:
         """Logits and seen-levels of the slots, from which bits are predicted."""
@@ -396,45 +439,79 @@ class Model:
             total[lo:hi] = np.add.reduceat(cost, (np.cumsum(bits.size) - bits.size)[first])
         return total / -np.log(10)
 
-    def learn(self, texts: list[str], batch: int = 8192, seed: int = 5) -> None:
-        """Weights and table, online over the bits of some training texts; each bit's own count is taken out.
 
-        Each batch takes a Newton step of every gate's weights, with the curvature summed so far."""
-        rng = np.random.default_rng(seed)
+class Learner:
+    """Weights by gate and the refining table from a task's bits; each bit's own count is taken out."""
+
+    def __init__(self, code: Code, zeros: np.ndarray, ones: np.ndarray, seed: int = 5):
+        self.code, self.zeros, self.ones, self.rng = code, zeros, ones, np.random.default_rng(seed)
+        self.level = np.searchsorted(LEVELS, zeros + ones - 1, "right").astype(np.int8)
+        self.model = Model(code, None, None, None)
         k = len(SIZES) + 1
-        curve = np.tile(np.eye(k) * 30.0, (GATES, 1, 1))
-        mass, hits = np.full((GATES, BINS), 20.0), squash(self.table.astype(float)) * 20.0
-        for _, _, raw, off in blocks(pa.array(texts, pa.large_string())):
-            units = Units(raw, off, self.marks)
-            symbols, unit, place = units.symbols()
-            often = np.bincount(units.unit, minlength=units.count)
+        self.curve, self.start = np.tile(np.eye(k) * STIFF, (GATES, 1, 1)), self.model.weights.astype(float)
+        self.mass, self.hits = np.zeros(GATES * BINS), np.zeros(GATES * BINS)
+
+    def take(self, units: Units, often: np.ndarray) -> None:
+        """Newton steps of every gate's weights, with the curvature summed so far, then the table's sums."""
+        for lo, hi in units.stretches(COUNT):
+            symbols, unit, place = units.symbols(lo, hi)
             bits = Bits(self.code, self.code.rows(symbols, place))
-            bit, weight = bits.bit, np.repeat(often[unit], bits.size).astype(np.float32)
-            logits, levels = [], []
-            for i, h in enumerate(context_hashes(symbols, place, units.before[unit])):
-                s = bits.slots(i, h) + BASES[i]
-                one, n = np.maximum(self.ones[s] - bit, 0), np.maximum(self.zeros[s] + self.ones[s] - 1, 0)
-                logits.append(stretch((np.minimum(one, n) + 0.4) / (n + 0.8)).astype(np.float32))
-                levels.append(np.searchsorted(LEVELS, n, "right"))
-            gate = self.gate(levels)
+            weight = np.repeat(often[lo:hi][unit].astype(np.float32), bits.size)
+            x, levels = np.ones((len(SIZES) + 1, len(weight)), np.float32), []
+            for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])):
+                slot = bits.slots(i, h) + BASES[i]
+                one, zero = np.maximum(self.ones.take(slot) - bits.bit, 0), np.maximum(self.zeros.take(slot) - (1 - bits.bit), 0)
+                x[i] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+                levels.append(self.level.take(slot) if i else None)
+            gate = self.model.gate(levels)
             order = np.flatnonzero(weight)
-            for part in np.array_split(rng.permutation(order), max(1, len(order) // batch)):
-                g, b, w = gate[part], bit[part], np.minimum(weight[part], 50)
-                x = np.stack([*(z[part] for z in logits), np.ones(len(part), np.float32)])
-                mixed = self.mix(list(x[:-1]), g)
-                p = squash(mixed)
-                flat = g * BINS + BINS // 2 + np.clip(np.rint(mixed * np.float32((BINS - 1) / 16)).astype(np.int64), -(BINS // 2), BINS // 2)
-                mass += np.bincount(flat, weights=w, minlength=mass.size).reshape(mass.shape)
-                hits += np.bincount(flat, weights=w * b, minlength=mass.size).reshape(mass.shape)
-                by = np.argsort(g, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(g[by]) != 0))
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
-                    i = by[lo:hi]
-                    xi, wi, pi = x[:, i], w[i], p[i]
-                    curve[g[i[0]]] += (xi * (wi * np.maximum(pi * (1 - pi), 1e-3))) @ xi.T
-                    step = np.linalg.solve(curve[g[i[0]]], xi @ (wi * (b[i] - pi)))
-                    self.weights[g[i[0]]] += np.clip(step, -0.3, 0.3).astype(np.float32)
-        self.table = np.clip(stretch(np.clip(hits / mass, 1e-5, 1 - 1e-5)), -9, 9).astype(np.float32)
+            for part in np.array_split(self.rng.permutation(order), max(1, min(STEPS, len(order) // STEP_BITS))):
+                self.step(x[:, part], gate[part], bits.bit[part], weight[part])
+            mixed = self.model.mix(list(x[:-1]), gate)
+            at = np.clip(np.rint(mixed * np.float32((BINS - 1) / 16)).astype(np.int64), -(BINS // 2), BINS // 2) + gate * BINS + BINS // 2
+            self.mass += np.bincount(at, weights=weight, minlength=len(self.mass))
+            self.hits += np.bincount(at, weights=weight * bits.bit, minlength=len(self.hits))
+
+    def step(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        if not len(gate):
+            return
+        by = np.argsort(gate.astype(np.int16), kind="stable")
+        x, gate, bit, weight = x[:, by], gate[by], bit[by], weight[by]
+        p = squash(self.model.mix(list(x[:-1]), gate))
+        curved, slope = x * (weight * np.maximum(p * (1 - p), np.float32(1e-3))), x * (weight * (bit - p))
+        cuts = np.flatnonzero(np.append(True, np.diff(gate) != 0))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(gate)), strict=True):
+            self.curve[gate[lo]] += curved[:, lo:hi] @ x[:, lo:hi].T
+        some = gate[cuts]
+        steps = np.linalg.solve(self.curve[some], np.add.reduceat(slope, cuts, axis=1, dtype=float).T[:, :, None])[:, :, 0]
+        self.model.weights[some] += np.clip(steps, -0.3, 0.3).astype(np.float32)
+
+    def sums(self) -> np.ndarray:
+        """What may be added to other tasks': curvatures, curved weights (both without the start's part), and the table's sums."""
+        w = self.model.weights.astype(float)
+        own = self.curve - np.eye(w.shape[1]) * STIFF
+        curved = (own @ w[:, :, None])[:, :, 0] + STIFF * (w - self.start)
+        return np.concatenate([own.ravel(), curved.ravel(), self.mass, self.hits])
+
+
+def learnt(train: DataFrame, code: Code, marks: tuple[np.ndarray, np.ndarray], zeros: np.ndarray, ones: np.ndarray) -> np.ndarray | None:
+    """The sums of all tasks' learners over the training documents."""
+    shared = train.sparkSession.sparkContext.broadcast((code, marks, zeros, ones))  # 42 MB
+
+    def learn(batches):
+        code_, marks_, zeros_, ones_ = shared.value
+        learner = Learner(code_, zeros_, ones_)
+        pool = Pool(learner.take)
+        for batch in batches:
+            for _, _, raw, off in blocks(batch.column(0), UNIT_BYTES):
+                units = Units(raw, off, marks_)
+                pool.add(units, np.bincount(units.unit, minlength=units.count))
+        pool.empty()
+        yield pa.record_batch([pa.array([learner.sums().tobytes()], pa.binary())], names=["v"])
+
+    total = added(train.select("text").mapInArrow(learn, "v binary"))
+    shared.unpersist()
+    return total
 
 
 def add_counts(code: Code, units: Units, often: np.ndarray, seen: list[np.ndarray]) -> None:
@@ -499,7 +576,7 @@ def head_places(head: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(head[at] == keys, at, -1)
 
 
-def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, sample: int = SAMPLE) -> DataFrame:
+def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
     """Per document held_out, n_tokens, n_known, train_tokens, base_score and score (both log10), and bits_per_byte."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -510,10 +587,7 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     train = rows.filter("train")
     head, frequent, pairs = frequent_words(train, scratch, head_size)
     code = Code(pairs)
-    texts = train.count()
-    place = F.pmod(F.xxhash64(F.col("row")), F.lit(1 << 30)) / float(1 << 30)
-    picked = [r["text"] for r in train.filter(place < min(1.0, sample / max(texts, 1))).select("row", "text").orderBy("row", "text").collect()]
-    marks = word_groups(picked, frequent)
+    marks = word_groups(train, frequent)
     shared_head, shared_code = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast((code, marks))  # 2 MB at most
 
     of_head = -1  # the range of the head's words and the texts' ends
@@ -522,7 +596,8 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
         """Counts of a task's cells that are not 0, by range, and of the head's words (last the texts' ends)."""
         head_, (code_, marks_) = shared_head.value, shared_code.value
         cells, words = np.zeros(2 * SLOTS), np.zeros(len(head_) + 1, np.int64)
-        pool = Pool(code_, np.split(cells, 2 * np.array(BASES[1:])))
+        seen = np.split(cells, 2 * np.array(BASES[1:]))
+        pool = Pool(lambda units, often: add_counts(code_, units, often, seen))
         for batch in batches:
             for _, _, raw, off in blocks(batch.column(0), UNIT_BYTES):
                 units = Units(raw, off, marks_)
@@ -559,7 +634,9 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     release()
     head_counts, train_texts = head_counts[:-1], int(head_counts[-1])
     model = Model(code, zeros, ones, marks)
-    model.learn(picked)
+    sums_of_tasks = learnt(train, code, marks, zeros, ones)
+    if sums_of_tasks is not None:
+        model.settle(sums_of_tasks)
     release()
 
     def tail(batches):

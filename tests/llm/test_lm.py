@@ -93,3 +93,22 @@ def test_rare_words_count_in_all_contexts(make):
     texts = [" ".join([*common, *rng.sample(rarer, 20)]) for _ in range(40)]
     scores = [{r["doc_id"]: r["score"] for r in lm.score_texts(make(texts), remainder(F.col("doc_id"), 7) != 2, head_size=n).collect()} for n in (lm.MARKS, lm.HEAD)]
     assert all(abs(scores[0][d] - scores[1][d]) < 1e-6 for d in scores[0])
+
+
+def test_all_training_documents_are_learnt_from(make):
+    """The refining table's sums hold every bit of every document, and the groups the company of all of them."""
+    texts = [f"north w{i % 7} east" if i % 2 else f"south w{i % 5} west x{i}" for i in range(1200)]
+    docs = make(texts)
+    words = [lm.span_hash(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in ("north", "east", "south", "west")]
+    marks = lm.word_groups(docs, np.array(words), groups=2)
+    of = dict(zip(marks[0].tolist(), marks[1].tolist(), strict=True))
+    north, east, south, west = (of[int(w)] for w in words)
+    assert north == east != south == west
+    code = lm.Code(np.ones((lm.TERM + 1, lm.SYMBOLS), int))
+    sums = lm.learnt(docs, code, marks, np.ones(lm.SLOTS, np.float32), np.ones(lm.SLOTS, np.float32))
+    want = 0
+    for text in texts:
+        u = units(text)
+        symbols, unit, place = u.symbols()
+        want += int((code.size[code.rows(symbols, place)] * np.bincount(u.unit, minlength=u.count)[unit]).sum())
+    assert round(float(sums[-2 * lm.GATES * lm.BINS : -lm.GATES * lm.BINS].sum())) == want
