@@ -18,7 +18,9 @@ candidate.  A candidate is a leak if the longest common subsequence has at least
 the window: paraphrases with some words changed, left out or put in are found, whole
 copies always are.  Words that occur in no document are neither seeds nor answers.
 
-Items of fewer than ``LEAST`` words are left out (they say too little).  Items are
+Items of fewer than ``LEAST`` words, or with fewer than ``VOTES`` different ones, say too
+little for that: they are leaks where all their words stand in a row, found by their
+rarest word (cosine and answer share are told as 1).  An item without words is no item.  Items are
 searched in blocks of ``ITEMS``.  Null and empty texts leak nothing, and a null item is
 no item.  Of several places in one document the best is told (longest, then first).
 Documents that repeat an id count as one document; without documents or items the
@@ -153,6 +155,7 @@ class Items:
     def __init__(self, ids: np.ndarray, texts: list[str], df: np.ndarray, idf: np.ndarray, basis: np.ndarray, mean: np.ndarray):
         self.ids, self.words = ids, []
         seed_key, seed_item, seed_at = [], [], []
+        whole_key, whole_item, whole_at = [], [], []
         self.vectors, self.answers = np.zeros((len(ids), basis.shape[1]), np.float32), []
         for i, text in enumerate(texts):
             raw = np.frombuffer(text.encode(), np.uint8)
@@ -163,7 +166,11 @@ class Items:
             rare = rare[np.sort(once)]  # each word once, the rarest first
             rare = rare[df[buckets_of(key[rare])] > 0]  # words of no document at all tell nothing
             self.answers.append(key[rare[:ANSWER]])
-            if len(key) < LEAST:
+            if len(key) < LEAST or len(rare) < VOTES:
+                if len(key) and (df[buckets_of(key)] > 0).all():  # else it stands nowhere
+                    whole_key.append(key[rare[0]])
+                    whole_item.append(i)
+                    whole_at.append(rare[0])
                 continue
             seeds = rare[: int(np.ceil((1 - SHARE) * len(key))) + VOTES]
             every = np.flatnonzero(np.isin(key, key[seeds]))  # a seed at each of its places
@@ -178,6 +185,10 @@ class Items:
         self.seed_item = (np.concatenate(seed_item) if seed_item else none)[order]
         self.seed_at = (np.concatenate(seed_at) if seed_at else none)[order]
         self.size = np.array([len(w) for w in self.words], np.int64)
+        order = np.argsort(np.array(whole_key, np.uint64), kind="stable")
+        self.whole_key, self.whole_item, self.whole_at = np.array(whole_key, np.uint64)[order], np.array(whole_item, np.int64)[order], np.array(whole_at, np.int64)[order]
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([none.astype(np.uint64), *self.words])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.seed_key >> np.uint64(44)).astype(np.int64)] = True
 
@@ -224,6 +235,27 @@ def places(key: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.ndarray,
     return d[head[good]], item[head[good]], np.maximum(begin[head[good]] - pad, first_word), np.minimum(begin[last[good]] + items.size[item[head[good]]] + pad, stop_word)
 
 
+def whole_places(key: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, first word) of the first place of each short item whose words all stand in a row."""
+    low = np.searchsorted(items.whole_key, key, "left")
+    n = np.searchsorted(items.whole_key, key, "right") - low
+    whole = ragged(low, n)
+    item = items.whole_item[whole]
+    begin = np.repeat(np.arange(len(key)), n) - items.whole_at[whole]
+    alive = np.flatnonzero((begin >= 0) & (begin + items.size[item] <= len(key)))
+    item, begin = item[alive], begin[alive]
+    alive = doc[begin] == doc[begin + items.size[item] - 1]
+    item, begin = item[alive], begin[alive]
+    for j in range(int(items.size[item].max(initial=0))):
+        at = np.minimum(j, items.size[item] - 1)
+        alive = key[begin + at] == items.flat[items.first[item] + at]
+        item, begin = item[alive], begin[alive]
+    order = np.lexsort((begin, item, doc[begin]))
+    item, begin = item[order], begin[order]
+    new = np.append(True, (np.diff(doc[begin]) != 0) | (np.diff(item) != 0)) if len(item) else np.empty(0, bool)
+    return doc[begin[new]], item[new], begin[new]
+
+
 def _distinct(group: np.ndarray, word: np.ndarray) -> np.ndarray:
     order = np.lexsort((word, group))
     g, w = group[order], word[order]
@@ -283,6 +315,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         if told:
                             first = int(np.searchsorted(doc, d, "left"))
                             out.append((batch.column(0)[lo + d].as_py(), ids[i], a - first, b - a, told[0], told[1], len(its.words[i]), told[2]))
+                    if len(its.whole_key):
+                        for d, i, a in zip(*(x.tolist() for x in whole_places(key, doc, its)), strict=True):
+                            n = len(its.words[i])
+                            out.append((batch.column(0)[lo + d].as_py(), ids[i], a - int(np.searchsorted(doc, d, "left")), n, 1.0, n, n, 1.0))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 8
                 kinds = [batch.column(0).type, None, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
                 kinds[1] = pa.infer_type(ids) if ids else pa.int64()

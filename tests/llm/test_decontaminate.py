@@ -49,3 +49,12 @@ def test_recall_on_the_tables(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = {(i, r["item_id"]) for r in items.collect() for i, t in rows if r["text"] in t}
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == want
+
+
+def test_short_items_are_found_whole(spark, make):
+    items = [(0, "What is gold?"), (1, "ha ha ha ha ha ha ha ha ha"), (2, "gold"), (3, "seen never before"), (4, "...")]
+    texts = ["So: what is GOLD made of", "what is not gold", "tell what is", "gold and more", "ha " * 8, "ho " + "ha " * 12, "seen before never", None, ""]
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["n_words"]) for r in decontaminate.leaks(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0, 1, 3), (0, 2, 3, 1), (1, 2, 3, 1), (3, 2, 0, 1), (5, 1, 1, 9)}
+    left = decontaminate.drop_leaking(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in left} == {2, 4, 6, 7, 8}
