@@ -33,14 +33,17 @@ ROWS = 32  # documents that are held as dense rows at a time
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Each character's lower case if it is a letter, else a space; beyond the first 65,536 all count as letters."""
-    out = np.full(65536, 32, np.uint32)
-    for c in range(65536):
-        s = chr(c)
-        if s.isalpha():
-            low = s.lower()
-            out[c] = ord(low) if len(low) == 1 else c
-    return out
+    """``_letter`` of the first 65,536 characters."""
+    return np.array([_letter(c) for c in range(65536)], np.uint32)
+
+
+def _letter(c: int) -> int:
+    """A character's lower case if it is a letter, else a space."""
+    s = chr(c)
+    if not s.isalpha():
+        return 32
+    low = s.lower()
+    return ord(low) if len(low) == 1 else c
 
 
 def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +54,11 @@ def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=first[1:])
     where = first[off]
-    text = np.where(points < 65536, _letters()[np.minimum(points, 65535)], points)
+    text = _letters()[np.minimum(points, 65535)]
+    beyond = np.flatnonzero(points >= 65536)
+    if len(beyond):
+        different, inverse = np.unique(points[beyond], return_inverse=True)
+        text[beyond] = np.array([_letter(c) for c in different.tolist()], np.uint32)[inverse]
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != 32) | (text[:-1] != 32)
     keep[where[:-1][where[:-1] < len(text)]] = True

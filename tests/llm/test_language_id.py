@@ -37,3 +37,13 @@ def test_penalties_make_weights_sparse():
     loose, _ = language_id.ftrl(rows, labels, 2, 500, l1=0.0)
     tight, _ = language_id.ftrl(rows, labels, 2, 500, l1=0.5)
     assert (tight == 0).sum() > (loose == 0).sum()
+
+
+def test_characters_beyond_the_first_plane(make):
+    """Emoji are no letters, and capitals there have lower case."""
+    texts = ["the thing", "der schein", "😀😀 🎉", "😀 12 🚀 34", "𐐀𐐁 😀", "𐐨𐐩"]
+    rows = {r["doc_id"]: r for r in language_id.identify(make(texts, langs=["en", "de", None, None, None, None]), F.lit(True)).collect()}
+    assert all((rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0) for i in (2, 3))
+    assert rows[4]["lang_pred"] != "und"
+    parts = [language_id.characters(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in ("𐐀𐐁", "𐐨𐐩", "a😀b")]
+    assert (parts[0] == parts[1]).all() and "".join(map(chr, parts[2])) == "a b"
