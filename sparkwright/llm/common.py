@@ -159,6 +159,11 @@ class Scratch(scratch.Scratch):
         small_batches(spark)
         super().__init__(spark, name)
 
+    def keep_by(self, frame: DataFrame, name: str, column: str) -> DataFrame:
+        """Writes a table with a folder for each value of a column and reads it again."""
+        frame.write.mode("overwrite").partitionBy(column).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(frame.schema).parquet(f"{self.root}/{name}").select(frame.columns)
+
 
 def release() -> None:
     """Gives memory that a fit on the driver used back to the system."""
@@ -183,3 +188,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the fold of a document."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """Tells the rows of one id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, tied: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``docs`` without those that ``gone(doc_id, key)`` names, and one row of each that ``tied(doc_id, key)`` names.
+
+    A row is named by its id and its text's key together, and a null id equals a null id:
+    a text that nobody else has never goes because another row has the same id."""
+    mark = unused(docs, "_key")
+    marked = docs.withColumn(mark, key)
+
+    def without(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        named = named.select(F.col("doc_id").alias("_named_id"), F.col("key").alias("_named_key"))
+        return rows.join(named, rows[id_col].eqNullSafe(named["_named_id"]) & (rows[mark] == named["_named_key"]), how)
+
+    left = without(marked, gone.select("doc_id", "key").distinct(), "left_anti")
+    if not tied.isEmpty():
+        once = without(left, tied, "left_semi").dropDuplicates([id_col, mark])
+        left = without(left, tied, "left_anti").unionByName(once)
+    return left.drop(mark)

@@ -18,13 +18,16 @@ an empty set, linked with nothing).  Sets link when 100 * shared >= 80 * united.
    bitmaps, its range of sizes, and how many shingles at most share bits.  Two nodes
    are left when shared bits cannot reach the overlap that their sizes need, or when
    all their sets are connected already.  Leaves are compared exactly.  Blocks over
-   ``BLOCK`` sets are cut into chunks by size and compared chunk against chunk, so a
-   task holds at most two chunks; chunks whose sizes cannot link are not paired.
+   ``BLOCK`` sets are cut into chunks, runs of their order by size and least hash (which
+   near copies mostly share), and compared chunk against chunk, so a task holds at most
+   two chunks; chunks whose sizes cannot link are not paired.  The order is dealt over
+   tasks by ranges, so a block of any size is cut by many tasks.
 5. Components of the links, then every document takes its class's component.
 
 Links found are verified on whole sets of 64-bit hashes.  Copies are never expanded
 into pairs.  Null texts count as empty; repeated rows are copies; an empty table
-gives an empty result; very long texts are read whole.
+gives an empty result; very long texts are read whole.  A null id is never a
+component's id while another document is in the component.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, gathered, lowered, mix64, span_hash, word_spans
+from .common import Scratch, blocks, drop_rows, gathered, lowered, mix64, span_hash, text_key, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -185,17 +189,34 @@ def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | Non
             todo += [(a, k) for k in b.kids]
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """Rows of the named ids; the ids are broadcast while they are few, and shuffled otherwise."""
-    small = F.broadcast(ids) if count <= SMALL_IDS else ids
-    return docs.join(small, "doc_id", "inner")
+def _leaders(docs: DataFrame, live: DataFrame, count: int) -> DataFrame:
+    """Texts of the rows that lead a class; their names are broadcast while they are few, and shuffled otherwise."""
+    named = live.select(F.col("class_id").alias("_id"), F.col("lead_row").alias("_row"), "ka")
+    named = F.broadcast(named) if count <= SMALL_IDS else named
+    return docs.join(named, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["row"] == F.col("_row"))).select("text", "ka")
+
+
+def _cut_into_chunks(batches):
+    """Numbers runs of at most ``BLOCK`` rows of one component; rows are sorted by component, and the numbers are this task's own."""
+    base, last, chunk, filled = TaskContext.get().partitionId() << 32, None, -1, 0
+    for component, ka, n in gathered(batches):
+        first = np.flatnonzero(np.append(True, component[1:] != component[:-1]))
+        out = np.empty(len(component), np.int64)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(component)], strict=True):
+            if component[lo] != last:
+                last, chunk, filled = component[lo], chunk + 1, 0
+            at = filled + np.arange(hi - lo)
+            out[lo:hi] = chunk + at // BLOCK
+            chunk, filled = chunk + (filled + hi - lo - 1) // BLOCK, (filled + hi - lo - 1) % BLOCK + 1
+        yield pa.record_batch([pa.array(component), pa.array(base + out), pa.array(ka), pa.array(n)], names=["component", "chunk", "ka", "n"])
 
 
 def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and class_id (the least document with an equal set)."""
+    """Per row: doc_id, n_shingles, component_id, class_id (the least document with an equal set), row (the text's key) and stays (whether it is the one of its component that stays)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("row"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches):
         seen: set[int] = set()
@@ -214,13 +235,14 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 lengths = np.bincount(owner[sent], minlength=len(n))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ka), pa.array(kb), pa.array(np.bincount(owner[tested], minlength=len(n)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token))],
-                    names=["doc_id", "n", "ka", "kb", "tested", "tokens"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ka), pa.array(kb), pa.array(np.bincount(owner[tested], minlength=len(n)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token))],
+                    names=["doc_id", "row", "n", "ka", "kb", "tested", "tokens"],
                 )
 
-    described = scratch.keep(docs.mapInArrow(describe, "doc_id long, n long, ka long, kb long, tested long, tokens array<long>"), "described")
-    classes = described.filter("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("tested").alias("tested"))
-    classes = scratch.keep(classes, "classes")
+    described = scratch.keep(docs.mapInArrow(describe, f"doc_id {kind}, row long, n long, ka long, kb long, tested long, tokens array<long>"), "described")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")  # a null id comes last
+    classes = described.filter("n > 0").groupBy("ka", "kb").agg(lead, F.first("n").alias("n"), F.first("tested").alias("tested"))
+    classes = scratch.keep(classes.select("ka", "kb", F.col("lead.doc_id").alias("class_id"), F.col("lead.row").alias("lead_row"), "n", "tested"), "classes")
 
     # 2. sets of which too much occurs nowhere else
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -252,29 +274,28 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield from _counted(*held)
 
     marked = tokens.select("h", "tested", "ka").mapInArrow(shared, "ka long, n long").groupBy("ka").agg(F.sum("n").alias("found"))
-    live = classes.join(marked, "ka", "left").filter(F.coalesce("found", F.lit(0)) >= F.col("tested") - F.floor(F.col("n") / 5)).select(F.col("class_id").alias("doc_id"), "ka")
-    live = scratch.keep(live.filter("doc_id is not null"), "live")
+    live = classes.join(marked, "ka", "left").filter(F.coalesce("found", F.lit(0)) >= F.col("tested") - F.floor(F.col("n") / 5)).select("class_id", "lead_row", "ka")
+    live = scratch.keep(live, "live")
     count = live.count()
 
     def sets_of(batches):
         for batch in batches:
-            for lo, hi, raw, off in blocks(batch.column(1)):
+            for lo, hi, raw, off in blocks(batch.column(0)):
                 h, at = shingles(raw, off, size)
                 ka, _ = set_keys(h, at)
-                same = np.flatnonzero(ka == batch.column(2).slice(lo, hi - lo).to_numpy())
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(same))
-                yield pa.record_batch([ids, pa.array(np.diff(at)[same], pa.int64()), pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["doc_id", "n", "hashes"])
+                same = np.flatnonzero(ka == batch.column(1).slice(lo, hi - lo).to_numpy())
+                yield pa.record_batch([pa.array(ka[same]), pa.array(np.diff(at)[same], pa.int64()), pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["ka", "n", "hashes"])
 
-    sets = _by_ids(docs, live, count).select("doc_id", "text", "ka").mapInArrow(sets_of, "doc_id long, n long, hashes array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = _leaders(docs, live, count).mapInArrow(sets_of, "ka long, n long, hashes array<long>")
+    sets = scratch.keep(sets.dropDuplicates(["ka"]), "sets")
 
     # 3. blocks by shared rare shingles
-    each = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
+    each = sets.select("ka", "n", F.explode("hashes").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often.filter("often > 1"), "h").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("r"))
+    ranked = each.join(often.filter("often > 1"), "h").groupBy("ka", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("r"))
     # shingles that occur once come first and link nothing, so they only shorten what is left of the prefix
     prefix = ranked.withColumn("left", F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("r"))).filter("left > 0")
-    prefix = prefix.select("doc_id", "n", F.explode(F.slice("r", F.lit(1), F.col("left").cast("int"))).alias("x")).select("doc_id", "n", F.col("x.h").alias("h"))
+    prefix = prefix.select("ka", "n", F.explode(F.slice("r", F.lit(1), F.col("left").cast("int"))).alias("x")).select("ka", "n", F.col("x.h").alias("h"))
 
     def neighbours(batches):
         """Edges between neighbours in size within a run of equal hashes, while their sizes can link."""
@@ -289,25 +310,26 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
             last = (h[-1], n[-1], d[-1])
 
-    near = prefix.select("h", "n", "doc_id").repartition(parts, "h").sortWithinPartitions("h", "n", "doc_id").mapInArrow(neighbours, "a long, b long")
+    near = prefix.select("h", "n", "ka").repartition(parts, "h").sortWithinPartitions("h", "n", "ka").mapInArrow(neighbours, "a long, b long")
     block_of = scratch.keep(components(near, scratch, "near"), "blocks")
 
-    # 4. links within blocks
-    from pyspark.sql import Window
-
-    in_block = sets.select("doc_id", "n").join(block_of.withColumnRenamed("node", "doc_id"), "doc_id")
-    order = Window.partitionBy("component").orderBy("n", "doc_id")
-    chunked = scratch.keep(in_block.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "chunked")
+    # 4. links within blocks: chunks of a component are runs of its order by size and least hash, dealt over tasks by ranges of it
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int").alias("band")
+    in_block = sets.select("ka", "n", band, F.element_at("hashes", 1).alias("least")).join(block_of.withColumnRenamed("node", "ka"), "ka")
+    in_block = scratch.keep(in_block.select("component", "band", "least", "ka", "n"), "in_block")
+    order = ["component", "band", "least", "ka"]
+    ranked = in_block.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("component", "ka", "n")
+    chunked = scratch.keep(ranked.mapInArrow(_cut_into_chunks, "component long, chunk long, ka long, n long"), "chunked")
     spans = chunked.groupBy("component", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.select("component", F.col("chunk").alias("chunk_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    pairs = spans.join(other, "component").filter("chunk <= chunk_b and 5 * high >= 4 * low_b").select("component", F.col("chunk").alias("one"), F.col("chunk_b").alias("two"))
-    members = pairs.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk")).join(chunked, ["component", "chunk"])
-    work = members.join(sets.select("doc_id", "hashes"), "doc_id").select("component", "one", "two", "chunk", "doc_id", "hashes")
+    pairs = spans.join(other, "component").filter("chunk <= chunk_b and 5 * least(high, high_b) >= 4 * greatest(low, low_b)").select("component", F.col("chunk").alias("one"), F.col("chunk_b").alias("two"))
+    members = pairs.select("*", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk")).join(chunked.drop("n"), ["component", "chunk"])
+    work = members.join(sets.select("ka", "hashes"), "ka").select("component", "one", "two", "chunk", "ka", "hashes")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", ignore_index=True)
+        frame = frame.sort_values("ka", ignore_index=True)
         hashes = [np.sort(np.asarray(x, np.int64).view(np.uint64)) for x in frame["hashes"]]
-        ids, chunk = frame["doc_id"].to_numpy(), frame["chunk"].to_numpy()
+        ids, chunk = frame["ka"].to_numpy(), frame["chunk"].to_numpy()
         one, two = frame["one"].iloc[0], frame["two"].iloc[0]
         left = np.flatnonzero(chunk == one)
         right = None if one == two else np.flatnonzero(chunk == two)
@@ -319,12 +341,17 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = work.groupBy("component", "one", "two").applyInPandas(link, "a long, b long")
     final = components(scratch.keep(links, "links"), scratch, "final")
 
-    # 5. documents
-    joined = classes.select("ka", "kb", "class_id").join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    found = scratch.keep(joined.select("ka", "kb", "class_id", F.coalesce("component", "class_id").alias("component")), "found")
-    base = described.select("doc_id", "n", "ka", "kb")
-    full = base.filter("n > 0").join(found, ["ka", "kb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    none = base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    # 5. documents: of a component's classes the one with the least document leads
+    linked = classes.join(final.withColumnRenamed("node", "ka"), "ka")
+    best = linked.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("no_id"), "class_id", "ka")).alias("best"))
+    told = linked.join(best, "component").select("ka", "kb", F.col("best.class_id").alias("component_id"), (F.col("best.ka") == F.col("ka")).alias("leads"))
+    joined = classes.join(told, ["ka", "kb"], "left")
+    found = joined.select("ka", "kb", "class_id", "lead_row", F.when(F.col("leads").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    found = scratch.keep(found, "found")
+    base = described.select("doc_id", "row", "n", "ka", "kb")
+    stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("lead_row"))
+    full = base.filter("n > 0").join(found, ["ka", "kb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", "row", stays.alias("stays"))
+    none = base.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), "row", F.lit(True).alias("stays"))
     return full.unionByName(none)
 
 
@@ -344,6 +371,10 @@ def _counted(h: np.ndarray, flag: np.ndarray, ka: np.ndarray, force: bool = Fals
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose component has a smaller one."""
-    gone = class_components(docs, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The documents, of each component one row: that with the smallest id (null ids last; of equal ids the text with the least key, and any one of rows that repeat both).
+
+    Rows are dropped by id and text together, so a repeated or null id takes no other text with it.  Texts without words are
+    linked with nothing and all stay."""
+    found = Scratch(docs.sparkSession, "near-copies").keep(class_components(docs, id_col, text_col).select("doc_id", F.col("row").alias("key"), "n_shingles", "stays"), "found")
+    tied = found.filter("stays and n_shingles > 0").groupBy("doc_id", "key").count().filter("count > 1")
+    return drop_rows(docs, found.filter("not stays"), tied, id_col, text_key(F.col(text_col)))

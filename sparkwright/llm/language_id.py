@@ -6,7 +6,8 @@ columns.  A row is sqrt(tf) * idf, scaled to unit length.  Document frequencies
 every training document.  The weights are trained by follow-the-regularised-leader
 with elastic-net penalties on at most about ``PER_LANGUAGE`` documents of each
 language (picked by a hash of the id), and a temperature is fitted on a held-back
-tenth of them.
+tenth of them.  More than ``max_languages`` different languages are an error, since
+the weights have a column for each; none is left out silently.
 
 Documents are scored whole.  A null text, or one without letters, is ``und`` with
 score 0; so is every document if there is nothing to learn from.  Languages that
@@ -28,6 +29,7 @@ from .common import blocks
 
 DIMS = 1 << 14
 PER_LANGUAGE = 1500
+MAX_LANGUAGES = 1000
 ROWS = 32  # documents that are held as dense rows at a time
 
 
@@ -151,8 +153,8 @@ class Model:
         return softmax((tfidf(counts, self.idf) @ self.weights + self.bias) / self.heat)
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dims: int = DIMS) -> Model | None:
-    """A model from rows with a language; None if there are none."""
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dims: int = DIMS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """A model from rows with a language; None if there are none.  ValueError beyond ``max_languages``."""
     rows = train.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"))
 
     def frequencies(batches):
@@ -170,9 +172,11 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         df[r["column"]] = r["n"]
     idf = (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.filter(place < F.coalesce(shares[F.col("lang")], F.lit(0.0))).withColumn("part", F.crc32(F.concat(F.lit("t"), F.col("id")).cast("binary")) % 10)
@@ -220,6 +224,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """Learns from the training rows and predicts every row."""
-    return predict(docs, fit(docs.filter(is_training), id_col, text_col, lang_col, per_language), id_col, text_col)
+    return predict(docs, fit(docs.filter(is_training), id_col, text_col, lang_col, per_language, max_languages=max_languages), id_col, text_col)

@@ -5,10 +5,13 @@ A word's input is its hashed embedding beside the mean of its hashed character
 one at the very end, cover the whole text; each goes through a forward and a
 backward GRU, attention pools the states, and a document's logit is that of its
 most toxic window.  Training (AdaGrad, back-propagation through time, the top
-window of each document) uses at most about ``PER_CLASS`` labelled documents of
-each label, picked by a hash of the id; the first column of the embeddings starts
-from smoothed log-odds in that sample.  A logistic calibration on a held-back part,
-weighted to the labels' true shares, makes the logit a probability.
+window of each document) uses at most about ``PER_CLASS`` labelled documents and
+``SAMPLE_BYTES`` of text of each label, picked by a hash of the id; the first column of the
+embeddings starts from smoothed log-odds in that sample.  A logistic calibration, weighted
+to the labels' shares among all training rows, makes the logit a probability: it is fitted
+on logits that networks trained without each of ``FOLDS`` parts give to that part, while
+the network that scores learns from all parts.  The trainings run side by side on
+executors; the driver sees only networks (1 MB each) and logits.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case.  Every text is read
 whole; a null or empty text, or one of white space, gets the calibrated score of an
@@ -19,16 +22,20 @@ Equal windows tie without effect, since only the largest logit counts.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import blocks, lowered, release, span_hash, word_spans
+from .common import Scratch, blocks, lowered, span_hash, word_spans
 
 WINDOW, STRIDE = 32, 16
 PER_CLASS = 1500
+SAMPLE_BYTES = 32 << 20
+FOLDS = 3
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 14, 8, 8
 BATCH = 2048
 TRAIN_BYTES = 1 << 20
@@ -295,36 +302,46 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model from rows with a label of 0 or 1."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        return Model(None, 1.0, 0.0, float(max(sizes, default=0)))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    got = rows.filter(place < share).withColumn("part", F.crc32(F.concat(F.lit("t"), F.col("id")).cast("binary")) % 6).collect()
-    got.sort(key=lambda r: (r["label"], r["id"], r["text"]))
-    texts, y = [r["text"] for r in got], np.array([r["label"] for r in got])
-    held = np.array([r["part"] == 0 for r in got])
-    if len(got) < 60 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(got), bool)
-    if len(set(y[~held])) < 2:
-        return Model(None, 1.0, 0.0, sizes[1] / (sizes[0] + sizes[1]))
+def _logits(net: dict, texts: list[str]) -> np.ndarray:
+    raw = np.clip(Model(net, 1.0, 0.0).scores(pa.array(texts, pa.large_string())), 1e-7, 1 - 1e-7)
+    return np.log(raw / (1 - raw))
+
+
+def _trained(frame: pd.DataFrame) -> pd.DataFrame:
+    """One training: job k < ``FOLDS`` learns without part k and gives its logits, the last job learns from all rows."""
+    job = int(frame["job"].iloc[0])
+    frame = frame.sort_values(["label", "id", "text"], kind="stable", ignore_index=True)
+    texts, y, held = frame["text"].tolist(), frame["label"].to_numpy(), (frame["part"] == job).to_numpy()
+    if len(set(y[~held])) < 2 or job < FOLDS and (len(y) < 60 or not held.any()):
+        return pd.DataFrame({"job": [job], "net": [None], "logits": [None], "labels": [None]})
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    test = held if held.any() else ~held
-    logits = Model(net, 1.0, 0.0)
-    raw = logits.scores(pa.array([t for t, h in zip(texts, test, strict=True) if h], pa.large_string()))
-    z = np.log(np.clip(raw, 1e-7, 1 - 1e-7) / (1 - np.clip(raw, 1e-7, 1 - 1e-7)))
-    yt = y[test]
-    weight = np.where(yt == 1, sizes[1] / max((yt == 1).sum(), 1), sizes[0] / max((yt == 0).sum(), 1))
-    weight = weight / weight.mean()
-    scale, shift = calibrate(z, yt, weight)
-    release()
-    if held.any():  # what was held back for the calibration is learnt from, too
-        net = train(texts, y)
-        release()
-    return Model(net, scale, shift)
+    told = held if job < FOLDS else np.ones(len(y), bool)
+    logits = _logits(net, [t for t, h in zip(texts, told, strict=True) if h])
+    return pd.DataFrame({"job": [job], "net": [pickle.dumps(net) if job == FOLDS else None], "logits": [logits.tobytes()], "labels": [y[told].astype(np.int64).tobytes()]})
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, shares: dict[int, int] | None = None) -> Model:
+    """A model from rows with a label of 0 or 1; ``shares``: how often each label is there, if the rows are a sample."""
+    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+    there = {r["label"]: r for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    if len(there) < 2:
+        return Model(None, 1.0, 0.0, float(max(there, default=0)))
+    wanted = {y: min(1.0, per_class / r["n"], SAMPLE_BYTES / max(r["size"], 1)) for y, r in there.items()}
+    place = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.filter(place < F.when(F.col("label") == 1, wanted[1]).otherwise(wanted[0]))
+    sample = sample.withColumn("part", F.crc32(F.concat(F.lit("t"), F.coalesce("id", F.lit(""))).cast("binary")) % FOLDS)
+    jobs = sample.withColumn("job", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionById(FOLDS + 1, F.col("job"))
+    got = {r["job"]: r for r in jobs.groupBy("job").applyInPandas(_trained, "job int, net binary, logits binary, labels binary").collect()}
+    constant = Model(None, 1.0, 0.0, there[1]["n"] / (there[0]["n"] + there[1]["n"]))
+    if FOLDS not in got or got[FOLDS]["net"] is None:  # the sample has one label only
+        return constant
+    unseen = [r for k, r in sorted(got.items()) if k < FOLDS and r["logits"] is not None] or [got[FOLDS]]
+    z, y = np.concatenate([np.frombuffer(r["logits"]) for r in unseen]), np.concatenate([np.frombuffer(r["labels"], np.int64) for r in unseen])
+    if len(set(y)) < 2:
+        return constant
+    true = shares or {k: r["n"] for k, r in there.items()}
+    weight = np.where(y == 1, true[1] / (y == 1).sum(), true[0] / (y == 0).sum())
+    return Model(pickle.loads(got[FOLDS]["net"]), *calibrate(z, y, weight / weight.mean()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,13 +359,13 @@ def _learn(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str,
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.filter(is_training).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # which documents to read is settled on ids alone; their texts are taken by a broadcast of about 3 * per_class ids
-    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    there = rows.select("doc_id").join(known, F.col("doc_id") == F.col("_id")).select("_id", "_toxic").distinct()
+    there = Scratch(docs.sparkSession, "toxic").keep(there, "labelled")
+    shares = {r["_toxic"]: r["count"] for r in there.groupBy("_toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("_toxic") == 1, min(1.0, 1.5 * per_class / max(sizes.get(1, 1), 1))).otherwise(min(1.0, 1.5 * per_class / max(sizes.get(0, 1), 1)))
-    picked = rows.join(F.broadcast(known.filter(place < share)), rows["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
-    model = fit(picked, "doc_id", "text", "toxic", per_class)
-    release()
-    return model
+    share = F.when(F.col("_toxic") == 1, min(1.0, 1.5 * per_class / max(shares.get(1, 1), 1))).otherwise(min(1.0, 1.5 * per_class / max(shares.get(0, 1), 1)))
+    picked = rows.join(F.broadcast(there.filter(place < share)), rows["doc_id"] == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
+    return fit(picked, "doc_id", "text", "toxic", per_class, shares if len(shares) == 2 else None)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
@@ -356,14 +373,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: st
     return score(docs, _learn(docs, labels, is_training, id_col, text_col, per_class), id_col, text_col)
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """Learns likewise and returns whole rows with a column ``score``, without a join."""
+def reject(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """Learns likewise and returns the whole rows whose score is below the threshold.
+
+    Each row is judged by its own text, without a join: null and repeated ids and extra columns of any name make no difference."""
     model = _learn(docs, labels, is_training, id_col, text_col, per_class)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(model.scores(batch.column(at)), pa.float64())], names=[*batch.schema.names, "score"])
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ def test_empty_and_repeated_rows(spark, make):
 
 
 def test_directory_doubles_and_splits_only_what_is_full():
-    assert exact_dedup.directory({}, 4, 10) == (0, [0])
+    assert exact_dedup.directory({}, 4, 10) == (0, [(0, 0)])
     depth, slots = exact_dedup.directory({0: 30, 1: 5, 15: 3}, 4, 10)
     assert depth == 4 and len(slots) == 16 and slots[0] != slots[1] and len(set(slots[8:])) == 1
 
