@@ -15,16 +15,20 @@ an item stand in places that fit one another, a window of the document is compar
 with the item by the cosine of their latent vectors; from ``COSINE`` on it is a
 candidate.  A candidate is a leak if the longest common subsequence has at least
 ``SHARE`` of the item's words and at least half of its ``ANSWER`` rarest words stand in
-the window: paraphrases with some words changed, left out or put in are found, whole
-copies always are.  Words that occur in no document are neither seeds nor answers.
+the window, or if it has at least ``STRONG`` of the words of an item of ``LONG`` words or
+more, whichever words those are: paraphrases with some words changed, left out or put
+in are found, whole copies always are.  What is not a leak by these rules: a text in
+which more than ``1 - SHARE`` of the words changed, one in which most answer words and
+more than ``1 - STRONG`` of the words changed, and one whose halves changed places.  Words
+that occur in no document are neither seeds nor answers.
 
 Items of fewer than ``LEAST`` words, or with fewer than ``VOTES`` different ones, say too
 little for that: they are leaks where all their words stand in a row, found by their
 rarest word (cosine and answer share are told as 1).  An item without words is no item.  Items are
-searched in blocks of ``ITEMS``.  Null and empty texts leak nothing, and a null item is
-no item.  Of several places in one document the best is told (longest, then first).
-Documents that repeat an id count as one document; without documents or items the
-result is empty.  Long documents are one block each.
+searched in blocks of ``ITEMS``, each of which reads the documents once.  Null and empty
+texts leak nothing, and a null item is no item.  Of several places in one document the
+best is told (longest, then first); rows that repeat a doc_id are told as one document,
+while :func:`drop_leaking` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -37,14 +41,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, lowered, release, span_hash, word_spans
 from .suffix_dedup import ragged
 
-BUCKETS = 1 << 14
-RANK = 32
+BUCKETS = 1 << 15
+RANK = 48
 PASSAGE = 48
 SAMPLE = 4000
 ROUNDS = 2
-SHARE = 0.7
+SHARE = 0.55
+STRONG, LONG = 0.7, 12
 VOTES = 3
-COSINE = 0.3
+COSINE = 0.1
 ANSWER = 5
 LEAST = 8
 ITEMS = 20_000
@@ -132,7 +137,7 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: i
                     n += len(y)
             yield pa.record_batch([pa.array([z.astype(np.float32).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["z", "total", "n"])
 
-        got = sample.select("text").mapInArrow(multiply, "z binary, total binary, n long").collect()  # one row of 2 MB for each of few partitions
+        got = sample.select("text").mapInArrow(multiply, "z binary, total binary, n long").collect()  # one row of 6 MB for each of few partitions
         if not sum(x["n"] for x in got):
             break
         z = sum(np.frombuffer(x["z"], np.float32).reshape(BUCKETS, rank).astype(float) for x in got)
@@ -278,61 +283,85 @@ def judge(words: np.ndarray, item: int, items: Items, idf, basis, mean) -> tuple
     common = common_subsequence(items.words[item], span)
     answers = items.answers[item]
     share = float(np.isin(answers, span).mean()) if len(answers) else 0.0
-    return (best, common, share) if common >= SHARE * n and share >= 0.5 else None
+    leak = common >= SHARE * n and share >= 0.5 or n >= LONG and common >= STRONG * n
+    return (best, common, share) if leak else None
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, cosine, common_words, item_words, answer_share): one row per document and leaked item."""
+def _asked(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, sample: int):
+    """(broadcast latent space, [(ids of a block of items, broadcast items)]); ``docs`` has the columns doc_id and text."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "leaks")
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df, n = document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1e-3)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = scratch.keep(docs.filter(place < min(1.0, sample / max(n, 1))).select("text").repartition(6), "sample")
+    picked = Scratch(spark, "leaks").keep(docs.filter(place < min(1.0, sample / max(n, 1))).select("text").repartition(6), "sample")
     basis, scale, mean = latent_basis(picked, idf)
     release()
-    shared = spark.sparkContext.broadcast((idf, basis * scale, mean))  # 2 MB
+    space = idf, basis * scale, mean
     asked = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
     block_of = F.floor(F.pmod(F.xxhash64("item_id", "text"), F.lit(1 << 30)) * F.lit(max(1, -(-asked.count() // ITEMS))) / float(1 << 30)).cast("int")
     asked = asked.withColumn("block", block_of)
-    schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, cosine double, common_words long, item_words long, answer_share double"
-    found = None
+    found = []
     for (block,) in asked.select("block").distinct().orderBy("block").collect():
         rows = asked.filter(F.col("block") == block).orderBy("item_id", "text").collect()  # about ITEMS
-        ids = [r["item_id"] for r in rows]
-        items = spark.sparkContext.broadcast(Items(np.arange(len(ids)), [r["text"] for r in rows], df, idf, basis * scale, mean))
+        items = Items(np.arange(len(rows)), [r["text"] for r in rows], df, idf, space[1], mean)
+        found.append(([r["item_id"] for r in rows], spark.sparkContext.broadcast(items)))
+    return spark.sparkContext.broadcast(space), found  # 6 MB
+
+
+def told_of(texts: pa.Array, items: Items, space: tuple) -> list[tuple]:
+    """(row, item, first word, words, cosine, common words, item's words, answer share) of the leaks in some texts."""
+    out = []
+    for lo, _, raw, off in blocks(texts):
+        key, doc = bare_words(raw, off)
+        for d, i, a, b in zip(*(x.tolist() for x in places(key, doc, items)), strict=True):
+            told = judge(key[a:b], i, items, *space)
+            if told:
+                out.append((lo + d, i, a - int(np.searchsorted(doc, d, "left")), b - a, told[0], told[1], len(items.words[i]), told[2]))
+        if len(items.whole_key):
+            for d, i, a in zip(*(x.tolist() for x in whole_places(key, doc, items)), strict=True):
+                n = len(items.words[i])
+                out.append((lo + d, i, a - int(np.searchsorted(doc, d, "left")), n, 1.0, n, n, 1.0))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, cosine, common_words, item_words, answer_share): one row per document and leaked item."""
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    space, asked = _asked(docs, benchmark, item_col, item_text, sample)
+    schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, cosine double, common_words long, item_words long, answer_share double"
+    found = spark.createDataFrame([], schema)
+    for ids, items in asked:
 
         def search(batches, items=items, ids=ids):
-            its, (idf_, basis_, mean_) = items.value, shared.value
             for batch in batches:
-                out: list[tuple] = []
-                for lo, _, raw, off in blocks(batch.column(1)):
-                    key, doc = bare_words(raw, off)
-                    for d, i, a, b in zip(*(x.tolist() for x in places(key, doc, its)), strict=True):
-                        told = judge(key[a:b], i, its, idf_, basis_, mean_)
-                        if told:
-                            first = int(np.searchsorted(doc, d, "left"))
-                            out.append((batch.column(0)[lo + d].as_py(), ids[i], a - first, b - a, told[0], told[1], len(its.words[i]), told[2]))
-                    if len(its.whole_key):
-                        for d, i, a in zip(*(x.tolist() for x in whole_places(key, doc, its)), strict=True):
-                            n = len(its.words[i])
-                            out.append((batch.column(0)[lo + d].as_py(), ids[i], a - int(np.searchsorted(doc, d, "left")), n, 1.0, n, n, 1.0))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 8
-                kinds = [batch.column(0).type, None, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
-                kinds[1] = pa.infer_type(ids) if ids else pa.int64()
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "first_word", "n_words", "cosine", "common_words", "item_words", "answer_share"])
-
-        part = docs.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+                got = told_of(batch.column(1), items.value, space.value)
+                columns = list(zip(*got, strict=True)) if got else [[]] * 8
+                item_ids = pa.array([ids[i] for i in columns[1]], pa.infer_type(ids))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+                rest = [pa.array(c, k) for c, k in zip(columns[2:], kinds, strict=True)]
+                yield pa.record_batch([batch.column(0).take(pa.array(columns[0], pa.int64())), item_ids, *rest], names=["doc_id", "item_id", "first_word", "n_words", "cosine", "common_words", "item_words", "answer_share"])
+
+        found = found.unionByName(docs.mapInArrow(search, schema))
     best = F.max_by(F.struct("first_word", "n_words", "cosine", "common_words", "item_words", "answer_share"), F.struct("common_words", -F.col("first_word"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    gone = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows in whose text no benchmark item is found.
+
+    Each row is judged by its own text, without a join: null and repeated ids and extra columns of any name make no difference."""
+    known = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    space, asked = _asked(known, benchmark, item_col, item_text, sample)
+    at = docs.columns.index(text_col)
+    for _, items in asked:
+
+        def clean(batches, items=items):
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[row for row, *_ in told_of(batch.column(at), items.value, space.value)]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

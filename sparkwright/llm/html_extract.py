@@ -8,13 +8,17 @@ the text looks like (length, share of linked text, marks such as a copyright
 sign).  The CRF has two labels (main text or not) with transition weights, is
 trained by maximum likelihood on labelled pages (:mod:`html_pages` makes them) and
 decoded by Viterbi.  Text outside the document's body (title, script, style and
-so on) is no block.
+so on) is no block; an element that shows something else than its content (svg,
+video, object, ...) hides it until it ends, at the latest with its parent.
 
 Inside a block white space is one space and the ends are trimmed; the chosen
 blocks are joined in page order by one space; no text is capped or dropped.  Null
 and empty pages give an empty text; a page without markup is one block.
 Repeated rows give repeated results; an empty table an empty one.  Work and memory
-are linear in a page's length.
+are linear in a page's length, for broken pages too: elements know their parent and the
+marks that they add to its, open elements are found by name, a quote that never closes
+is looked for once (from there on a tag ends at the next ``>``), and a ``<`` behind the
+last ``>`` is text.
 """
 
 from __future__ import annotations
@@ -31,42 +35,134 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the HTML standard: elements that never have content, those whose content is not markup, those that start a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style noscript template iframe noframes noembed xmp title textarea svg math object audio video canvas head".split()) - {"head"}
+RAW = frozenset("script style noscript iframe noframes noembed xmp title textarea".split())
+MUTE = frozenset("template svg math object audio video canvas".split())
+IN_HEAD = frozenset("title base basefont bgsound link meta style script noscript template head html noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul button".split())
 #: A start tag of the key closes an open element of the value (nearest first).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 #: An implied close does not look past these.
 SCOPE = frozenset("ul ol dl table html body article section div nav select aside main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/>]|$)", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*([\"'])")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/>]|$)", re.S)
 _WORDS = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=20_000)
+def marks_of(tag: str, attributes: str) -> frozenset[str]:
+    """A start tag's name, the words of its class, id and role, and whether it is hidden."""
+    marks = {f"tag={tag}"}
+    for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
+        name, value = (m[1] or m[5]).lower(), next((x for x in (m[2], m[3], m[4]) if x is not None), "")
+        if name in ("class", "id", "role"):
+            marks.update(f"word={w}" for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            marks.add("hidden")
+    return frozenset(marks)
+
+
 class Element:
-    __slots__ = ("tag", "marks", "link", "path")
+    """An open or closed element: its tag and marks, what it adds to its ancestors' marks, and whether it is in a link, the article, or hidden."""
+
+    __slots__ = ("tag", "marks", "parent", "fresh", "link", "inside", "mute", "score")
 
     def __init__(self, tag: str, attributes: str, parent: "Element | None"):
-        self.tag = tag
-        marks = {f"tag={tag}"}
-        for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
-            name, value = (m[1] or m[5]).lower(), next((x for x in (m[2], m[3], m[4]) if x is not None), "")
-            if name in ("class", "id", "role"):
-                marks.update(f"word={w}" for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                marks.add("hidden")
-        self.marks = frozenset(marks)
-        self.link = tag == "a" or bool(parent and parent.link)
-        self.path = (parent.path if parent else ()) + ((tag, self.marks),)
-
-
-def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
-    """(ancestors, text, share of linked characters) of a page's blocks, in page order."""
-    out: list[tuple[tuple, str, float]] = []
-    stack: list[Element] = []
-    parts: list[str] = []
-    linked = 0
-    where: tuple = ()
+        self.tag, self.parent, self.score = tag, parent, None
+        self.marks = self.fresh = marks_of(tag, attributes) if len(attributes) < 1000 else marks_of.__wrapped__(tag, attributes)
+        self.link = tag == "a" or parent is not None and parent.link
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.mute = tag in MUTE or parent is not None and parent.mute
+
+
+class Open:
+    """The stack of open elements, by place, by tag and by mark."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.marks: dict[str, int] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def top(self) -> Element | None:
+        return self.stack[-1] if self.stack else None
+
+    def block(self) -> Element | None:
+        return self.stack[self.blocks[-1]] if self.blocks else None
+
+    def push(self, element: Element) -> None:
+        place, marks = len(self.stack), self.marks
+        element.fresh = [m for m in element.marks if not marks.get(m)]
+        for m in element.marks:
+            marks[m] = marks.get(m, 0) + 1
+        self.stack.append(element)
+        self.at.setdefault(element.tag, []).append(place)
+        if element.tag in BLOCK:
+            self.blocks.append(place)
+        if element.tag in SCOPE:
+            self.scopes.append(place)
+
+    def cut(self, place: int) -> None:
+        """Closes everything from a place on."""
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.at[element.tag].pop()
+            for m in element.marks:
+                self.marks[m] -= 1
+            for places in (self.blocks, self.scopes):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def last(self, tags) -> int:
+        """The innermost open element of some tags, or -1."""
+        place = -1
+        for t in tags:
+            places = self.at.get(t)
+            if places and places[-1] > place:
+                place = places[-1]
+        return place
+
+    def close(self, tags, beyond: int) -> None:
+        """Closes the innermost element of the tags, unless it is further out than ``beyond``."""
+        place = self.last(tags)
+        if place >= 0 and place >= beyond:
+            self.cut(place)
+
+
+class Tags:
+    """Finds a page's tags; what could cost a look at the whole rest is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its ``>``; a quoted value may hold one."""
+        page, start = self.page, at
+        while self.quotes:
+            stop = _STOP.search(page, at)
+            if not stop:
+                break
+            if stop[0] == ">":
+                return stop.start()
+            value = _VALUE.match(page, stop.end())
+            if not value:
+                at = stop.end()
+                continue
+            at = page.find(value[1], value.end()) + 1
+            if not at:
+                break
+        self.quotes = False
+        return page.find(">", start)
+
+
+def leaf_blocks(page: str) -> list[tuple["Element | None", str, float]]:
+    """(innermost block element, text, share of linked characters) of a page's blocks, in page order."""
+    out: list[tuple[Element | None, str, float]] = []
+    open_, tags, parts = Open(), Tags(page), []
+    linked, where = 0, None
 
     def flush():
         nonlocal linked
@@ -79,77 +175,123 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
 
     def add(text: str):
         nonlocal linked, where
+        top = open_.top()
+        if top and top.mute:
+            return
         if not parts:
             if text.isspace():
                 return
-            block = len(stack)
-            while block and stack[block - 1].tag not in BLOCK:
-                block -= 1
-            where = stack[block - 1].path if block else ()
+            if top and top.tag == "head":  # text cannot stand there
+                open_.cut(len(open_.stack) - 1)
+                top = open_.top()
+            where = open_.block()
         if "&" in text:
             text = html.unescape(text)
         parts.append(text)
-        if stack and stack[-1].link:
+        if top and top.link:
             linked += len(text)
 
-    def pop_to(names, within) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return True
-            if stack[k].tag in within:
-                return False
-        return False
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK:
-                flush()
-                pop_to((tag,), ("html",) if tag != "html" else ())
-            elif tag == "br":
-                parts.append(" ")
-            else:
-                pop_to((tag,), BLOCK)
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
+    def start(tag: str, attributes: str):
+        top = open_.top()
+        if top and top.mute:
+            if tag not in VOID and not attributes.endswith("/"):
+                open_.push(Element(tag, attributes, top))
+            return
+        if tag not in IN_HEAD and open_.at.get("head"):
+            open_.close(("head",), 0)
         if tag in BLOCK:
             flush()
-            pop_to(("p",), SCOPE | {"td", "th", "li", "button"})
+            scope = open_.scopes[-1] if open_.scopes else -1
+            open_.close(("p",), max(scope, open_.last(("td", "th", "li", "button"))))
             if tag in CLOSES:
-                pop_to(CLOSES[tag], SCOPE - {tag, "body"} if tag != "body" else ())
+                mine = open_.last((tag,)) if tag in SCOPE else -1
+                scope = next((k for k in reversed(open_.scopes) if k != mine), -1) if tag != "body" else -1
+                open_.close(CLOSES[tag], scope)
         elif tag in ("br", "hr"):
             if parts:
                 parts.append(" ")
+            return
+        if tag not in VOID and not (tag in MUTE and attributes.endswith("/")):
+            open_.push(Element(tag, attributes, open_.top()))
+
+    def stop(tag: str):
+        top = open_.top()
+        if top and top.mute:
+            place = open_.last((tag,))
+            if place < 0:
+                return
+            if open_.stack[place].mute:
+                open_.cut(place)
+                return
+            while open_.top() and open_.top().mute:  # the end of something around it
+                open_.cut(len(open_.stack) - 1)
+        if tag in BLOCK:
+            flush()
+            open_.close((tag,), open_.last(("html",)) if tag != "html" else -1)
+        elif tag == "br":
+            parts.append(" ")
+        else:
+            open_.close((tag,), open_.blocks[-1] if open_.blocks else -1)
+
+    at, text_from, n = 0, 0, len(page)
+    while at < n:
+        sign = page.find("<", at)
+        if sign < 0 or sign > tags.last and not page.startswith("<!--", sign):
+            break
+        if page.startswith("<!--", sign):
+            end, name = page.find("-->", sign + 4), None
+            after = end + 3 if end >= 0 else n
+        elif page[sign + 1 : sign + 2] in ("!", "?"):
+            name, after = None, page.find(">", sign) + 1
+        else:
+            name = _NAME.match(page, sign + 1)
+            if not name:
+                at = sign + 1
+                continue
+            end = tags.end(name.end())
+            if end < 0:
+                break
+            after = end + 1
+        if sign > text_from:
+            add(page[text_from:sign])
+        at = text_from = after
+        if not name:
             continue
-        if tag not in VOID:
-            stack.append(Element(tag, m[3], stack[-1] if stack else None))
+        tag, attributes = name[2].lower(), page[name.end() : after - 1]
+        if name[1]:
+            stop(tag)
+        elif tag in RAW and not attributes.endswith("/"):
+            if open_.at.get("head") and tag not in IN_HEAD:
+                open_.close(("head",), 0)
+            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = text_from = found.end() if found else n
+        else:
+            start(tag, attributes)
+    if text_from < n:
+        add(page[text_from:])
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b[0])]
+    return out
 
 
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple) -> tuple[str, ...]:
-    """What the ancestors say."""
-    marks = {m if m == "hidden" else f"up:{m}" for _, ms in path for m in ms}
-    own = path[-1] if path else ("none", frozenset())
-    marks |= {f"own:{m}" for m in own[1]}
-    inside = any(t in ("article", "main") for t, _ in path)
-    marks.add("in-article" if inside else "out-of-article")
-    return tuple(sorted(marks))
+def own_features(element: "Element | None") -> list[str]:
+    """What a block's own element says."""
+    if element is None:
+        return ["out-of-article"]
+    return [*(f"own:{m}" for m in element.marks), "in-article" if element.inside else "out-of-article"]
+
+
+def fresh_features(element: Element) -> list[str]:
+    """What an element says about everything within it, beyond what its ancestors say."""
+    return [m if m == "hidden" else f"up:{m}" for m in element.fresh]
+
+
+def path_features(element: "Element | None") -> list[str]:
+    """What a block's element and its ancestors say."""
+    out = own_features(element)
+    while element is not None:
+        out += fresh_features(element)
+        element = element.parent
+    return sorted(out)
 
 
 def text_features(text: str, share: float) -> list[str]:
@@ -171,26 +313,46 @@ class Crf:
         self.weights: dict[str, np.ndarray] = {}
         self.move = np.zeros((2, 2))
         self.start = np.zeros(2)
-        self._paths: dict[tuple, tuple[float, float]] = {}
+        self._own: dict = {}  # what blocks' own elements add up to
 
     def emission(self, features) -> np.ndarray:
         got = [self.weights[f] for f in features if f in self.weights]
         return np.sum(got, axis=0) if got else np.zeros(2)
 
-    def block_score(self, block) -> tuple[float, float]:
-        path, text, share = block
-        base = self._paths.get(path)
-        if base is None:
-            if len(self._paths) > 20_000:
-                self._paths.clear()
-            base = self._paths[path] = tuple(self.emission(path_features(path)))
-        a, b = base
-        for f in text_features(text, share):
+    def total(self, features) -> tuple[float, float]:
+        a = b = 0.0
+        for f in features:
             w = self.weights.get(f)
             if w is not None:
-                a, b = a + w[0], b + w[1]
+                a, b = a + float(w[0]), b + float(w[1])
         return a, b
 
+    def element_score(self, element: "Element | None") -> tuple[float, float]:
+        """What the ancestors' marks add up to; each element knows it once it was asked."""
+        todo = []
+        while element is not None and (element.score is None or element.score[0] is not self):
+            todo.append(element)
+            element = element.parent
+        a, b = element.score[1] if element is not None else (0.0, 0.0)
+        for e in reversed(todo):
+            if e.fresh:
+                x, y = self.total(fresh_features(e))
+                a, b = a + x, b + y
+            e.score = self, (a, b)
+        return a, b
+
+    def block_score(self, block) -> tuple[float, float]:
+        element, text, share = block
+        a, b = self.element_score(element)
+        key = (element.marks, element.inside) if element is not None else None
+        own = self._own.get(key)
+        if own is None:
+            if len(self._own) > 20_000:
+                self._own.clear()
+            own = self._own[key] = self.total(own_features(element))
+        x, y = self.total(text_features(text, share))
+        return a + own[0] + x, b + own[1] + y
+
     def decode(self, blocks) -> list[int]:
         """Viterbi; of equal paths the one with more text."""
         if not blocks:
@@ -249,7 +411,7 @@ class Crf:
                         s = square.setdefault(f, np.full(2, 1e-3))
                         s += di * di
                         w += rate * (di - ridge * w) / np.sqrt(s)
-        self._paths.clear()
+        self._own.clear()
         return self
 
 

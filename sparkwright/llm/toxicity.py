@@ -14,8 +14,8 @@ the network that scores learns from all parts.  The trainings run side by side o
 executors; the driver sees only networks (1 MB each) and logits.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z in lower case.  Every text is read
-whole; a null or empty text, or one of white space, gets the calibrated score of an
-empty window.  Without labels of both kinds every score is the labels' mean (0 if
+whole; a null or empty text, or one of white space, has no window and gets the share of
+label 1 among the training rows.  Without labels of both kinds every score is the labels' mean (0 if
 there are none).  Repeated rows score alike; an empty table gives an empty result.
 Equal windows tie without effect, since only the largest logit counts.
 """
@@ -297,8 +297,7 @@ class Model:
             return out
         for lo, hi, raw, off in blocks(column):
             best = block_logits(self.net, Words(raw, off))[0].astype(float)
-            best[~np.isfinite(best)] = self.net["bias"][0]
-            out[lo:hi] = sigmoid(self.scale * best + self.shift)
+            out[lo:hi] = np.where(np.isfinite(best), sigmoid(self.scale * np.where(np.isfinite(best), best, 0) + self.shift), self.constant)
         return out
 
 
@@ -315,7 +314,7 @@ def _trained(frame: pd.DataFrame) -> pd.DataFrame:
     if len(set(y[~held])) < 2 or job < FOLDS and (len(y) < 60 or not held.any()):
         return pd.DataFrame({"job": [job], "net": [None], "logits": [None], "labels": [None]})
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    told = held if job < FOLDS else np.ones(len(y), bool)
+    told = (held if job < FOLDS else np.ones(len(y), bool)) & np.array([bool(t.split()) for t in texts])
     logits = _logits(net, [t for t, h in zip(texts, told, strict=True) if h])
     return pd.DataFrame({"job": [job], "net": [pickle.dumps(net) if job == FOLDS else None], "logits": [logits.tobytes()], "labels": [y[told].astype(np.int64).tobytes()]})
 
@@ -332,16 +331,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     sample = sample.withColumn("part", F.crc32(F.concat(F.lit("t"), F.coalesce("id", F.lit(""))).cast("binary")) % FOLDS)
     jobs = sample.withColumn("job", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionById(FOLDS + 1, F.col("job"))
     got = {r["job"]: r for r in jobs.groupBy("job").applyInPandas(_trained, "job int, net binary, logits binary, labels binary").collect()}
-    constant = Model(None, 1.0, 0.0, there[1]["n"] / (there[0]["n"] + there[1]["n"]))
+    true = shares or {k: r["n"] for k, r in there.items()}
+    constant = Model(None, 1.0, 0.0, true[1] / (true[0] + true[1]))
     if FOLDS not in got or got[FOLDS]["net"] is None:  # the sample has one label only
         return constant
     unseen = [r for k, r in sorted(got.items()) if k < FOLDS and r["logits"] is not None] or [got[FOLDS]]
     z, y = np.concatenate([np.frombuffer(r["logits"]) for r in unseen]), np.concatenate([np.frombuffer(r["labels"], np.int64) for r in unseen])
     if len(set(y)) < 2:
         return constant
-    true = shares or {k: r["n"] for k, r in there.items()}
     weight = np.where(y == 1, true[1] / (y == 1).sum(), true[0] / (y == 0).sum())
-    return Model(pickle.loads(got[FOLDS]["net"]), *calibrate(z, y, weight / weight.mean()))
+    return Model(pickle.loads(got[FOLDS]["net"]), *calibrate(z, y, weight / weight.mean()), constant.constant)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

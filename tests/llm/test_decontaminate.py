@@ -58,3 +58,57 @@ def test_short_items_are_found_whole(spark, make):
     assert got == {(0, 0, 1, 3), (0, 2, 3, 1), (1, 2, 3, 1), (3, 2, 0, 1), (5, 1, 1, 9)}
     left = decontaminate.drop_leaking(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r["doc_id"] for r in left} == {2, 4, 6, 7, 8}
+
+
+def test_recall_at_rates_of_change(spark):
+    """Items of the tables with a share of their words changed, at random and the rarest first, within other documents' text."""
+    from collections import Counter
+
+    d, rng = "/root/testdata/sf0.01", random.Random(4)
+    docs, benchmark = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet")
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").collect()]
+    often = Counter(w.lower().strip(".,;:") for t in texts for w in t.split())
+    pool = [w for t in texts[:200] for w in t.split()]
+    rows, want = [], {}
+    for kind, rate in (("random", 0.1), ("random", 0.2), ("random", 0.28), ("rarest", 0.1), ("rarest", 0.2)):
+        for item in benchmark.collect():
+            words = item["text"].split()
+            places = rng.sample(range(len(words)), round(rate * len(words))) if kind == "random" else sorted(range(len(words)), key=lambda i: often[words[i].lower().strip(".,;:")])[: round(rate * len(words))]
+            for i in places:
+                words[i] = rng.choice(pool)
+            body = texts[rng.randrange(900)].split()[:400]
+            cut = rng.randrange(len(body) + 1)
+            want[10**6 + len(rows)] = (kind, rate, item["item_id"])
+            rows.append((10**6 + len(rows), " ".join([*body[:cut], *words, *body[cut:]])))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs.unionByName(spark.createDataFrame(rows, docs.schema)), benchmark).collect()}
+    for group in {w[:2] for w in want.values()}:
+        found = [(doc, w[2]) in got for doc, w in want.items() if w[:2] == group]
+        assert sum(found) >= 0.9 * len(found), group
+
+
+def test_against_every_window(spark, make):
+    """Whatever has the share of common words and of answer words in a window of its length is found, and nothing far from it."""
+    rng = random.Random(8)
+    items = [words(rng, rng.randint(15, 40)) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        item = items[k % 12]
+        kept = [w if rng.random() > (k % 6) / 8 else f"z{rng.randrange(10**6)}" for w in item]
+        texts.append([*words(rng, rng.randrange(60)), *kept, *words(rng, rng.randrange(60))])
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    share = {(t, i): max(common(item, text[s : s + len(item)]) / len(item) for s in range(max(1, len(text) - len(item) + 1))) for t, text in enumerate(texts) for i, item in enumerate(items)}
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(make([" ".join(t) for t in texts]), benchmark).collect()}
+    sure = {p for p, s in share.items() if s >= decontaminate.STRONG}
+    assert len(sure) > 20 and len(sure - set(got)) <= 0.05 * len(sure)
+    assert all(r["common_words"] >= decontaminate.SHARE * r["item_words"] and (r["answer_share"] >= 0.5 or r["common_words"] >= decontaminate.STRONG * r["item_words"]) for r in got.values())
+    assert all(share[p] > 0.45 for p in got)

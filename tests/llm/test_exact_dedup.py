@@ -42,3 +42,26 @@ def test_sql(spark):
     cols = ["doc_id", "group_size", "keep_id", "kept", "text_sha256"]
     want = sorted(map(tuple, c.sql(oracle_sql()["op3_exact_dedup"]).select(*cols).fetchall()))
     assert sorted(map(tuple, queries()["op3_exact_dedup"](spark, d).select(*cols).collect())) == want
+
+
+def test_rows_are_dropped_by_id_and_text(spark, make):
+    """Repeated and null ids take no other text with them; of each text one row stays."""
+    docs = make(["a", "b", "a", "c c", "c\tc", "d", "d", "e", "e", None, "", "a"], ids=[1, 2, 2, None, None, None, 7, 8, 8, 9, 10, 1])
+    left = [(r["doc_id"], normal(r["text"])) for r in exact_dedup.drop_copies(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a"), (2, "b"), (None, "c c"), (7, "d"), (8, "e"), (9, "")], key=str)
+    assert exact_dedup.drop_copies(make([])).count() == 0
+    more = docs.withColumn("keep_id", docs["doc_id"]).withColumn("_key", docs["doc_id"]).withColumn("_named_id", docs["doc_id"])
+    assert exact_dedup.drop_copies(more).count() == len(left) and exact_dedup.drop_copies(more).columns == more.columns
+
+
+def test_every_bucket_is_owned_and_no_hash_is_trusted(spark, make, monkeypatch):
+    """Many small buckets, large groups, and texts that share a hash."""
+    texts = [f"text {i % 700}" for i in range(3000)] + ["hot"] * 1500
+    monkeypatch.setattr(exact_dedup, "LEAST_CAPACITY", 8)
+    got = exact_dedup.exact_dedup(make(texts)).collect()
+    assert all(r["keep_id"] == texts.index(texts[r["doc_id"]]) and r["group_size"] == texts.count(texts[r["doc_id"]]) for r in got) and len(got) == len(texts)
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
+    got = exact_dedup.exact_dedup(make(texts[:300]), capacity=2).collect()
+    assert all(r["keep_id"] == texts.index(texts[r["doc_id"]]) for r in got) and len(got) == 300

@@ -37,3 +37,44 @@ def test_viterbi_is_the_best_path():
 
     best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)
     assert abs(score(best) - score(crf.decode(blocks))) < 1e-9
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    crf, art = html_extract.trained(), "<article><p>This is a sentence of the article, long enough to count.</p>"
+    begun = time.time()
+    for page in ("<div>" * 100_000 + "deep", "<div>a " * 100_000, art + "<a " * 100_000, art + "<a x='" * 100_000 + ">", art + "<b" * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<p><div>" + "<b>" * 50_000 + "<address>" * 50_000, "<ul><li>x" * 50_000, art + "<script>" * 50_000, art + "<svg>" * 100_000, art + "<!-- " * 50_000, f"<a {'b' * 200_000}>"):
+        html_extract.extract(page, crf)
+    assert time.time() - begun < 60
+    short, long = (html_extract.extract(art + "<a " * k, crf) for k in (3, 3000))
+    assert short.startswith("This is a sentence") and len(long) - len(short) == 2997 * len("<a ")
+
+
+def test_elements_that_hide_their_content_and_heads_that_never_end():
+    def texts(page):
+        return [b[1] for b in html_extract.leaf_blocks(page)]
+
+    assert texts("<article><p>One two <video src=x>fallback</p><p>Next one.</p></article>") == ["One two", "Next one."]
+    assert texts("<article>a<svg><path d=1 /><text>t</text></svg>b<object>c</article><p>d") == ["ab", "d"]
+    assert texts("<head><title>T</title><meta x=1><p>Hello there.</p>") == texts("<head><title>T</title>Hello there.") == ["Hello there."]
+    assert texts("<p>1 < 2 and 3 > 2</p>") == ["1 < 2 and 3 > 2"] and texts('<a href=foo">x</a> y') == ["x y"]
+
+
+def test_pages_table(spark):
+    """Against the pages' own structure: the article's text between block tags, without what it marks as comments or adverts."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main(pages).collect()}
+    same, total = 0, 0
+    for r in pages.collect():
+        article = re.search(r"<article[^>]*>(.*?)</article>", r["html"] or "", re.S)
+        if not article or re.search(r"<(div|aside|section)", article[1]):
+            continue
+        parts = re.split(r"</?(?:p|h\d|ul|ol|li|blockquote|pre|table|tr|td|th)\b[^>]*>", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", article[1], flags=re.S))
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", p))).split()) for p in parts]
+        total += 1
+        same += " ".join(p for p in plain if p) == got[r["page_id"]]
+    assert total > 50 and same == total

@@ -88,3 +88,17 @@ def test_pipeline_step(make):
     words = " ".join(f"w{i}" for i in range(100))
     docs = make([words, words + " more", "other text of no kin at all here", None, None])
     assert sorted(r["doc_id"] for r in jaccard_join.drop_near_copies(docs).collect()) == [0, 2, 3, 4]
+
+
+def test_rows_are_dropped_by_id_and_text(make):
+    words = [" ".join(f"{p}{i}" for i in range(100)) for p in "abcd"]
+    docs = make([words[0], words[1], words[0] + " x", words[2], words[2] + " y", words[3], words[3], words[3] + " z", None, ""], ids=[5, 5, 6, None, None, 8, 8, 8, None, None])
+    left = [(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_copies(docs).collect()]
+    assert len(left) == 6 and {t[:1] if t else "" for _, t in left} == {"a", "b", "c", "d", ""} and {i for i, _ in left} == {5, 8, None}
+    assert {(5, words[0]), (5, words[1])} <= set(left)
+
+
+def test_text_ids(make):
+    docs = make(["one two three four five six"] * 2 + ["other"])
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast("string"))
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.class_components(docs).collect()} == {("0", "0"), ("1", "0"), ("2", "2")}

@@ -19,3 +19,20 @@ def test_against_brute_force(spark, odd):
 
 def test_empty(make):
     assert token_counts.suffix_sums(token_counts.length_histogram(make([]))).collect() == []
+
+
+def test_long_white_space(spark, make, monkeypatch):
+    """Runs that the pattern's engine cannot take have the counts that shorter runs' rule gives."""
+    import random
+    import re
+
+    encode = token_counts.encoder(token_counts.default_ranks())
+    texts = [" " * 1_000_000 + "x", "a" + "\n" * 1_000_000, "\t " * 500_000 + "\n\nb  c"]
+    sizes = [token_counts.token_count(encode, t) for t in texts]
+    assert sizes[0] == len(encode._encode_single_piece(" " * 999_999)) + len(encode.encode_ordinary(" x"))
+    assert sorted(r["length"] for r in token_counts.length_histogram(make(texts)).collect()) == sorted(sizes)
+    monkeypatch.setattr(token_counts, "_LONG_RUN", re.compile(token_counts._LONG_RUN.pattern.replace("4096", "3")))
+    rng = random.Random(2)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", " ", "\n", "\t", "a", "7", ".", "'s", "é", "　", "\x1c", "\x85"]) for _ in range(rng.randrange(40)))
+        assert token_counts.token_count(encode, t) == len(encode.encode_ordinary(t))

@@ -71,3 +71,18 @@ def test_windows_cover_everything():
     for d, n in enumerate(counts):
         seen = {int(s) + k for s in start[doc == d] for k in range(toxicity.WINDOW)}
         assert set(range(base[d], base[d] + n)) <= seen
+
+
+def test_rejected_rows_and_calibration(spark, make):
+    """Whole rows come back, with a column of any name; scores are shares of toxic documents."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["vile", "scum"]) if i % 4 == 0 and rng.random() < 0.2 else f"word{rng.randrange(60)}" for _ in range(40)) for i in range(400)]
+    docs = make([*texts, None, texts[0], texts[1]], ids=[*range(400), None, 1, 0])
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) >= 2
+    left = toxicity.reject(docs, known, train)
+    assert left.columns == docs.columns
+    stays = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert (1, texts[1]) in stays and (0, texts[1]) in stays and (1, texts[0]) not in stays and (None, None) in stays
+    scores = [r["score"] for r in toxicity.toxicity(docs, known, train).collect()]
+    assert abs(np.mean(scores) - 0.25) < 0.05
