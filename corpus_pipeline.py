@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept and
 returns a DataFrame; :func:`run` writes each stage's rows as Parquet to the shared
 folder and reads them again for the next.  All stages but the last return the columns
-of ``documents``.
+of ``documents``, extra ones too.  Stages drop rows by id and text together or by the
+row itself, so nulls and repeats among the ids take no other text with them.  An empty
+table goes through every stage.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ from sparkwright.shipping import ship
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more; the model learns from four fifths of the labels."""
     ship(spark)
-    scored = toxicity.score_rows(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return scored.filter("score < 0.5").drop("score")
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the smallest id stays."""
+    """Of equal texts (white space aside) the row with the smallest id stays."""
     ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at a similarity of 0.8 the smallest id stays."""
+    """Of documents linked by 5-word shingles at a similarity of 0.8 the row with the smallest id stays."""
     ship(spark)
     return jaccard_join.drop_near_copies(docs)
 
@@ -55,7 +56,7 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
-#: Learned and approximate stages have no SQL; tests compare the pipeline with a plain one.
+#: Learned and approximate stages have no SQL; tests/llm/test_pipeline.py compares the pipeline with a plain one.
 ORACLE_SQL = None
 
 
