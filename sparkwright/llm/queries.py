@@ -62,9 +62,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+#: Every window of every document meets its equals; fit for small tables.
+_OP5_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(greatest(length(x) // 2 - 49, 0))) AS i FROM h)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE doc_id > least),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM r)),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS stop FROM p),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * stop + 1, 2 * (a - stop)), '' ORDER BY a) AS kept, max(b) AS stop FROM q JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * stop + 1), x))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)
+"""
+#: Every two documents that share a shingle meet; fit for small tables.
+_OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS k FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(k) >= 5 THEN list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], ' ')) WHEN len(k) > 0 THEN [array_to_string(k, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM reach r JOIN links ON r.m = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(m) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3_SQL}
+    return {"op3_exact_dedup": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op8_ngram_jaccard": _OP8_SQL}
