@@ -45,14 +45,21 @@ def embed_text(text: str | None, dim: int) -> np.ndarray:
     return out / size if size else out
 
 
-def embedder(dim: int = 256, model=None):
-    """A pandas function text -> vector; ``model`` (a function of a list of texts) is loaded once a worker."""
+def embedder(dim: int = 256, model=None, provider: str = "local"):
+    """A pandas function text -> vector of ``dim`` numbers; ``model`` makes the function of a list of texts, once a task.
+
+    Only a local provider is known; vectors of another length are an error, as is a model that returns fewer than it was asked for."""
+    if provider != "local":
+        raise ValueError(f"no embedding provider {provider!r}")
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = model or (lambda texts: [embed_text(t, dim) for t in texts])
+        encode = model() if model else (lambda texts: [embed_text(t, dim) for t in texts])
         for batch in batches:
-            yield pd.Series([np.asarray(v, np.float32).tolist() for v in encode(batch.tolist())])
+            found = [np.asarray(v, np.float32).tolist() for v in encode(batch.tolist())]
+            if len(found) != len(batch) or any(len(v) != dim for v in found):
+                raise ValueError(f"the model's vectors are not one of {dim} numbers for each text")
+            yield pd.Series(found)
 
     return embed
 

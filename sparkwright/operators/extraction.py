@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,31 +25,37 @@ class Truncated(Exception):
     """An extractor ran out of its token budget."""
 
 
+#: Fixed value: what a filer without a company name is called.
+NO_FILER = "the filer"
+
+
 def filer(metadata: Column) -> Column:
-    return F.coalesce(F.try_element_at(metadata, F.lit("company")), F.lit("the filer"))
+    """Whom a chunk's text means where it speaks of itself; extractors get it beside the text."""
+    return F.coalesce(F.try_element_at(metadata, F.lit("company")), F.lit(NO_FILER))
 
 
-def self_reference(text: Column, name: Column) -> Column:
-    """The filer's name where a text says we, our, us or the Company."""
-    return F.regexp_replace(text, F.lit("(?i)\\b(we|our|us|the company)\\b"), F.regexp_replace(name, "([\\\\$])", "\\\\$1"))
+#: What a filer calls itself where a sentence's subject or object is meant; "us" and "our" alone say too little ("US regulators").
+SELF = r"\b(?:[Ww]e|[Tt]he Company|[Oo]ur [Cc]ompany)\b"
 
 
-def rule_extractor(names: dict[str, str], ontology: Ontology | None = None) -> Callable[[str, str, int], str]:
-    """A deterministic extractor: known names (name -> type), and a verb between two of them in a sentence."""
+def rule_extractor(names: dict[str, str], ontology: Ontology | None = None) -> Callable[[str, str, int, str], str]:
+    """A deterministic extractor: known names (name -> type), and a verb between two of them in a sentence.
+
+    Where a text speaks of itself the filer is meant: it is an entity under its own name, and the text stays as it is."""
     ontology = ontology or Ontology()
     verbs = [(v, r) for r, _, _, v in ontology.relationships]
-    pattern = re.compile("|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))) if names else None
+    pattern = re.compile("|".join([*(re.escape(n) for n in sorted(names, key=len, reverse=True)), SELF]))
 
-    def extract(section: str, text: str, budget: int) -> str:
+    def extract(section: str, text: str, budget: int, filer: str = NO_FILER) -> str:
         entities, relations = {}, {}
         for sentence in re.split(r"(?<=[.!?])\s+", text or ""):
-            found = list(pattern.finditer(sentence)) if pattern else []
-            for m in found:
-                entities[m[0]] = names[m[0]]
-            for a, b in zip(found, found[1:], strict=False):
+            found = [(m.start(), m.end(), m[0] if m[0] in names else filer) for m in pattern.finditer(sentence)]
+            for _, _, n in found:
+                entities[n] = names.get(n, "Company")
+            for (_, end, a), (start, _, b) in zip(found, found[1:], strict=False):
                 for verb, kind in verbs:
-                    if verb in sentence[a.end() : b.start()]:
-                        relations[kind, a[0], b[0]] = 0.9
+                    if verb in sentence[end:start] and a != b:
+                        relations[kind, a, b] = 0.9
         return json.dumps({
             "entities": [{"entity_type": t, "raw_name": n, "confidence": 1.0} for n, t in entities.items()],
             "relationships": [{"relationship_type": k, "source_entity": a, "target_entity": b, "confidence": c} for (k, a, b), c in relations.items()],
@@ -71,12 +78,12 @@ def parsed(raw: str, ontology: Ontology) -> dict:
     return out
 
 
-def extract_once(extract: Callable[[str, str, int], str], section: str, text: str, ontology: Ontology) -> dict:
+def extract_once(extract: Callable[[str, str, int, str], str], section: str, text: str, ontology: Ontology, filer: str = NO_FILER) -> dict:
     """Up to three tries: a truncated one doubles the budget, an invalid one is repeated, the last failure is raised."""
     budget = FIRST_BUDGET
     for k in range(TRIES):
         try:
-            return parsed(extract(section, text, budget), ontology)
+            return parsed(extract(section, text, budget, filer), ontology)
         except Truncated:
             budget *= 2
             if k == TRIES - 1:
@@ -91,19 +98,23 @@ def with_keys(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.withColumn("cache_key", cache_key(F.col("chunk_id"), F.lit(model), F.lit(PROMPT_VERSION), F.lit(SCHEMA_VERSION), F.col("text")))
 
 
-def extract_chunks(chunks: DataFrame, extract: Callable[[str, str, int], str], cache: DataFrame | None = None, model: str = "rules", ontology: Ontology | None = None) -> DataFrame:
-    """(chunk_id, cache_key, result, input_tokens, output_tokens, from_cache): cached chunks are not extracted again."""
+def extract_chunks(chunks: DataFrame, extract: Callable[[str, str, int, str], str], cache: DataFrame | None = None, model: str = "rules", ontology: Ontology | None = None, workers: int = 1) -> DataFrame:
+    """(chunk_id, cache_key, result, input_tokens, output_tokens, from_cache): cached chunks are not extracted again.
+
+    ``workers`` calls of an extractor that waits for a remote service run at a time in each task; results keep their order."""
     ontology = ontology or Ontology()
-    keyed = with_keys(chunks, model).withColumn("text", self_reference(F.col("text"), filer(F.col("metadata"))))
+    keyed = with_keys(chunks, model).withColumn("filer", filer(F.col("metadata")))
     schema = f"chunk_id string, cache_key string, result {schemas.EXTRACTION.simpleString()}, input_tokens long, output_tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(workers) if workers > 1 else None
         for batch in batches:
-            results = [extract_once(extract, s, t, ontology) for s, t in zip(batch["section_path"], batch["text"], strict=True)]
+            asked = zip(batch["section_path"], batch["text"], batch["filer"], strict=True)
+            results = list((pool.map if pool else map)(lambda x: extract_once(extract, x[0], x[1], ontology, x[2]), asked))
             yield pd.DataFrame({"chunk_id": batch["chunk_id"], "cache_key": batch["cache_key"], "result": results, "input_tokens": [len((t or "").split()) for t in batch["text"]], "output_tokens": [len(json.dumps(r).split()) for r in results]})
 
     fresh = keyed if cache is None else keyed.join(cache, "cache_key", "left_anti")
-    made = fresh.select("chunk_id", "cache_key", "section_path", "text").mapInPandas(run, schema).withColumn("from_cache", F.lit(False))
+    made = fresh.select("chunk_id", "cache_key", "section_path", "text", "filer").mapInPandas(run, schema).withColumn("from_cache", F.lit(False))
     if cache is None:
         return made
     hits = keyed.select("chunk_id", "cache_key").join(cache, "cache_key").select("chunk_id", "cache_key", "result", "input_tokens", "output_tokens", F.lit(True).alias("from_cache"))

@@ -44,11 +44,11 @@ def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merge_nodes(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert: known nodes keep their aliases in order and gain those they did not have."""
+    """Upsert: known nodes keep their aliases in order and gain those they did not have, these by alphabet."""
     key = ["entity_type", "canonical_name"]
     none = F.expr("cast(array() as array<string>)")
     old = existing.groupBy(*key).agg(F.first("aliases").alias("_old"))
-    fresh = new.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_new"))
+    fresh = new.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("_new"))
     return old.join(fresh, key, "full_outer").select(*key, F.array_union(F.coalesce("_old", none), F.coalesce("_new", none)).alias("aliases"))
 
 

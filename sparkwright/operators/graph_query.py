@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import Ontology
+from ..plans.scratch import Scratch
 from .graph_build import with_edge_ids
 from .resolve import look_up
 
@@ -63,32 +64,49 @@ def two_hop_chain(edges: DataFrame, name: str, first: str, second: str) -> DataF
 def path_between(edges: DataFrame, start: str, end: str, max_hops: int = 3) -> DataFrame:
     """A shortest undirected path of 1 to ``max_hops`` edges: of several the least by (nodes, types, edges); no row if there is none.
 
-    A frontier grows hop by hop through equi-joins, keeps one least path for each new
-    node and leaves out nodes reached before; only whether the end is reached and
-    whether the frontier is empty comes to the driver.
+    A frontier grows from either end, the smaller one first, until they meet.  It keeps
+    one least path for each new node and leaves out nodes reached before; frontiers are
+    tables in the shared folder (no lineage grows), and only how many nodes they have and
+    the path itself come to the driver.
     """
     spark = edges.sparkSession
     none = spark.createDataFrame([], PATH)
     if start == end:
         return none
-    u = undirected(edges).select("a", "b", "rel_type", "source_chunk_ids", "edge_id").persist()
+    u = undirected(edges).select("a", "b", "rel_type", "source_chunk_ids", "edge_id")
+    scratch = Scratch(spark, "path")
+    shape = "node string, nodes array<string>, types array<string>, path_edges array<long>, ids array<array<string>>"
+    sides = [spark.createDataFrame([(name, [name], [], [], [])], shape) for name in (start, end)]
+    seen, sizes = [s.select("node") for s in sides], [1, 1]
+
+    def grown(frontier: DataFrame, reached: DataFrame, from_end: bool) -> DataFrame:
+        step = frontier.join(u, frontier["node"] == u["a"]).join(reached.withColumnRenamed("node", "_s"), F.col("b") == F.col("_s"), "left_anti")
+
+        def longer(path: str, piece: str) -> F.Column:
+            return F.concat(F.array(piece), path) if from_end else F.concat(path, F.array(piece))
+
+        path = F.struct(longer("nodes", "b").alias("nodes"), longer("types", "rel_type").alias("types"), longer("path_edges", "edge_id").alias("path_edges"), longer("ids", "source_chunk_ids").alias("ids"))
+        return step.groupBy(F.col("b").alias("node")).agg(F.min(path).alias("p")).select("node", "p.nodes", "p.types", "p.path_edges", "p.ids")
+
     try:
-        frontier = spark.createDataFrame([(start, [start], [], [], [])], "node string, nodes array<string>, types array<string>, ids array<array<string>>, path_edges array<long>")
-        seen = frontier.select("node")
         for hop in range(1, max_hops + 1):
-            step = frontier.join(u, frontier["node"] == u["a"]).join(seen.withColumnRenamed("node", "_s"), F.col("b") == F.col("_s"), "left_anti")
-            made = step.select(F.col("b").alias("node"), F.struct(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("types", F.array("rel_type")).alias("types"), F.concat("path_edges", F.array("edge_id")).alias("path_edges"), F.concat("ids", F.array("source_chunk_ids")).alias("ids")).alias("p"))
-            frontier = made.groupBy("node").agg(F.min("p").alias("p")).select("node", "p.nodes", "p.types", "p.ids", "p.path_edges").persist()
-            found = frontier.filter(F.col("node") == end)
-            if found.count():
-                got = found.select(F.col("nodes").alias("node_path"), F.col("types").alias("relationship_path"), F.col("ids").alias("source_chunk_ids_per_hop"), F.lit(hop).alias("hops")).collect()
-                return spark.createDataFrame(got, PATH)
-            if not frontier.limit(1).count():
-                break
-            seen = seen.unionByName(frontier.select("node"))
+            side = 0 if sizes[0] <= sizes[1] else 1
+            sides[side] = scratch.keep(grown(sides[side], seen[side], side == 1), f"frontier{hop}")
+            sizes[side] = sides[side].count()
+            if not sizes[side]:
+                return none
+            seen[side] = seen[side].unionByName(sides[side].select("node"))
+            left = sides[0].select("node", *[F.col(c).alias(f"l_{c}") for c in ("nodes", "types", "path_edges", "ids")])
+            whole = left.join(sides[1], "node").select(
+                F.concat("l_nodes", F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0)))).alias("nodes"), F.concat("l_types", "types").alias("types"),
+                F.concat("l_path_edges", "path_edges").alias("path_edges"), F.concat("l_ids", "ids").alias("ids"),
+            )
+            best = whole.agg(F.min(F.struct("nodes", "types", "path_edges", "ids")).alias("p")).first()["p"]
+            if best:
+                return spark.createDataFrame([(best["nodes"], best["types"], best["ids"], hop)], PATH)
         return none
     finally:
-        u.unpersist()
+        scratch.clear()
 
 
 def aggregate_count(edges: DataFrame, name: str, rel_type: str) -> DataFrame:

@@ -23,7 +23,8 @@ class _Walker(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # [tag, hidden, pieces or None, has inner blocks, position]
+        self.stack: list[list] = []  # [tag, hidden, pieces or None, has inner blocks, position, place of the block it stands in]
+        self.open: dict[str, int] = {}
         self.out: list[tuple[int, str, str]] = []
         self.count = 0
 
@@ -34,28 +35,33 @@ class _Walker(HTMLParser):
             self._close()
         hidden = (self.stack[-1][1] if self.stack else False) or tag in NOISE or "display:none" in (dict(attrs).get("style") or "").replace(" ", "").lower()
         if tag in BLOCKS and not hidden:
-            for above in self.stack:
+            for above in reversed(self.stack):
+                if above[3]:  # then so are those around it
+                    break
                 above[3] = True
-        self.stack.append([tag, hidden, [] if tag in BLOCKS and not hidden else None, False, self.count])
+        block = tag in BLOCKS and not hidden
+        within = len(self.stack) if block else self.stack[-1][5] if self.stack else -1
+        self.stack.append([tag, hidden, [] if block else None, False, self.count, within])
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.count += 1
 
     def handle_endtag(self, tag):
-        if any(x[0] == tag for x in self.stack):
+        if self.open.get(tag):
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
-        tag, _, pieces, inner, at = self.stack.pop()
+        tag, _, pieces, inner, at, _ = self.stack.pop()
+        self.open[tag] -= 1
         if pieces is not None and not inner:
             self.out.append((at, tag, " ".join(pieces)))
         return tag
 
     def handle_data(self, data):
         if self.stack and not self.stack[-1][1]:
-            for x in reversed(self.stack):
-                if x[2] is not None:
-                    x[2].append(data)
-                    break
+            within = self.stack[-1][5]
+            if within >= 0:
+                self.stack[within][2].append(data)
 
     def finish(self) -> list[tuple[str, str]]:
         self.close()

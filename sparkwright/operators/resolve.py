@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
-from ..functions.vectors import cosine, embed_text
+from ..functions.vectors import embed_text
 from .components import components
 
 THRESHOLD = 0.87
@@ -111,9 +111,3 @@ def look_up(names: DataFrame, nodes: DataFrame) -> DataFrame:
     best = exact.unionByName(loose).groupBy("surface").agg(F.min(F.struct("p", "canonical_name"))["canonical_name"].alias("canonical_name"))
     return asked.join(best, "surface", "left")
 
-
-def cosine_matrix(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """All pairs i <= j of a small, stated set of rows with their similarity."""
-    a = rows.select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return a.join(b, F.col("a") <= F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))

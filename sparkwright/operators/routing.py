@@ -23,7 +23,10 @@ def classify(questions: DataFrame, names: list[str], ontology: Ontology | None =
     q = F.lower("question")
     placed = F.array(*[F.struct(F.instr(q, n.lower()).alias("at"), F.lit(n).alias("name")) for n in names]) if names else F.expr("cast(array() as array<struct<at:int,name:string>>)")
     entities = F.transform(F.array_sort(F.filter(placed, lambda x: x["at"] > 0)), lambda x: x["name"])
-    verbs = F.array(*[F.struct(F.instr(q, stem(v)).alias("at"), F.lit(r).alias("type")) for r, _, _, v in ontology.relationships])
+    said = q  # a verb within a name says nothing
+    for n in sorted(names, key=len, reverse=True):
+        said = F.replace(said, F.lit(n.lower()), F.lit(" "))
+    verbs = F.array(*[F.struct(F.instr(said, stem(v)).alias("at"), F.lit(r).alias("type")) for r, _, _, v in ontology.relationships])
     types = F.transform(F.array_sort(F.filter(verbs, lambda x: x["at"] > 0)), lambda x: x["type"])
     out = questions.withColumn("entity_names", entities).withColumn("_types", types)
     n, first, second = F.size("entity_names"), F.get("_types", F.lit(0)), F.get("_types", F.lit(1))

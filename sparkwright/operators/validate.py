@@ -26,6 +26,11 @@ def valid_document(c: str = "content_hash") -> Column:
     return out
 
 
+def valid_chunk() -> Column:
+    """A chunk has its ids and text, and its index counts from 0."""
+    return F.col("chunk_id").isNotNull() & F.col("document_id").isNotNull() & F.col("text").isNotNull() & (F.col("chunk_index") >= 0)
+
+
 def normalised_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with lower-case hashes, rejected rows): the one gate to the corpus."""
     good, bad = split_valid(rows, valid_document())

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as X
 from ..functions import vectors as V
 from ..ontology import Ontology
 from ..operators import answers, chunking, extraction, grading, graph_build, graph_query, html_blocks, resolve, routing, sections, validate, vector_search
 from ..operators.components import components
-from ..sources import filings
+from ..sources import filings, tables
+from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,8 +62,18 @@ def all_claims(spark: SparkSession, d: str) -> DataFrame:
     return supplies.unionByName(segment).unionByName(by)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph_build.collapse_claims(all_claims(spark, d))
+    """The stored graph: built once in a session for a folder of tables, written by type, and read by every question after that."""
+    key = (spark.sparkContext.applicationId, d)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.get(key, "") or "/nowhere")
+    if key not in _STORED or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        at = f"{Scratch(spark, 'graph').root}/edges"
+        tables.write_edges(graph_build.collapse_claims(all_claims(spark, d)), at)
+        _STORED[key] = at
+    return tables.edges(spark, _STORED[key])
 
 
 EDGES = CLAIMS + """, every AS (
@@ -77,13 +89,16 @@ NAME, OTHER = "Supplier#000000001", "Supplier#000000002"
 @query(f"WITH {CLAIMS} SELECT source_entity AS src, relationship_type AS rel_type, target_entity AS dst, array_to_string(list_sort(list_distinct(list(source_chunk_id))), ',') AS chunk_ids, max(confidence) AS confidence FROM claims GROUP BY ALL")
 def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = claims(spark, d).select(F.lit("Company").alias("src_type"), F.col("source_entity").alias("src"), "relationship_type", F.lit("Company").alias("dst_type"), F.col("target_entity").alias("dst"), "source_chunk_id", "confidence")
-    return graph_build.collapse_claims(rows).select("src", "rel_type", "dst", joined("source_chunk_ids").alias("chunk_ids"), "confidence")
+    there, new = (graph_build.collapse_claims(rows.filter(F.right("source_chunk_id", F.lit(1)).isin(*digits))) for digits in ("12", "234567890"))
+    merged = graph_build.merge_edges(graph_build.merge_edges(there, new), new)  # merging again changes nothing
+    return merged.select("src", "rel_type", "dst", joined("source_chunk_ids").alias("chunk_ids"), "confidence")
 
 
-@query(f"""WITH {CLAIMS}, named AS (SELECT * REPLACE (CASE WHEN ends_with(source_chunk_id, '1') THEN source_entity || ' Unknown' ELSE source_entity END AS source_entity) FROM claims)
-SELECT count(*) FILTER (WHERE s_name IS NOT NULL) AS written, count(*) FILTER (WHERE s_name IS NULL) AS skipped FROM named LEFT JOIN supplier ON source_entity = s_name""")
+@query(f"""WITH {CLAIMS}, named AS (SELECT * REPLACE (CASE WHEN ends_with(source_chunk_id, '1') THEN source_entity || ' Unknown' ELSE source_entity END AS source_entity, CASE WHEN ends_with(source_chunk_id, '2') THEN target_entity || ' Unknown' ELSE target_entity END AS target_entity) FROM claims)
+SELECT count(*) FILTER (WHERE s_name IS NOT NULL AND c_name IS NOT NULL) AS written, count(*) FILTER (WHERE s_name IS NULL OR c_name IS NULL) AS skipped FROM named LEFT JOIN supplier ON source_entity = s_name LEFT JOIN customer ON target_entity = c_name""")
 def edge_unresolved(spark: SparkSession, d: str) -> DataFrame:
     rows = claims(spark, d).withColumn("source_entity", F.when(F.col("source_chunk_id").endswith("1"), F.concat("source_entity", F.lit(" Unknown"))).otherwise(F.col("source_entity")))
+    rows = rows.withColumn("target_entity", F.when(F.col("source_chunk_id").endswith("2"), F.concat("target_entity", F.lit(" Unknown"))).otherwise(F.col("target_entity")))
     names = table(spark, d, "supplier").select(F.col("s_name").alias("n")).unionByName(table(spark, d, "customer").select(F.col("c_name").alias("n")))
     mentions = names.select(F.lit("Company").alias("entity_type"), F.col("n").alias("raw_name"), F.col("n").alias("canonical_name"), F.lit("0").alias("source_chunk_id"))
     ends = graph_build.resolve_endpoints(rows, mentions)
@@ -92,12 +107,12 @@ def edge_unresolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH ends AS (SELECT s_suppkey % 7 AS k, s_name AS n FROM supplier), old AS (SELECT k, list_sort(list_distinct(list(n))) AS a FROM ends WHERE length(n) % 2 = 0 OR right(n, 1) < '5' GROUP BY k), new AS (SELECT k, list_sort(list_distinct(list(n))) AS a FROM ends WHERE right(n, 1) >= '3' GROUP BY k)
-SELECT 'Company' AS entity_type, 'Group ' || coalesce(old.k, new.k) AS canonical_name, array_to_string(list_sort(list_distinct(list_concat(coalesce(old.a, []), coalesce(new.a, [])))), ',') AS aliases FROM old FULL JOIN new ON old.k = new.k""")
+SELECT 'Company' AS entity_type, 'Group ' || coalesce(old.k, new.k) AS canonical_name, array_to_string(list_concat(coalesce(old.a, []), list_filter(coalesce(new.a, []), lambda x: NOT list_contains(coalesce(old.a, []), x))), ',') AS aliases FROM old FULL JOIN new ON old.k = new.k""")
 def node_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(F.lit("Company").alias("entity_type"), F.concat(F.lit("Group "), (F.col("s_suppkey") % 7).cast("string")).alias("canonical_name"), F.col("s_name").alias("n"))
     part = lambda ok: rows.filter(ok).groupBy("entity_type", "canonical_name").agg(F.array_sort(F.collect_set("n")).alias("aliases"))
     merged = graph_build.merge_nodes(part((F.length("n") % 2 == 0) | (F.right("n", F.lit(1)) < "5")), part(F.right("n", F.lit(1)) >= "3"))
-    return merged.select("entity_type", "canonical_name", joined(F.array_sort("aliases")).alias("aliases"))
+    return merged.select("entity_type", "canonical_name", joined("aliases").alias("aliases"))
 
 
 @query("""WITH r AS (SELECT s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Inc' ELSE ' Ltd.' END AS src, s_nationkey AS n FROM supplier) SELECT n AS nation, count(*) AS ends FROM r GROUP BY n HAVING count(*) > 1""")
@@ -147,7 +162,7 @@ def aggregate_count_empty(spark: SparkSession, d: str) -> DataFrame:
 
 _SUFFIXED = "CASE k % 5 WHEN 0 THEN n || ' Inc.' WHEN 1 THEN n || ', Corp' WHEN 2 THEN n || ' Holdings, Inc.' WHEN 3 THEN '  ' || n || ' LTD' ELSE n END"
 RAW = f"named AS (SELECT 'Company' AS entity_type, {_SUFFIXED} AS raw_name, printf('%d_%05d', l_orderkey, l_linenumber) AS id FROM (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, s_name AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey))"
-NORM = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(raw_name), '(?i)(?:[,.]?\s+(?:inc|incorporated|corp|corporation|co|company|ltd|llc|l\.?l\.?c\.?|plc|n\.?v\.?|group|holdings?)\.?\s*)+$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')))"
+NORM = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(raw_name), '(?i)(?:[,.]?\s+(?:{X.SUFFIXES})\.?\s*)+$', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')))"
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +206,20 @@ def mention_resolve(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(lookup, ["entity_type", "raw_name"]).groupBy(F.col("c").alias("canonical_name")).agg(F.count(F.lit(1)).alias("mentions"))
 
 
-@query()
+_HEX = "SELECT s_suppkey, l_orderkey + l_linenumber AS k, md5(CAST(s_suppkey AS VARCHAR)) AS h FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query(f"""WITH told AS (SELECT CASE WHEN s_suppkey IN (1, 2) THEN 1 ELSE s_suppkey END AS cluster, CASE k % 4 WHEN 0 THEN h WHEN 1 THEN h || 's' WHEN 2 THEN h || ' Inc.' ELSE h || 's, Corp' END AS raw_name FROM ({_HEX})),
+first AS (SELECT cluster, raw_name, row_number() OVER (PARTITION BY cluster ORDER BY length(raw_name) DESC, raw_name) AS r FROM (SELECT DISTINCT cluster, raw_name FROM told))
+SELECT 'Company' AS entity_type, f.raw_name AS canonical_name, count(*) AS mentions FROM told JOIN first f ON f.cluster = told.cluster AND f.r = 1 GROUP BY ALL""")
 def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
-    """All stages, with a seed: mentions by canonical name."""
-    seeds = spark.createDataFrame([("Company", ["Supplier#000000001", "Supplier#000000002"])], "entity_type string, names array<string>")
-    told, _ = resolve.resolve_entities(mentions(spark, d), 0.999, seeds)
+    """All stages at the production threshold: names that differ by a suffix (normalised), by a letter (similar) or wholly (a seed); mentions by canonical name."""
+    line, supplier = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    k, h = (F.col("l_orderkey") + F.col("l_linenumber")) % 4, F.md5(F.col("s_suppkey").cast("string").cast("binary"))
+    raw = F.when(k == 0, h).when(k == 1, F.concat(h, F.lit("s"))).when(k == 2, F.concat(h, F.lit(" Inc."))).otherwise(F.concat(h, F.lit("s, Corp")))
+    rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).select(F.lit("Company").alias("entity_type"), raw.alias("raw_name"), F.lit(None).cast("string").alias("canonical_name"), F.format_string("%d_%05d", "l_orderkey", "l_linenumber").alias("source_chunk_id"), F.lit(1.0).alias("confidence"))
+    same = spark.range(1).select(F.lit("Company").alias("entity_type"), F.array(*[F.md5(F.lit(x).cast("binary")) for x in ("1", "2")]).alias("names"))
+    told, _ = resolve.resolve_entities(rows, resolve.THRESHOLD, same)
     return told.groupBy("entity_type", "canonical_name").agg(F.count(F.lit(1)).alias("mentions"))
 
 
@@ -326,12 +350,13 @@ def route_override(spark: SparkSession, d: str) -> DataFrame:
     return routing.override(rows).select("event_id", "route", "overridden")
 
 
-@query("SELECT 'one_hop' AS query_type, 'GRAPH' AS route, count(*) AS n FROM supplier")
+@query("""SELECT CASE s_suppkey % 4 WHEN 0 THEN 'one_hop' WHEN 1 THEN 'aggregate_count' WHEN 2 THEN 'path_between' END AS query_type, CASE s_suppkey % 4 WHEN 3 THEN 'VECTOR' WHEN 0 THEN 'BOTH' ELSE 'GRAPH' END AS route, 1 + (s_suppkey % 4 = 2)::INT - (s_suppkey % 4 = 3)::INT AS names, count(*) AS n FROM supplier GROUP BY ALL""")
 def route_rules(spark: SparkSession, d: str) -> DataFrame:
-    """A question about each supplier; whom it names is found by the branch that takes it."""
-    asked = table(spark, d, "supplier").select(F.concat(F.lit("Whom does "), F.col("s_name"), F.lit(" supply?")).alias("question"))
-    routed = routing.classify(asked, ["Supplier#"])
-    return routing.graph_branch(routing.override(routed)).groupBy("query_type", "route").agg(F.count(F.lit(1)).alias("n"))
+    """A question about each supplier, of four kinds."""
+    k = F.col("s_suppkey") % 4
+    asked = F.when(k == 0, F.concat(F.lit("Why, and to whom, does "), "s_name", F.lit(" supply?"))).when(k == 1, F.concat(F.lit("How many companies does "), "s_name", F.lit(" supply?"))).when(k == 2, F.concat(F.lit("How are "), "s_name", F.lit(" and NATION_1 connected?"))).otherwise(F.lit("What is the weather?"))
+    routed = routing.override(routing.classify(table(spark, d, "supplier").select(asked.alias("question")), ["Supplier#", "NATION_1"]))
+    return routed.groupBy("query_type", "route", F.size("entity_names").alias("names")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _GRADED = "graded AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'single_hop' WHEN 2 THEN 'two_hop' ELSE 'aggregation' END AS difficulty, CASE doc_id % 4 WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN contains(lower(text), 'the') OR contains(lower(text), 'der') WHEN 2 THEN contains(lower(text), 'and') AND (contains(lower(text), 'xyz') OR contains(lower(text), 'of')) ELSE n_chars % 2 > 0 END AS correct FROM documents)"
@@ -367,11 +392,14 @@ def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return html_blocks.paragraphs(table(spark, d, "pages"))
 
 
-@query("SELECT page_id, count(*) FILTER (WHERE true) AS sections FROM pages GROUP BY page_id")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Item 1. Business|Item 2.' WHEN page_id % 3 = 1 THEN 'Front Matter|PART II' ELSE 'Full Document' END AS sections FROM pages WHERE html IS NOT NULL")
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
-    """These pages have no headings of filings, so each is one section."""
-    found = sections.split_sections(html_blocks.paragraphs(table(spark, d, "pages")))
-    return table(spark, d, "pages").select("page_id").join(found, "page_id", "left").groupBy("page_id").agg(F.count(F.lit(1)).alias("sections"))
+    """Pages between headings of filings, before one, and without any."""
+    k, page = F.col("page_id") % 3, F.concat(F.lit("<p>first</p>"), "html")
+    framed = F.when(k == 0, F.concat(F.lit("<p>Item 1. Business</p>"), page, F.lit("</p></div><p>Item 2.</p><p>last</p>"))).when(k == 1, F.concat(page, F.lit("</p></div><p>PART II</p>"))).otherwise(page)
+    found = sections.split_sections(html_blocks.paragraphs(table(spark, d, "pages").filter("html is not null").select("page_id", framed.alias("html"))))
+    listed = F.array_sort(F.collect_list(F.struct("section_pos", "section_path")))
+    return found.groupBy("page_id").agg(F.array_join(F.transform(listed, lambda x: x["section_path"]), "|").alias("sections"))
 
 
 _KEYED = """p AS (SELECT conv_id, turn AS pos, text, role = 'user' AS head, left(lower(text), 1) AS k FROM conversations WHERE text IS NOT NULL AND text <> ''),
@@ -427,7 +455,7 @@ def hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
 
 
-@query(f"WITH {CLAIMS}, names AS (SELECT DISTINCT source_chunk_id, source_entity AS n FROM claims UNION SELECT DISTINCT source_chunk_id, target_entity FROM claims WHERE confidence > 0.03) SELECT c.source_chunk_id, c.source_entity, c.target_entity, c.confidence FROM claims c WHERE EXISTS (SELECT 1 FROM names WHERE names.source_chunk_id = c.source_chunk_id AND n = c.source_entity) AND EXISTS (SELECT 1 FROM names WHERE names.source_chunk_id = c.source_chunk_id AND n = c.target_entity)")
+@query(f"WITH {CLAIMS}, names AS (SELECT DISTINCT source_chunk_id, source_entity AS n FROM claims UNION SELECT DISTINCT source_chunk_id, target_entity FROM claims WHERE confidence > 0.03) SELECT c.source_chunk_id, c.source_entity, c.target_entity, c.confidence FROM claims c SEMI JOIN names a ON a.source_chunk_id = c.source_chunk_id AND a.n = c.source_entity SEMI JOIN names b ON b.source_chunk_id = c.source_chunk_id AND b.n = c.target_entity")
 def dangling_drop(spark: SparkSession, d: str) -> DataFrame:
     rows = claims(spark, d)
     names = rows.select("source_chunk_id", F.col("source_entity").alias("raw_name")).unionByName(rows.filter("confidence > 0.03").select("source_chunk_id", F.col("target_entity").alias("raw_name")))
@@ -452,22 +480,27 @@ def total_cost(spark: SparkSession, d: str) -> DataFrame:
     return extraction.total_cost(table(spark, d, "documents").select(F.col("n_chars").alias("input_tokens"), F.expr("n_chars div 4").alias("output_tokens")))
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id, doc_id % 2 = 0 AS from_cache FROM documents")
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("cache_key"))
-    return rows.join(rows.filter("doc_id % 2 = 0").select("cache_key"), "cache_key", "left_anti").select("doc_id")
+    """Chunks with an even number are in the cache; only the others reach the extractor."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("s").alias("section_path"), "text", F.create_map(F.lit("company"), F.lit("X")).alias("metadata"))
+    cache = extraction.with_keys(rows.filter("chunk_id % 2 = 0"), "rules").select("cache_key", F.lit(None).cast(schemas.EXTRACTION).alias("result"), F.lit(1).cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    return extraction.extract_chunks(rows, extraction.rule_extractor({}), cache).select(F.col("chunk_id").cast("long").alias("doc_id"), "from_cache")
 
 
-@query("SELECT 'c' || c_custkey AS chunk_id, CAST(2 AS INT) AS entities, CAST(1 AS INT) AS relationships, 'SUBSIDIARY_OF' AS first_type FROM customer")
+@query("""SELECT 'c' || c_custkey AS chunk_id, CASE c_custkey % 3 WHEN 2 THEN n_name ELSE least(n_name, r_name) || ',' || greatest(n_name, r_name) END AS entities,
+CASE c_custkey % 3 WHEN 0 THEN n_name || ' SUBSIDIARY_OF ' || r_name WHEN 1 THEN r_name || ' SUPPLIES ' || n_name ELSE '' END AS relationships FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def extract_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The offline extractor over a sentence for each customer; the names are the nations' and regions'."""
+    """The offline extractor over a text for each customer: a sentence on two names, one on the filer itself (a region), one on a single name."""
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     place = F.broadcast(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")))
-    text = F.concat("n_name", F.lit(" is a subsidiary of "), "r_name", F.lit("."))
-    rows = table(spark, d, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("chunk_id"), F.lit("s").alias("section_path"), text.alias("text"), F.create_map(F.lit("company"), F.lit("X")).alias("metadata"))
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, F.concat("n_name", F.lit(" is a subsidiary of "), "r_name", F.lit("."))).when(k == 1, F.concat(F.lit("US regulators asked us. The Company supplies "), "n_name", F.lit("."))).otherwise(F.concat("n_name", F.lit(" supplies nobody.")))
+    rows = table(spark, d, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("chunk_id"), F.lit("s").alias("section_path"), text.alias("text"), F.create_map(F.lit("company"), "r_name").alias("metadata"))
     names = {r[0]: "Company" for r in nation.select("n_name").union(region.select("r_name")).collect()}  # 30 names at any scale
     found = extraction.extract_chunks(rows, extraction.rule_extractor(names))
-    return found.select("chunk_id", F.size("result.entities").alias("entities"), F.size("result.relationships").alias("relationships"), F.get("result.relationships", F.lit(0))["relationship_type"].alias("first_type"))
+    said = F.transform("result.relationships", lambda x: F.concat_ws(" ", x["source_entity"], x["relationship_type"], x["target_entity"]))
+    return found.select("chunk_id", joined(F.array_sort(F.transform("result.entities", lambda x: x["raw_name"]))).alias("entities"), joined(said).alias("relationships"))
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------
@@ -510,20 +543,26 @@ def benchmark_join(spark: SparkSession, d: str) -> DataFrame:
     return benchmark_items(gold, asked).select(F.col("id").alias("doc_id"), "difficulty", "question")
 
 
-@query("SELECT s_name AS dst, n_name AS src, count(*) AS edges FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT s_name AS dst, n_name AS src, 1 + (n_nationkey % 2 = 0)::INT AS edges FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def label_free_ends(spark: SparkSession, d: str) -> DataFrame:
     supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
     rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("?").alias("src_type"), F.col("n_name").alias("src"), F.lit("REGULATED_BY").alias("rel_type"), F.lit("?").alias("dst_type"), F.col("s_name").alias("dst"))
     nodes = supplier.select(F.lit("Company").alias("entity_type"), F.col("s_name").alias("canonical_name")).unionByName(nation.select(F.lit("RegulatoryBody").alias("entity_type"), F.col("n_name").alias("canonical_name")))
+    nodes = nodes.unionByName(nation.filter("n_nationkey % 2 = 0").select(F.lit("Company").alias("entity_type"), F.col("n_name").alias("canonical_name")))  # names under two labels
     return graph_build.label_free_ends(rows, nodes).groupBy("dst", "src").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query()
+@query(f"SELECT s_name || ' is regulated by ' || n_name || '.' AS answer_text, 'GRAPH' AS route, false AS overridden, 's' || s_suppkey AS cited, 0 AS rejected_claim_count, 1 AS graph_evidence_count, 0 AS vector_evidence_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = '{NAME}'")
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    """A question from end to end: route, graph rows, passages, answer with citations."""
+    """A question from end to end over the stored graph: route, graph rows, passages, answer with citations."""
     from .engine import Engine
 
-    e = edges(spark, d)
-    nodes = e.select(F.col("src_type").alias("entity_type"), F.col("src").alias("canonical_name")).unionByName(e.select(F.col("dst_type").alias("entity_type"), F.col("dst").alias("canonical_name"))).distinct().withColumn("aliases", F.expr("cast(array() as array<string>)"))
+    none = F.expr("cast(array() as array<string>)").alias("aliases")
+    named = [(table(spark, d, t), c, kind) for t, c, kind in (("supplier", "s_name", "Company"), ("customer", "c_name", "Company"), ("nation", "n_name", "RegulatoryBody"), ("customer", "c_mktsegment", "BusinessSegment"))]
+    nodes = None
+    for rows, column, kind in named:
+        part = rows.select(F.lit(kind).alias("entity_type"), F.col(column).alias("canonical_name")).distinct()
+        nodes = part if nodes is None else nodes.unionByName(part)
     vectors = chunking.chunk_documents(as_documents(spark, d), 200, 20).select("chunk_id", "section_path", F.try_element_at("metadata", F.lit("company")).alias("company"), "text", V.embedder(64)("text").alias("embedding"))
-    return Engine(spark, nodes, e, vectors, dim=64).ask(f"Who regulates {NAME}, and by whom is it regulated?", 3)
+    answer = Engine(spark, nodes.select("*", none), edges(spark, d), vectors, dim=64).ask(f"Who regulates {NAME}, and by whom is it regulated?", 3)
+    return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")

@@ -30,5 +30,12 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Deletes all its tables; nothing that is still to be read may come from them."""
+        self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,6 +30,8 @@ MANIFEST = _struct(
     ("company", _S, False), ("ticker", _S, False), ("cik", _S, False), ("accession_number", _S, False), ("filing_type", _S, False),
     ("filing_date", T.DateType(), False), ("local_path", _S, False), ("downloaded_at", _S, False), ("sha256", _S, False),
 )
+RAW = _struct(("name", _S, False), ("content", T.BinaryType(), False))
+DECISION = _struct(("asked_at", T.TimestampType(), False), ("question", _S, False), ("route", _S, False), ("confidence", _D, True), ("overridden", _B, False), ("entity_names", _IDS, True), ("query_type", _S, True), ("relationship_type", _S, True), ("second_relationship_type", _S, True), ("max_hops", _I, True), ("latency_ms", _D, False))
 EXTRACTION = _struct(("entities", T.ArrayType(_struct(("entity_type", _S, True), ("raw_name", _S, True), ("confidence", _D, True))), True), ("relationships", T.ArrayType(_struct(("relationship_type", _S, True), ("source_entity", _S, True), ("target_entity", _S, True), ("confidence", _D, True))), True))
 CACHE = _struct(("cache_key", _S, False), ("result", EXTRACTION, True), ("input_tokens", _L, True), ("output_tokens", _L, True))
 ROUTE = _struct(

@@ -26,8 +26,8 @@ def missing_tickers(wanted: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def resolve_tickers(wanted: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(ticker, cik); raises and names every ticker that is missing."""
-    if absent := [r["ticker"] for r in missing_tickers(wanted, mapping).orderBy("ticker").limit(1000).collect()]:
+    """(ticker, cik); raises and names every ticker that is missing (``wanted`` is a stated list)."""
+    if absent := [r["ticker"] for r in missing_tickers(wanted, mapping).orderBy("ticker").collect()]:
         raise UnknownTickers("no mapping for " + ", ".join(absent))
     return wanted.select(F.upper("ticker").alias("ticker")).distinct().join(mapping.select("ticker", "cik"), "ticker")
 
@@ -72,6 +72,20 @@ def to_fetch(wanted: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFr
     return wanted.join(there, "ticker", "left_anti")
 
 
+def write_raw(pages: DataFrame, path: str) -> None:
+    """Adds raw pages (name, content) that are not there yet; a page that is there is never changed."""
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        pages = pages.join(spark.read.schema(schemas.RAW).parquet(path).select("name"), "name", "left_anti")
+    pages.select("name", "content").dropDuplicates(["name"]).write.mode("append").parquet(path)
+
+
+def raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content, content_hash) of the landing zone."""
+    return spark.read.schema(schemas.RAW).parquet(path).withColumn("content_hash", F.sha2("content", 256))
+
+
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, content_hash) of raw pages, whole."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("content_hash"))

@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Normalised documents, JSON files of one document each."""
-    return spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
+def documents(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Normalised documents: JSON files of one document each, or (``kind`` parquet) what :func:`write_documents` wrote."""
+    reader = spark.read.schema(schemas.DOCUMENT)
+    return reader.parquet(path) if kind == "parquet" else reader.option("multiLine", True).json(path)
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
     """Always anew: documents are derived."""
-    docs.write.mode("overwrite").parquet(path)
+    docs.select(schemas.DOCUMENT.names).write.mode("overwrite").parquet(path)
 
 
 def extraction_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CACHE).json(path)
+    """One row a key: a job that was run again may have added a key twice, with the same result."""
+    return spark.read.schema(schemas.CACHE).json(path).dropDuplicates(["cache_key"])
 
 
 def add_to_cache(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Appends; :func:`extraction_cache` reads each key once."""
+    rows.select(schemas.CACHE.names).write.mode("append").json(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Extraction results (document_id, source_chunk_id, result), a folder for each document that is written; others stay."""
+    results.select("document_id", "source_chunk_id", "result").repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_results` wrote; ids stay text."""
+    return spark.read.schema(f"source_chunk_id string, result {schemas.EXTRACTION.simpleString()}, document_id string").parquet(path)
 
 
 def extracted(results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +61,13 @@ def benchmark_items(gold: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def log_decisions(rows: DataFrame, path: str) -> None:
-    """Appends routing decisions, one JSON line each."""
-    rows.write.mode("append").json(path)
+    """Appends routing decisions with their latency, one JSON line each."""
+    rows.select(schemas.DECISION.names).write.mode("append").json(path)
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """The log; what a job that was run again wrote twice is read once."""
+    return spark.read.schema(schemas.DECISION).json(path).dropDuplicates(["asked_at", "question"])
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -61,9 +79,27 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.sortWithinPartitions("document_id", "chunk_id").write.mode("overwrite").parquet(path)
 
 
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.VECTOR).parquet(path)
+
+
+def write_nodes(nodes: DataFrame, path: str) -> None:
+    nodes.select(schemas.NODE.names).write.mode("overwrite").parquet(path)
+
+
+def nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes with their aliases; without any it is an empty list."""
+    rows = spark.read.schema(schemas.NODE).parquet(path)
+    return rows.withColumn("aliases", F.coalesce("aliases", F.expr("cast(array() as array<string>)")))
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     """Edges by type: a typed query reads one folder."""
-    edges.write.mode("overwrite").partitionBy("rel_type").parquet(path)
+    edges.select(schemas.EDGE.names).write.mode("overwrite").partitionBy("rel_type").parquet(path)
+
+
+def edges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.EDGE).parquet(path).select(schemas.EDGE.names)
 
 
 def key_violations(table: DataFrame, keys: list[str]) -> DataFrame:

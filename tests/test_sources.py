@@ -12,11 +12,11 @@ from sparkwright.streaming import incremental
 
 
 def test_tickers(spark):
-    raw = spark.createDataFrame([(0, "nvda", 7, "old"), (1, "NVDA", 1045810, "NVIDIA")], "pos int, ticker string, cik long, title string")
+    raw = spark.createDataFrame([(0, "qqx", 7, "old"), (1, "QQX", 4711, "Quux")], "pos int, ticker string, cik long, title string")
     mapping = filings.ticker_table(raw)
-    assert tuple(mapping.first()) == ("NVDA", "0001045810", "NVIDIA")
+    assert tuple(mapping.first()) == ("QQX", "0000004711", "Quux")
     with pytest.raises(filings.UnknownTickers, match="AAA, ZZZ"):
-        filings.resolve_tickers(spark.createDataFrame([("zzz",), ("nvda",), ("aaa",)], "ticker string"), mapping)
+        filings.resolve_tickers(spark.createDataFrame([("zzz",), ("qqx",), ("aaa",)], "ticker string"), mapping)
 
 
 def test_latest_filing(spark):
@@ -73,6 +73,10 @@ def test_extraction(spark):
     first = extraction.extract_chunks(chunks, extract)
     rows = {r["chunk_id"]: r for r in first.collect()}
     assert [tuple(x) for x in rows["c1"]["result"]["relationships"]] == [("SUPPLIES", "Acme", "Beta", 0.9)]
+    own = extraction.parsed(extract("S", "US regulators asked us. The Company supplies Beta; our tests passed.", 9, "Gamma"), Ontology())
+    assert [(r["source_entity"], r["target_entity"]) for r in own["relationships"]] == [("Gamma", "Beta")] and {e["raw_name"] for e in own["entities"]} == {"Gamma", "Beta"}
+    side_by_side = {r["chunk_id"]: r["result"] for r in extraction.extract_chunks(chunks, extract, workers=4).collect()}
+    assert side_by_side == {k: r["result"] for k, r in rows.items()}
     cache = spark.createDataFrame([tuple(rows["c1"][c] for c in ("cache_key", "result", "input_tokens", "output_tokens"))], schemas.CACHE)
     assert {r["chunk_id"]: r["from_cache"] for r in extraction.extract_chunks(chunks, extract, cache).collect()} == {"c1": True, "c2": False}
     assert extraction.total_cost(cache.limit(0)).first()["cost"] == 0.0
@@ -81,7 +85,7 @@ def test_extraction(spark):
 def test_retries():
     budgets = []
 
-    def extract(section, text, budget):
+    def extract(section, text, budget, filer):
         budgets.append(budget)
         if budget < 32768:
             raise extraction.Truncated
@@ -111,4 +115,10 @@ def test_stream_merges_twice(spark, tmp_path):
         spark.createDataFrame([("Company", "A", "SUPPLIES", "Company", "B", f"c{k}", 0.5)], claims).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(claims).parquet(str(tmp_path / "in"))
         incremental.merge_claims(stream, out, str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(out).first()["source_chunk_ids"] == ["c0", "c1"]
+        spark.createDataFrame([("Company", "A", "ACQUIRED", "Company", "C", f"d{k}", 0.5)], claims).write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.merge_claims(spark.readStream.schema(claims).parquet(str(tmp_path / "in")), out, str(tmp_path / "check")).awaitTermination()
+    found = {r["rel_type"]: r["source_chunk_ids"] for r in incremental.current_edges(spark, out).collect()}
+    assert found == {"SUPPLIES": ["c0", "c1"], "ACQUIRED": ["d0", "d1"]} and len(incremental._pointers(spark, out)) == 2
+    incremental.merge_claims(spark.readStream.schema(claims).parquet(str(tmp_path / "in")), out, str(tmp_path / "anew")).awaitTermination()  # all of it again
+    assert {r["rel_type"]: r["source_chunk_ids"] for r in incremental.current_edges(spark, out).collect()} == found
+    assert incremental.current_edges(spark, str(tmp_path / "none")).count() == 0
