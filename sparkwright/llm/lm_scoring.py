@@ -444,8 +444,10 @@ class Learner:
     """Weights by gate and the refining table from a task's bits; each bit's own count is taken out."""
 
     def __init__(self, code: Code, zeros: np.ndarray, ones: np.ndarray, seed: int = 5):
-        self.code, self.zeros, self.ones, self.rng = code, zeros, ones, np.random.default_rng(seed)
-        self.level = np.searchsorted(LEVELS, zeros + ones - 1, "right").astype(np.int8)
+        self.code, self.rng = code, np.random.default_rng(seed)
+        both = np.empty((len(zeros), 2), np.float32)
+        both[:, 0], both[:, 1] = zeros, ones
+        self.cells = both.view(np.complex64).ravel()  # a slot's zeros and ones side by side: one look at memory for both
         self.model = Model(code, None, None, None)
         k = len(SIZES) + 1
         self.curve, self.start = np.tile(np.eye(k) * STIFF, (GATES, 1, 1)), self.model.weights.astype(float)
@@ -456,27 +458,43 @@ class Learner:
         for lo, hi in units.stretches(COUNT):
             symbols, unit, place = units.symbols(lo, hi)
             bits = Bits(self.code, self.code.rows(symbols, place))
-            weight = np.repeat(often[lo:hi][unit].astype(np.float32), bits.size)
-            x, levels = np.ones((len(SIZES) + 1, len(weight)), np.float32), []
+            bit, weight = bits.bit.astype(np.float32), np.repeat(often[lo:hi][unit].astype(np.float32), bits.size)
+            x, levels = np.empty((len(SIZES) + 1, len(weight)), np.float32), []
             for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])):
-                slot = bits.slots(i, h) + BASES[i]
-                one, zero = np.maximum(self.ones.take(slot) - bits.bit, 0), np.maximum(self.zeros.take(slot) - (1 - bits.bit), 0)
-                x[i] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-                levels.append(self.level.take(slot) if i else None)
+                slot = bits.slots(i, h)
+                slot += BASES[i]
+                both = self.cells.take(slot)
+                zero, one = both.real + bit, both.imag - bit
+                zero -= 1
+                if i:
+                    seen, level = zero + one, np.zeros(len(bit), np.int8)  # without the bit itself
+                    for least in LEVELS:
+                        level += seen >= least
+                levels.append(level if i else None)
+                for part in (zero, one):
+                    np.maximum(part, 0, out=part)
+                    part += np.float32(0.4)
+                np.log(np.divide(one, zero, out=one), out=x[i])
             gate = self.model.gate(levels)
-            order = np.flatnonzero(weight)
-            for part in np.array_split(self.rng.permutation(order), max(1, min(STEPS, len(order) // STEP_BITS))):
-                self.step(x[:, part], gate[part], bits.bit[part], weight[part])
+            # each bit goes to a step by chance; one sort puts the steps, and each step's gates, in a row
+            steps = max(1, min(STEPS, len(weight) // STEP_BITS))
+            key = gate.astype(np.int16)
+            key += self.rng.integers(0, steps, len(key), dtype=np.int16) * np.int16(GATES)
+            order = np.argsort(key, kind="stable")
+            x[:-1], gate, bit, weight = x[:-1].take(order, axis=1), gate.take(order), bit.take(order), weight.take(order)
+            x[-1] = 1
+            ends = np.cumsum(np.bincount(key // GATES, minlength=steps))
+            for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.step(x[:, first:last], gate[first:last], bit[first:last], weight[first:last])
             mixed = self.model.mix(list(x[:-1]), gate)
             at = np.clip(np.rint(mixed * np.float32((BINS - 1) / 16)).astype(np.int64), -(BINS // 2), BINS // 2) + gate * BINS + BINS // 2
             self.mass += np.bincount(at, weights=weight, minlength=len(self.mass))
-            self.hits += np.bincount(at, weights=weight * bits.bit, minlength=len(self.hits))
+            self.hits += np.bincount(at, weights=weight * bit, minlength=len(self.hits))
 
     def step(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> None:
+        """One Newton step over bits that are sorted by gate."""
         if not len(gate):
             return
-        by = np.argsort(gate.astype(np.int16), kind="stable")
-        x, gate, bit, weight = x[:, by], gate[by], bit[by], weight[by]
         p = squash(self.model.mix(list(x[:-1]), gate))
         curved, slope = x * (weight * np.maximum(p * (1 - p), np.float32(1e-3))), x * (weight * (bit - p))
         cuts = np.flatnonzero(np.append(True, np.diff(gate) != 0))
