@@ -12,7 +12,7 @@ counts its own, and the tasks' tables are summed by ranges of slots).  Their log
 that a gate picks by how often the contexts were seen; the mixed probability is
 then refined by an adaptive table over its own logit and the gate.  Weights, table and
 word groups are learnt from all training documents, with each bit's own count taken out: a task
-takes Newton steps over its own bits, and the tasks' curvatures, curved weights and table
+takes a Newton step for each stretch of its own bits, and the tasks' curvatures, curved weights and table
 sums, of fixed size, are added up (so the weights depend a little on how the input is
 dealt over tasks).  Every bit's two probabilities sum to 1, so a text's
 score is the log10 of a proper probability.  Equal tokens in equal places have equal
@@ -46,10 +46,9 @@ TERM, END, SYMBOLS = 256, 257, 258
 #: Slots of the contexts: the text's group (codes depend on the symbol before), 3 symbols before, the word's beginning, the same with the group.
 SIZES = (1 << 18, 1 << 19, 1 << 21, 1 << 21)
 #: Different tokens that a task keeps at hand.
-KEPT = 500_000
+KEPT = 2_000_000
 UNIT_BYTES = 2 << 20  # text whose equal tokens are spelled once
-SPELL = 16_000  # symbols (about) whose bits are held at a time when scoring: they stay in the cache
-COUNT = 200_000  # the same when counting
+SPELL = 16_000  # symbols (about) whose bits are held at a time: they stay in the cache
 BASES = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 SLOTS = sum(SIZES)
 #: Cells (a slot's zeros and ones are two) that are summed together.
@@ -61,7 +60,6 @@ MARKS = 192
 LEVELS = (1, 3, 12, 60, 400)
 #: What weights and table start from counts as so much curvature and so many bits.
 STIFF, START = 30.0, 20.0
-STEPS, STEP_BITS = 16, 8192  # Newton steps at most for a stretch of bits, bits at least for each
 
 
 def _classes() -> np.ndarray:
@@ -443,8 +441,8 @@ class Model:
 class Learner:
     """Weights by gate and the refining table from a task's bits; each bit's own count is taken out."""
 
-    def __init__(self, code: Code, zeros: np.ndarray, ones: np.ndarray, seed: int = 5):
-        self.code, self.rng = code, np.random.default_rng(seed)
+    def __init__(self, code: Code, zeros: np.ndarray, ones: np.ndarray):
+        self.code = code
         both = np.empty((len(zeros), 2), np.float32)
         both[:, 0], both[:, 1] = zeros, ones
         self.cells = both.view(np.complex64).ravel()  # a slot's zeros and ones side by side: one look at memory for both
@@ -454,8 +452,8 @@ class Learner:
         self.mass, self.hits = np.zeros(GATES * BINS), np.zeros(GATES * BINS)
 
     def take(self, units: Units, often: np.ndarray) -> None:
-        """Newton steps of every gate's weights, with the curvature summed so far, then the table's sums."""
-        for lo, hi in units.stretches(COUNT):
+        """A Newton step of every gate's weights for each stretch, with the curvature summed so far, then the table's sums."""
+        for lo, hi in units.stretches(SPELL):
             symbols, unit, place = units.symbols(lo, hi)
             bits = Bits(self.code, self.code.rows(symbols, place))
             bit, weight = bits.bit.astype(np.float32), np.repeat(often[lo:hi][unit].astype(np.float32), bits.size)
@@ -476,16 +474,10 @@ class Learner:
                     part += np.float32(0.4)
                 np.log(np.divide(one, zero, out=one), out=x[i])
             gate = self.model.gate(levels)
-            # each bit goes to a step by chance; one sort puts the steps, and each step's gates, in a row
-            steps = max(1, min(STEPS, len(weight) // STEP_BITS))
-            key = gate.astype(np.int16)
-            key += self.rng.integers(0, steps, len(key), dtype=np.int16) * np.int16(GATES)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(gate.astype(np.uint8), kind="stable")  # each gate's bits in a row
             x[:-1], gate, bit, weight = x[:-1].take(order, axis=1), gate.take(order), bit.take(order), weight.take(order)
             x[-1] = 1
-            ends = np.cumsum(np.bincount(key // GATES, minlength=steps))
-            for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.step(x[:, first:last], gate[first:last], bit[first:last], weight[first:last])
+            self.step(x, gate, bit, weight)
             mixed = self.model.mix(list(x[:-1]), gate)
             at = np.clip(np.rint(mixed * np.float32((BINS - 1) / 16)).astype(np.int64), -(BINS // 2), BINS // 2) + gate * BINS + BINS // 2
             self.mass += np.bincount(at, weights=weight, minlength=len(self.mass))
@@ -534,7 +526,7 @@ def learnt(train: DataFrame, code: Code, marks: tuple[np.ndarray, np.ndarray], z
 
 def add_counts(code: Code, units: Units, often: np.ndarray, seen: list[np.ndarray]) -> None:
     """Adds the units' bits to each context's table of zeros and ones."""
-    for lo, hi in units.stretches(COUNT):
+    for lo, hi in units.stretches(SPELL):
         symbols, unit, place = units.symbols(lo, hi)
         bits = Bits(code, code.rows(symbols, place))
         weight = np.repeat(often[lo:hi][unit].astype(np.float64), bits.size)
