@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, quality, suffix_dedup, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -55,6 +55,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main(table(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 4) == 2
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 _OP3_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
 k AS (SELECT doc_id, sha256(body) AS text_sha256, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
@@ -88,7 +94,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, min(m) AS component_id FROM reach L
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html, op11_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
