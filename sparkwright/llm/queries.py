@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, lm_scoring, quality, suffix_dedup, token_counts, toxicity
 from .common import remainder, table
 
 
@@ -61,6 +61,12 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 _OP3_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
 k AS (SELECT doc_id, sha256(body) AS text_sha256, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
@@ -91,11 +97,21 @@ links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 reach(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM reach r JOIN links ON r.m = a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, min(m) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
 """
+#: Every anchor meets every row; fit for small tables.
+_OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS k, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(k AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html, op11_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_exact_dedup, op4_lm_scoring, op5_suffix_dedup, op6_bpe, op7_decontamination, op8_ngram_jaccard, op9_toxicity, op10_html, op11_quality, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op8_ngram_jaccard": _OP8_SQL}
+    return {"op3_exact_dedup": _OP3_SQL, "op5_suffix_dedup": _OP5_SQL, "op8_ngram_jaccard": _OP8_SQL, "op12_hard_negatives": _OP12_SQL}
