@@ -35,10 +35,10 @@ class GraphPlan:
         return self.max_hops or 3
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """Edges from both ends (a to b, outgoing or not); a loop once."""
+def undirected(edges: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Edges from both ends (a to b, outgoing or not), with ``more`` of their columns; a loop once."""
     rows = edges if "edge_id" in edges.columns else with_edge_ids(edges)
-    rest = ("rel_type", "source_chunk_ids", "edge_id")
+    rest = ("rel_type", "source_chunk_ids", "edge_id", *more)
     there = rows.select(F.col("src_type").alias("a_type"), F.col("src").alias("a"), F.col("dst_type").alias("b_type"), F.col("dst").alias("b"), *rest, F.lit(True).alias("outgoing"))
     back = rows.filter("src <> dst or src_type <> dst_type").select(F.col("dst_type").alias("a_type"), F.col("dst").alias("a"), F.col("src_type").alias("b_type"), F.col("src").alias("b"), *rest, F.lit(False).alias("outgoing"))
     return there.unionByName(back)
