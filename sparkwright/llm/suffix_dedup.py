@@ -26,9 +26,15 @@ Copies of whole documents are folded first: of equal texts only the smallest id'
 goes through the steps, the others are removed whole (if they have ``LENGTH`` bytes).
 
 Null texts are empty.  Texts shorter than ``LENGTH`` lose nothing.  Rows with the same
-doc_id are one document's rows: they do not remove each other, and what one of them
-loses is removed at the same places in each.  An empty table gives an empty result.
-Long texts are one block each.
+doc_id do not remove each other, and each is judged by its own text: it loses only what
+a smaller id's row has.  A row without an id is compared with nothing and stays whole.
+Ids may be of any type that has an order (text by its bytes).  An empty table gives an
+empty result.  Long texts are one block each.
+
+Inside, a row goes by a number: its id, shifted by so many bits that the different texts
+of one id have numbers of their own (none where no id is repeated).  Numbers compare as
+ids do once they are shifted back.  Ids that are no whole numbers, or too large to
+be shifted, are numbered by their order.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, gathered, mix64, prefix_hash, second_base, span_hash
@@ -96,7 +102,8 @@ def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Meetings:
     """Rows sorted by (anchor, stretch, document), batch by batch: what to remove, and what the suffix sort must see."""
 
-    def __init__(self):
+    def __init__(self, bits: int = 0):
+        self.bits = bits  # of a number that tell the texts of one id apart
         self.carry: tuple[np.ndarray, ...] | None = None
         self.told = None  # an anchor of which several stretches are known, whose rows so far were passed on
 
@@ -111,7 +118,7 @@ class Meetings:
         same[1:] = (h[1:] == h[:-1]) & (u[1:] == u[:-1])
         first = np.flatnonzero(~same)
         least = np.repeat(d[first], np.diff(np.append(first, len(h))))
-        gone = d > least
+        gone = (d >> self.bits) > (least >> self.bits)
         gone_new = gone.copy()
         gone_new[:held] = False
         if gone_new.any():
@@ -224,7 +231,7 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def judged(h: np.ndarray, d: np.ndarray, p: np.ndarray, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def judged(h: np.ndarray, d: np.ndarray, p: np.ndarray, raw: np.ndarray, off: np.ndarray, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(document, window start) of windows that a smaller document has; rows are whole runs of anchors with their stretches' bytes."""
     none = np.empty(0, np.int64)
     if len(h) < 2:
@@ -260,7 +267,7 @@ def judged(h: np.ndarray, d: np.ndarray, p: np.ndarray, raw: np.ndarray, off: np
     for lo in range(0, len(at), 100_000):  # collisions: the bytes themselves
         part = slice(lo, lo + 100_000)
         bad[part] = (raw[at[part, None] + step] != raw[at[head[group[part]], None] + step]).any(axis=1)
-    gone = d[row] > d[row[head]][group]
+    gone = d[row] >> bits > d[row[head]][group] >> bits
     for g in np.unique(group[bad]):  # a group of several strings: each by itself
         members = np.flatnonzero(group == g)
         least: dict[bytes, int] = {}
@@ -268,7 +275,7 @@ def judged(h: np.ndarray, d: np.ndarray, p: np.ndarray, raw: np.ndarray, off: np
             s = raw[at[i] : at[i] + LENGTH].tobytes()
             least[s] = min(least.get(s, d[row[i]]), d[row[i]])
         for i in members:
-            gone[i] = d[row[i]] > least[raw[at[i] : at[i] + LENGTH].tobytes()]
+            gone[i] = d[row[i]] >> bits > least[raw[at[i] : at[i] + LENGTH].tobytes()] >> bits
     return d[row[gone]], start[row[gone]] + inner[gone]
 
 
@@ -287,11 +294,34 @@ def _spans(d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.repeat(d[first], pieces)), pa.array(pack(begin, width, 0))], names=["doc_id", "p"])
 
 
-def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """((id, doc_id, text), (doc_id, k, m), bits): rows by their numbers, the numbers' digests, and the bits that tell one id's texts apart."""
+    digest = [F.xxhash64("text").alias("k"), F.md5(F.col("text").cast("binary")).alias("m")]
+    whole = docs.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    digests = scratch.keep(docs.filter("id is not null").select(F.col("id").cast("long").alias("id") if whole else "id", *digest), "digests")
+    different = digests.groupBy("id", "k", "m").agg(F.count(F.lit(1)).alias("_n"))
+    told = different.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    bits = int((told["n"] or 1) - 1).bit_length()
+    if whole and not bits:
+        return docs.withColumn("doc_id", F.col("id").cast("long")), digests.withColumnRenamed("id", "doc_id"), 0
+    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "m")) - 1
+    texts = different.select("id", "k", "m", place.alias("place"))
+    if whole and max(abs(told["low"]), abs(told["high"])) < 1 << (62 - bits):
+        numbers = texts.withColumn("doc_id", F.shiftleft("id", bits) + F.col("place"))
+    else:
+        ids = texts.select("id").distinct().orderBy("id")
+        order = ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"id {ids.schema['id'].dataType.simpleString()}, _at long")
+        numbers = texts.join(order, "id").withColumn("doc_id", F.shiftleft("_at", bits) + F.col("place"))
+    numbers = scratch.keep(numbers.select(F.col("id").alias("_id"), "doc_id", "k", "m"), "numbers")
+    there = docs.select("id", "text", *digest)
+    rows = there.join(numbers.withColumnsRenamed({"k": "_k", "m": "_m"}), (F.col("id") == F.col("_id")) & (F.col("k") == F.col("_k")) & (F.col("m") == F.col("_m")), "left")
+    return scratch.keep(rows.select("id", "doc_id", "text"), "numbered"), numbers.select("doc_id", "k", "m"), bits
+
+
+def removed_spans(docs: DataFrame, digests: DataFrame, bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """((doc_id, array of packed windows), (doc_id) of whole copies)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    digests = scratch.keep(docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("k"), F.md5(F.col("text").cast("binary")).alias("m")), "digests")
     folded = digests.groupBy("k", "m").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = scratch.keep(digests.join(folded, ["k", "m"]).filter("doc_id > least").select("doc_id").distinct(), "copies")
 
@@ -321,14 +351,14 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
                 order = np.lexsort((d, u, h))
                 h, u, d, p = h[order], u[order], d[order], p[order]
                 head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (u[1:] != u[:-1]))) if len(h) else np.empty(0, np.int64)
-                gone = d > np.repeat(d[head], np.diff(np.append(head, len(h))))
+                gone = d >> bits > np.repeat(d[head], np.diff(np.append(head, len(h)))) >> bits
                 h = np.where(gone, mix64(d.astype(np.uint64) ^ (p.astype(np.uint64) << np.uint64(20))), h)
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(d), pa.array(p), pa.array(gone.astype(np.int8))], names=["h", "u", "doc_id", "p", "gone"])
 
     rows = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(anchors, "h long, u long, doc_id long, p long, gone tinyint")
 
     def meet(batches):
-        meetings = Meetings()
+        meetings = Meetings(bits)
         for h, u, d, p, gone in gathered(batches):
             settled = gone == 1
             if settled.any():
@@ -355,8 +385,6 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
                 start, windows, anchor = unpack(p)
                 first = off[:-1][row] + start
                 last = first + windows - 1 + LENGTH
-                ok = last <= off[1:][row]  # rows that repeat a doc_id may be shorter
-                row, p, first, last, anchor = row[ok], p[ok], first[ok], last[ok], anchor[ok]
                 h = gram_hash(raw)[first + anchor].view(np.int64)
                 size = last - first
                 where = np.concatenate([[0], np.cumsum(size)])
@@ -377,7 +405,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 
         def work(table: pa.Table):
             raw, off = _binary(table.column(3))
-            d, s = judged(table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), raw, off)
+            d, s = judged(table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), raw, off, bits)
             if len(d):
                 yield _spans(d, s)
 
@@ -409,7 +437,7 @@ def removed_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
 
     windows = held.join(F.broadcast(hot), "h", "left_semi").select("h", "doc_id", "p", "bytes").mapInArrow(windows_of, "a long, b long, doc_id long, s long")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-    by_hash = windows.join(least, ["a", "b"]).filter("doc_id > least").select("doc_id", F.expr("shiftleft(s, 16) + 256").alias("p"))
+    by_hash = windows.join(least, ["a", "b"]).filter(f"shiftright(doc_id, {bits}) > shiftright(least, {bits})").select("doc_id", F.expr("shiftleft(s, 16) + 256").alias("p"))
     spans = scratch.keep(whole.unionByName(cold).unionByName(by_hash).join(copies, "doc_id", "left_anti").distinct(), "spans")
     return spans.groupBy("doc_id").agg(F.collect_list("p").alias("ps")), copies
 
@@ -437,15 +465,16 @@ def keep_mask(size: int, packed: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: bool = False) -> DataFrame:
     """Per document n_bytes, n_removed, n_spans and kept_sha256; with ``contents`` also the kept bytes and removed spans."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lists, copies = removed_spans(docs, scratch)
+    docs, digests, bits = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), scratch)
+    lists, copies = removed_spans(docs, digests, bits, scratch)
+    kind = docs.schema["id"].dataType
     marks = lists.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast("array<long>").alias("ps"), F.lit(True).alias("copy")))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<long>>" if contents else "")
+    schema = f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<long>>" if contents else "")
 
     def finish(batches):
         empty = np.empty(0, np.int64)
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             if contents:
                 out |= {"kept": [], "spans": []}
             lists_, whole = batch.column(2), batch.column(3).to_pylist()
@@ -472,7 +501,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if contents:
                         out["kept"].append(kept.tobytes())
                         out["spans"].append(runs.tolist())
-            kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.list_(pa.int64()))}
-            yield pa.record_batch([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
+            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.list_(pa.int64()))}
+            yield pa.record_batch([batch.column(0), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["doc_id", *out])
 
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "ps", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(finish, schema)
+    return docs.join(marks, "doc_id", "left").select("id", "text", "ps", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(finish, schema)

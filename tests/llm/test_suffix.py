@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkwright.llm import suffix_dedup
 
@@ -9,8 +10,9 @@ N = suffix_dedup.LENGTH
 
 
 def brute(rows):
-    first, out = {}, {}
-    for d, t in sorted(rows):
+    """Row by row, in the order of the rows: ids may be repeated or null."""
+    first, out = {}, []
+    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         b = (t or "").encode()
         for i in range(len(b) - N + 1):
             first.setdefault(b[i : i + N], d)
@@ -18,15 +20,15 @@ def brute(rows):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - N + 1):
-            if first[b[i : i + N]] < d:
+            if d is not None and first[b[i : i + N]] < d:
                 gone[i : i + N] = True
         edge = np.diff(np.concatenate([[0], gone.astype(int)]))
-        out[d] = (len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
-    return out
+        out.append((d, len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(out, key=str)
 
 
 def told(frame):
-    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame).collect()}
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(frame).collect()), key=str)
 
 
 def corpus(rng):
@@ -55,9 +57,8 @@ def test_hot_anchors_take_the_other_way(make, monkeypatch):
 
 
 def test_odd_rows(odd, make):
-    rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
+    assert told(odd) == brute([(r["doc_id"], r["text"]) for r in odd.collect()])
     got = suffix_dedup.remove_repeats(odd, contents=True).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == brute(rows) and len(got) == len(rows) + 2
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and sum(b - a for a, b in r["spans"]) == r["n_removed"] for r in got)
     assert suffix_dedup.remove_repeats(make([])).collect() == []
 
@@ -71,3 +72,24 @@ def test_suffix_sort_is_a_sort():
     order = suffix_dedup.Suffixes(raw).sort(start, size, run, np.repeat([10, 1, 49, 30], [10, 1, 49, 30]))
     keys = [(int(run[i]), raw[start[i] : start[i] + size[i]].tobytes()) for i in order]
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(90))
+
+
+def test_repeated_ids_with_different_texts(make):
+    """A row loses only what a smaller id has: nothing because another row of its id loses it, nothing to another row of its id."""
+    a, b = "the first of two quite different passages, with some more words to it", "and another one of which no window is anywhere in the other of the two"
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, "x" + a), (3, b + a), (None, a), (None, b)]
+    got = told(make([t for _, t in rows], ids=[i for i, _ in rows]))
+    assert got == brute(rows)
+    assert {(r[0], r[2]) for r in got} >= {(2, len(a)), (2, 0)}
+    texts, rng = corpus(random.Random(9)), random.Random(1)
+    ids = [rng.choice([None, *range(12)]) for _ in texts]
+    assert told(make(texts, ids=ids)) == brute(list(zip(ids, texts, strict=True)))
+
+
+def test_ids_that_are_text_or_large(make):
+    texts = corpus(random.Random(3))[:40] * 2
+    ids = [f"d{i % 30}" for i in range(80)]
+    frame = make(texts).withColumn("doc_id", F.concat(F.lit("d"), (F.col("doc_id") % 30).cast("string")))
+    assert told(frame) == brute(list(zip(ids, texts, strict=True)))
+    large = [(i % 30) * 2**57 - 2**62 for i in range(80)]
+    assert told(make(texts, ids=large)) == brute(list(zip(large, texts, strict=True)))
