@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import text as X
 from ..functions import vectors as V
 from ..ontology import Ontology
-from ..operators import answers, chunking, extraction, grading, graph_build, graph_query, html_blocks, resolve, routing, sections, validate, vector_search
+from ..operators import answers, chunking, extraction, grading, graph_build, graph_plans, graph_query, html_blocks, resolve, routing, sections, validate, vector_search
 from ..operators.components import components
 from ..sources import filings, tables
 from .scratch import Scratch
@@ -62,12 +62,22 @@ def all_claims(spark: SparkSession, d: str) -> DataFrame:
     return supplies.unionByName(segment).unionByName(by)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_GRAPH = ("lineitem", "orders", "supplier", "customer", "nation")
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def content_of(spark: SparkSession, d: str, names: tuple[str, ...]) -> str:
+    """What tells the tables' present files from any others: how many there are, their names, lengths and times."""
+    files = None
+    for name in names:
+        part = table(spark, d, name).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("time"))
+        files = part if files is None else files.unionByName(part)
+    return str(files.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("at", "size", "time").cast("decimal(38,0)"))).first())
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """The stored graph: built once in a session for a folder of tables, written by type, and read by every question after that."""
-    key = (spark.sparkContext.applicationId, d)
+    """The stored graph: built once in a session for what a folder's tables hold now, written by type, and read by every question after that."""
+    key = (spark.sparkContext.applicationId, d, content_of(spark, d, _GRAPH))
     path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.get(key, "") or "/nowhere")
     if key not in _STORED or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         at = f"{Scratch(spark, 'graph').root}/edges"
@@ -158,6 +168,49 @@ def aggregate_count_empty(spark: SparkSession, d: str) -> DataFrame:
     return graph_query.aggregate_count(edges(spark, d), NAME, "ACQUIRED").select("count", joined("neighbors").alias("neighbors"))
 
 
+# --- whole sets of plans ------------------------------------------------------------------------------------------
+
+
+def _ids(ids: str) -> F.Column:
+    return joined(ids).alias("chunk_ids")
+
+
+@query(f"WITH {EDGES} SELECT s_suppkey AS plan_id, rel_type AS relationship_type, b AS neighbor, b_type AS neighbor_type, array_to_string(ids, ',') AS chunk_ids, outgoing FROM both_ways JOIN supplier ON a = s_name WHERE s_suppkey % 2 = 0 OR rel_type = 'REGULATED_BY'")
+def plans_one_hop(spark: SparkSession, d: str) -> DataFrame:
+    """A plan for each supplier: of every second one all edges, of the others those of a type."""
+    plans = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 != 0, "REGULATED_BY").alias("rel_type"))
+    return graph_plans.one_hop(edges(spark, d), plans).select("plan_id", "relationship_type", "neighbor", "neighbor_type", _ids("source_chunk_ids"), "outgoing")
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT s_suppkey AS plan_id, u.b AS via, w.b AS result, w.b_type AS result_type, array_to_string(u.ids, ',') || ',' || array_to_string(w.ids, ',') AS chunk_ids FROM both_ways u JOIN supplier ON u.a = s_name JOIN both_ways w ON u.b = w.a AND u.b_type = w.a_type AND u.e <> w.e WHERE u.rel_type = 'SUPPLIES' AND w.rel_type = 'HAS_SEGMENT' AND w.b <> u.a")
+def plans_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), F.col("s_name").alias("name"), F.lit("SUPPLIES").alias("first"), F.lit("HAS_SEGMENT").alias("second"))
+    return graph_plans.two_hop_chain(edges(spark, d), plans).select("plan_id", "via", "result", "result_type", _ids("source_chunk_ids"))
+
+
+@query(f"WITH {EDGES}, plans AS (SELECT s_suppkey AS plan_id, s_name AS a, CASE s_suppkey % 3 WHEN 0 THEN 'SUPPLIES' WHEN 1 THEN 'REGULATED_BY' ELSE 'ACQUIRED' END AS rel_type FROM supplier) SELECT plan_id, count(DISTINCT b_type || '|' || b) AS count, coalesce(array_to_string(list_sort(list_distinct(list(b) FILTER (WHERE b IS NOT NULL))), ','), '') AS neighbors FROM plans LEFT JOIN both_ways USING (a, rel_type) GROUP BY plan_id")
+def plans_count(spark: SparkSession, d: str) -> DataFrame:
+    """A plan for each supplier, a third of them of a type that no edge has: they count 0."""
+    k = F.col("s_suppkey") % 3
+    plans = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), F.col("s_name").alias("name"), F.when(k == 0, "SUPPLIES").when(k == 1, "REGULATED_BY").otherwise("ACQUIRED").alias("rel_type"))
+    return graph_plans.aggregate_count(edges(spark, d), plans).select("plan_id", "count", joined("neighbors").alias("neighbors"))
+
+
+@query(f"""WITH {EDGES}, few AS (SELECT a, b, rel_type, any_value(outgoing) FROM both_ways GROUP BY a, b, rel_type),
+plans AS (SELECT 'n' || n_nationkey AS plan_id, n_name AS s, 'BUILDING' AS t, 3 AS m FROM nation UNION ALL SELECT 'x' || n_nationkey, n_name, 'BUILDING', 2 FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, 'MACHINERY', 0 FROM supplier UNION ALL SELECT 'z' || s_suppkey, s_name, 'nobody', 3 FROM supplier),
+two AS (SELECT plan_id, 2 AS hops, [u.a, u.b, v.b] AS n, [u.rel_type, v.rel_type] AS r FROM plans JOIN few u ON u.a = s JOIN few v ON v.a = u.b AND v.b = t WHERE u.b <> t),
+three AS (SELECT plan_id, 3 AS hops, [u.a, u.b, v.b, w.b] AS n, [u.rel_type, v.rel_type, w.rel_type] AS r FROM plans JOIN few u ON u.a = s JOIN few v ON v.a = u.b JOIN few w ON w.a = v.b AND w.b = t WHERE m IN (0, 3) AND v.b NOT IN (s, t) AND u.b <> t),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY hops, n, r) AS k FROM (FROM two UNION ALL FROM three))
+SELECT plan_id, array_to_string(n, '|') AS nodes, array_to_string(r, '|') AS types, hops FROM ranked WHERE k = 1""")
+def plans_path(spark: SparkSession, d: str) -> DataFrame:
+    """Nations to a segment over a supplier and a customer (three hops), the same with two hops (no path), suppliers to a segment (two), and to nobody."""
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    said = lambda rows, letter, key, name, end, hops: rows.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("plan_id"), F.col(name).alias("start"), F.lit(end).alias("end"), F.lit(hops).alias("max_hops"))
+    plans = said(nation, "n", "n_nationkey", "n_name", "BUILDING", 3).unionByName(said(nation, "x", "n_nationkey", "n_name", "BUILDING", 2))
+    plans = plans.unionByName(said(supplier, "s", "s_suppkey", "s_name", "MACHINERY", 0)).unionByName(said(supplier, "z", "s_suppkey", "s_name", "nobody", 3))
+    return graph_plans.path_between(edges(spark, d), plans).select("plan_id", F.array_join("node_path", "|").alias("nodes"), F.array_join("relationship_path", "|").alias("types"), "hops")
+
+
 # --- entity resolution --------------------------------------------------------------------------------------------
 
 _SUFFIXED = "CASE k % 5 WHEN 0 THEN n || ' Inc.' WHEN 1 THEN n || ', Corp' WHEN 2 THEN n || ' Holdings, Inc.' WHEN 3 THEN '  ' || n || ' LTD' ELSE n END"
@@ -552,17 +605,46 @@ def label_free_ends(spark: SparkSession, d: str) -> DataFrame:
     return graph_build.label_free_ends(rows, nodes).groupBy("dst", "src").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(f"SELECT s_name || ' is regulated by ' || n_name || '.' AS answer_text, 'GRAPH' AS route, false AS overridden, 's' || s_suppkey AS cited, 0 AS rejected_claim_count, 1 AS graph_evidence_count, 0 AS vector_evidence_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = '{NAME}'")
-def ask(spark: SparkSession, d: str) -> DataFrame:
-    """A question from end to end over the stored graph: route, graph rows, passages, answer with citations."""
-    from .engine import Engine
-
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)").alias("aliases")
     named = [(table(spark, d, t), c, kind) for t, c, kind in (("supplier", "s_name", "Company"), ("customer", "c_name", "Company"), ("nation", "n_name", "RegulatoryBody"), ("customer", "c_mktsegment", "BusinessSegment"))]
     nodes = None
     for rows, column, kind in named:
         part = rows.select(F.lit(kind).alias("entity_type"), F.col(column).alias("canonical_name")).distinct()
         nodes = part if nodes is None else nodes.unionByName(part)
+    return nodes.select("*", none)
+
+
+@query(f"SELECT s_name || ' is regulated by ' || n_name || '.' AS answer_text, 'GRAPH' AS route, false AS overridden, 's' || s_suppkey AS cited, 0 AS rejected_claim_count, 1 AS graph_evidence_count, 0 AS vector_evidence_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = '{NAME}'")
+def ask(spark: SparkSession, d: str) -> DataFrame:
+    """A question from end to end over the stored graph: route, graph rows, passages, answer with citations."""
+    from .engine import Engine
+
     vectors = chunking.chunk_documents(as_documents(spark, d), 200, 20).select("chunk_id", "section_path", F.try_element_at("metadata", F.lit("company")).alias("company"), "text", V.embedder(64)("text").alias("embedding"))
-    answer = Engine(spark, nodes.select("*", none), edges(spark, d), vectors, dim=64).ask(f"Who regulates {NAME}, and by whom is it regulated?", 3)
+    answer = Engine(spark, _nodes(spark, d), edges(spark, d), vectors, dim=64).ask(f"Who regulates {NAME}, and by whom is it regulated?", 3)
+    return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    """A passage for each supplier, which says its name and a word of its own."""
+    text = F.concat("s_name", F.lit(" widget"), F.col("s_suppkey").cast("string"), F.lit(" filed."))
+    return table(spark, d, "supplier").select(F.format_string("p%d", "s_suppkey").alias("chunk_id"), F.lit("Item 1").alias("section_path"), F.col("s_name").alias("company"), text.alias("text")).withColumn("embedding", V.embedder(256)("text"))
+
+
+@query(f"""SELECT s_name || ' is regulated by ' || n_name || '. (Item 1, ' || s_name || ') ' || s_name || ' widget' || s_suppkey || ' filed.' AS answer_text, 'BOTH' AS route, false AS overridden, 's' || s_suppkey || ',p' || s_suppkey AS cited,
+0 AS rejected_claim_count, 1 AS graph_evidence_count, 1 AS vector_evidence_count FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name = '{NAME}'""")
+def ask_both(spark: SparkSession, d: str) -> DataFrame:
+    """A question that asks why: facts of the graph, and the nearest passage."""
+    from .engine import Engine
+
+    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d)).ask(f"Why does who regulate {NAME} so?", 1)
+    return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")
+
+
+@query("""SELECT '(Item 1, ' || s_name || ') ' || s_name || ' widget' || s_suppkey || ' filed.' AS answer_text, 'VECTOR' AS route, false AS overridden, 'p' || s_suppkey AS cited, 0 AS rejected_claim_count, 0 AS graph_evidence_count, 1 AS vector_evidence_count FROM supplier WHERE s_suppkey = 7""")
+def ask_vector(spark: SparkSession, d: str) -> DataFrame:
+    """A question that names nobody: passages alone."""
+    from .engine import Engine
+
+    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d)).ask("widget7 filed.", 1)
     return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")
