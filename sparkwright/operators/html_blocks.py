@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,22 +20,74 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 ENDS = {"li": {"li", "p"}, "td": {"td", "p"}, "tr": {"td", "tr", "p"}} | {t: {"p"} for t in (*BLOCKS, "ul", "ol", "table", "article", "section", "footer", "nav", "header", "aside", "main", "form") if t not in ("li", "td")}
 
 
-class _Walker(HTMLParser):
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Where a tag can end, or a quoted value can begin.
+_TURN = re.compile(r"=\s*[\"']|>")
+_STYLE = re.compile(r"\bstyle\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+))", re.I)
+_ENDED = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in NOISE}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", tag, attributes) and ("end", tag, "") of a page, in order.
+
+    Time is linear in the page's length, however broken it is: each search starts where the one before
+    it ended, and one that finds nothing is not made again (a quote without its end, a ``<`` without a
+    ``>``).  What follows the last ``>`` is text; a comment or script that does not end is the page's end."""
+    at = text_from = 0
+    last, quotes = page.rfind(">"), True
+    while True:
+        sign = page.find("<", at)
+        if sign < 0 or sign > last and not page.startswith("<!--", sign):
+            break
+        name = None
+        if page.startswith("<!--", sign):
+            end = page.find("-->", sign + 2)
+            after = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), sign):
+            after = page.find(">", sign) + 1
+        elif name := _NAME.match(page, sign + 1):
+            after = name.end()
+            while (turn := _TURN.search(page, after)) and turn[0] != ">":
+                close = page.find(turn[0][-1], turn.end()) if quotes else -1
+                quotes = quotes and close >= 0
+                after = close + 1 if close >= 0 else turn.end()
+            after = turn.end() if turn else page.find(">", name.end()) + 1  # where quotes hide every end, the next one counts
+        else:
+            at = sign + 1
+            continue
+        if sign > text_from:
+            yield "text", page[text_from:sign], ""
+        at = text_from = after
+        if name:
+            tag, attributes = name[2].lower(), page[name.end() : after - 1]
+            yield "end" if name[1] else "start", tag, attributes
+            if tag in NOISE and not name[1] and not attributes.endswith("/"):
+                ended = _ENDED[tag].search(page, at)
+                at = text_from = ended.start() if ended else len(page)
+    if text_from < len(page):
+        yield "text", page[text_from:], ""
+
+
+def _is_hidden(attributes: str) -> bool:
+    found = _STYLE.search(attributes) if "style" in attributes.lower() else None
+    return found is not None and "display:none" in "".join(x or "" for x in found.groups()).replace(" ", "").lower()
+
+
+class _Walker:
     """Collects (tag, text) of innermost blocks; text is pieces between tags joined by spaces."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.stack: list[list] = []  # [tag, hidden, pieces or None, has inner blocks, position, place of the block it stands in]
         self.open: dict[str, int] = {}
         self.out: list[tuple[int, str, str]] = []
         self.count = 0
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             return
         while self.stack and self.stack[-1][0] in ENDS.get(tag, ()):
-            self._close()
-        hidden = (self.stack[-1][1] if self.stack else False) or tag in NOISE or "display:none" in (dict(attrs).get("style") or "").replace(" ", "").lower()
+            self.close()
+        hidden = (self.stack[-1][1] if self.stack else False) or tag in NOISE or _is_hidden(attributes)
         if tag in BLOCKS and not hidden:
             for above in reversed(self.stack):
                 if above[3]:  # then so are those around it
@@ -44,37 +98,41 @@ class _Walker(HTMLParser):
         self.stack.append([tag, hidden, [] if block else None, False, self.count, within])
         self.open[tag] = self.open.get(tag, 0) + 1
         self.count += 1
+        if attributes.endswith("/"):
+            self.end(tag)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if self.open.get(tag):
-            while self._close() != tag:
+            while self.close() != tag:
                 pass
 
-    def _close(self) -> str:
+    def close(self) -> str:
         tag, _, pieces, inner, at, _ = self.stack.pop()
         self.open[tag] -= 1
         if pieces is not None and not inner:
             self.out.append((at, tag, " ".join(pieces)))
         return tag
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if self.stack and not self.stack[-1][1]:
             within = self.stack[-1][5]
             if within >= 0:
-                self.stack[within][2].append(data)
-
-    def finish(self) -> list[tuple[str, str]]:
-        self.close()
-        while self.stack:
-            self._close()
-        return [(tag, text) for _, tag, text in sorted(self.out)]
+                self.stack[within][2].append(html.unescape(data))
 
 
 def leaf_blocks(page: str | None) -> list[tuple[str, str]]:
     """(tag, text) of a page's innermost blocks, in page order."""
     walker = _Walker()
-    walker.feed(page or "")
-    return walker.finish()
+    for kind, what, attributes in tokens(page or ""):
+        if kind == "text":
+            walker.text(what)
+        elif kind == "start":
+            walker.start(what, attributes)
+        else:
+            walker.end(what)
+    while walker.stack:
+        walker.close()
+    return [(tag, text) for _, tag, text in sorted(walker.out)]
 
 
 def block_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -83,11 +141,16 @@ def block_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     def walk(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = leaf_blocks(batch.column(1)[i].as_py())
-                if found:
-                    ids = batch.column(0).take(pa.array([i] * len(found)))
-                    yield pa.record_batch([ids, pa.array(range(len(found)), pa.int32()), pa.array([t for t, _ in found]), pa.array([x for _, x in found])], names=[id_col, "pos", "tag", "text"])
+            for lo in range(0, batch.num_rows, 256):  # so that few pages' blocks are held at a time
+                part = batch.slice(lo, 256)
+                row, pos, tag, text = [], [], [], []
+                for i, page in enumerate(part.column(1)):
+                    found = leaf_blocks(page.as_py())
+                    row += [i] * len(found)
+                    pos += range(len(found))
+                    tag += [t for t, _ in found]
+                    text += [x for _, x in found]
+                yield pa.record_batch([part.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(tag, pa.string()), pa.array(text, pa.string())], names=[id_col, "pos", "tag", "text"])
 
     return pages.select(id_col, F.col(html_col).cast("string").alias("html")).mapInArrow(walk, f"{id_col} {kind}, pos int, tag string, text string")
 

@@ -440,7 +440,14 @@ def latency_avg(spark: SparkSession, d: str) -> DataFrame:
 # --- documents, chunks, extraction --------------------------------------------------------------------------------
 
 
-@query()
+#: Pages without heads and comments, and without the paragraphs in which an unclosed <b> holds the next paragraph: those are not innermost.
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>', '', 's'), '<!--.*?-->', ' ', 'gs'), '(?:<p><b>(?:[^<]|<br>)*)+<p>', '<p>', 'g')"
+_UNNAMED = """replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
+
+
+@query(rf"""WITH t AS (SELECT page_id, regexp_extract_all({_PLAIN}, '<(?:p|li|h1|div)(?: [^>]*)?>((?:[^<]|</?(?:a|b|br)\b[^>]*>)*)', 1) AS k FROM pages),
+b AS (SELECT page_id, generate_subscripts(k, 1) - 1 AS pos, unnest(k) AS b FROM t), x AS (SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace({_UNNAMED}, '\s+', ' ', 'g')) AS text FROM b)
+SELECT * FROM x WHERE text <> '' AND NOT (lower(text) = 'table of contents' OR regexp_full_match(text, '\d{{1,5}}'))""")
 def html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return html_blocks.paragraphs(table(spark, d, "pages"))
 

@@ -16,6 +16,29 @@ def test_blocks():
     assert html_blocks.leaf_blocks("") == [] and html_blocks.leaf_blocks("<p>a<p>b<li>c") == [("p", "a"), ("p", "b"), ("li", "c")]
 
 
+def test_broken_tags():
+    """Unclosed tags, quotes, comments and scripts: what can be read is read, in linear time."""
+    import time
+
+    first = "<p>first</p>"
+    begun = time.time()
+    for k in (50_000, 100_000):
+        for broken in ("<a " * k, "<a x='" * k, '<a x="' * k + ">", "<!-- " * k, "<p a=" * k + ">", "<script>" * k, "<b" * k, "</p" * k, "<" * k, "<a x='>" * k, "<a " + "= " * k, "<p>x" * k, "<?" * k):
+            assert html_blocks.leaf_blocks(first + broken)[0] == ("p", "first"), broken[:20]
+    assert time.time() - begun < 30
+    for page, want in [
+        ("<p>1 < 2 &amp; 3 > 2</p>", [("p", "1 < 2 & 3 > 2")]),
+        ("<p title='a > b'>x</p>", [("p", "x")]),
+        ("<p title=it's>x</p><p>y</p>", [("p", "x"), ("p", "y")]),
+        ('<p title="no end>x</p><p>y</p>', [("p", "x"), ("p", "y")]),
+        ("<p>a<!-- <p>no</p> -->b</p>", [("p", "a b")]),
+        ("<p>a<script>if (a < b) '</p>'</script >b</p>", [("p", "a b")]),
+        ("<P STYLE='Display : None'>x</P><p>y<br/>z</p><div/>w", [("p", "y z"), ("div", "")]),
+        ("<p>a <a href", [("p", "a <a href")]),
+    ]:
+        assert html_blocks.leaf_blocks(page) == want, page
+
+
 def test_sections(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, "<p>only</p>"), (3, None), (4, "<p>before</p><p>Item 2.</p>")], "page_id long, html string")
     found = {(r["page_id"], r["section_pos"]): (r["section_path"], r["text"]) for r in sections.split_sections(html_blocks.paragraphs(pages)).collect()}
