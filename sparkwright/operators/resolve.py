@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
 from ..functions.vectors import embed_text
+from ..plans.scratch import Scratch
 from .components import components
 
+#: Fixed value: the cosine from which two names are one.
 THRESHOLD = 0.87
-#: Representatives of a type that are compared against each other in one task; more are compared block by block.
-BLOCK = 2048
+#: Representatives of a type in a block; two blocks are compared at a time.
+BLOCK = 512
+#: Vectors that blocks are told apart by, out of a sample of so many; parts of a hot group's blocks.
+PIVOTS, SAMPLE, SALTS = 24, 2048, 8
 
 
 def distinct_names(mentions: DataFrame) -> DataFrame:
@@ -25,36 +30,119 @@ def name_groups(mentions: DataFrame) -> DataFrame:
     return distinct_names(mentions).groupBy("entity_type", normalize_name(F.col("raw_name")).alias("norm")).agg(F.array_sort(F.collect_set("raw_name")).alias("names"))
 
 
+def _pivots(rows: DataFrame, key: str, vector: str) -> np.ndarray:
+    """Unit vectors that lie far from each other, out of a bounded sample picked by a hash of the key."""
+    total = rows.count()
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.filter(place < min(1.0, SAMPLE / max(total, 1))).select(key, vector).limit(2 * SAMPLE).collect() or rows.select(key, vector).limit(1).collect()
+    some.sort(key=lambda r: str(r[0]))
+    x = _unit(np.array([np.asarray(r[1], np.float64) for r in some]))
+    if not len(x):
+        return np.zeros((1, 1))
+    picked, nearest = [0], x @ x[0]
+    while len(picked) < min(PIVOTS, len(x)) and nearest.min() < 1 - 1e-9:
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[picked[-1]])
+    return x[picked]
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else m
+
+
+def pair_blocks(rows: DataFrame, key: str, vector: str, group: str, block: int, scratch: Scratch) -> DataFrame:
+    """(group, block, keys, matrix, low, high): rows of a group that lie alike, with the least and greatest angle of a block's rows to each pivot."""
+    rows = rows.filter(F.col(vector).isNotNull()).select(group, key, F.col(vector).cast("array<double>").alias("_v"))
+    pivots = _pivots(rows, key, "_v")
+    kind, key_kind = rows.schema[group].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            near = x @ pivots.T
+            p = near.argmax(axis=1)
+            yield pa.record_batch([*batch.columns[:2], pa.array([v.tobytes() for v in x], pa.binary()), pa.array(p.astype(np.int32)), pa.array(near[np.arange(len(p)), p])], names=[group, key, "_v", "_p", "_a"])
+
+    def pack(batches):
+        held = None
+
+        def packed(t: pa.Table):
+            x = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float64).reshape(t.num_rows, -1)
+            angles = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            keys = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(1).combine_chunks())
+            return pa.record_batch([t.column(0).slice(0, 1).combine_chunks(), keys, pa.array([x.tobytes()], pa.binary()), pa.array([angles.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([angles.max(axis=0).tolist()], pa.list_(pa.float64()))], names=[group, "keys", "matrix", "low", "high"])
+
+        def runs(t: pa.Table, last: bool):
+            """Runs of one group and pivot, cut where they are full; the last one waits for what may follow."""
+            g, p = t.column(0).to_pylist(), t.column(3).to_pylist()
+            lo = 0
+            for i in range(1, len(p) + 1):
+                end = i == len(p)
+                if i - lo == block or not end and (g[i], p[i]) != (g[lo], p[lo]) or end and last:
+                    yield lo, i
+                    lo = i
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            done = 0
+            for a, b in runs(held, False):
+                yield packed(held.slice(a, b - a))
+                done = b
+            held = held.slice(done)
+        if held is not None:
+            for a, b in runs(held, True):
+                yield packed(held.slice(a, b - a))
+
+    order = [group, "_p", "_a", key]
+    placed = rows.mapInArrow(place, f"{group} {kind}, {key} {key_kind}, _v binary, _p int, _a double")
+    made = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, f"{group} {kind}, keys array<{key_kind}>, matrix binary, low array<double>, high array<double>")
+    return scratch.keep(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def meeting_blocks(blocks: DataFrame, threshold: float, group: str) -> DataFrame:
+    """(i, j) with i <= j: blocks of a group of which some rows may reach the threshold.
+
+    Two vectors at an angle t have angles to any pivot that differ by t at most: blocks whose angles to one pivot
+    lie further apart than the threshold allows have no pair.  Only the blocks' bounds are compared, not their rows."""
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    side = lambda x: blocks.select(group, F.col("block").alias(x), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"))
+    # a hot group's blocks are dealt over several tasks
+    left = side("i").withColumn("_s", F.pmod("i", F.lit(SALTS)).cast("int"))
+    right = side("j").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    apart = F.exists(F.zip_with(F.arrays_zip("li", "hi"), F.arrays_zip("lj", "hj"), lambda x, y: (x["li"] - y["hj"] > widest) | (y["lj"] - x["hi"] > widest)), lambda x: x)
+    met = left.join(right, [group, "_s"]).filter(F.col("i") <= F.col("j"))
+    return (met if threshold <= 0 else met.filter(~apart)).select("i", "j")
+
+
 def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, key: str = "norm", vector: str = "embedding", group: str = "entity_type", block: int = BLOCK) -> DataFrame:
     """(group, a, b, similarity) with a < b of one group whose cosine reaches the threshold.
 
-    Rows are dealt into blocks of their group; two blocks meet in one task as matrices,
-    so a task holds two blocks however large the group is.
-    """
-    sized = rows.groupBy(group).count().select(group, F.greatest(F.lit(1), F.ceil(F.col("count") / block)).cast("int").alias("_n"))
-    dealt = rows.join(sized, group).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
-    # block i meets every block j >= i: a row goes to the pairs its block is part of
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least(F.col("_b"), j).alias("i"), F.greatest(F.col("_b"), j).alias("j")))
-    spread = dealt.select(group, key, vector, "_b", F.explode(pairs).alias("p")).select(group, key, vector, "_b", "p.i", "p.j")
+    Rows that lie alike stand in a block; the blocks' angles to some pivots tell which two can hold a pair at
+    all, and only those meet, as matrices.  A task holds two blocks however large the group is; rows without a vector are in no pair."""
+    scratch = Scratch(rows.sparkSession, "pairs")
+    blocks = pair_blocks(rows, key, vector, group, block, scratch)
+    pairs = scratch.keep(meeting_blocks(blocks, threshold, group), "meet")
     kind, key_kind = rows.schema[group].dataType.simpleString(), rows.schema[key].dataType.simpleString()
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        left, right = frame[frame["_b"] == i], frame[frame["_b"] == j]
-        unit = []
-        for side in (left, right):
-            m = np.array([np.asarray(v, np.float64) for v in side[vector]]) if len(side) else np.empty((0, 1))
-            unit.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
-        if not len(left) or not len(right):
-            return pd.DataFrame({group: [], "a": [], "b": [], "similarity": []}).astype({"similarity": float})
-        s = unit[0] @ unit[1].T
-        a, b = np.nonzero(s >= threshold)
-        ka, kb = left[key].to_numpy()[a], right[key].to_numpy()[b]
-        keep = ka < kb if i == j else ka != kb
-        low, high = np.where(ka < kb, ka, kb), np.where(ka < kb, kb, ka)
-        return pd.DataFrame({group: frame[group].iloc[0], "a": low[keep], "b": high[keep], "similarity": s[a, b][keep]})
-
-    return spread.groupBy(group, "i", "j").applyInPandas(meet, f"{group} {kind}, a {key_kind}, b {key_kind}, similarity double")
+    def meet(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ka, kb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (1, 3))
+                x, y = (np.frombuffer(batch.column(c)[r].as_py(), np.float64).reshape(len(k), -1) for c, k in ((2, ka), (4, kb)))
+                s = x @ y.T
+                a, b = np.nonzero(s >= threshold)
+                left, right, s = ka[a], kb[b], s[a, b]
+                keep = left < right if batch.column(5)[r].as_py() else left != right
+                low, high = np.where(left < right, left, right)[keep], np.where(left < right, right, left)[keep]
+                kinds = batch.column(1).type.value_type
+                yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(low), r))), pa.array(low, kinds), pa.array(high, kinds), pa.array(s[keep])], names=[group, "a", "b", "similarity"])
+
+    first = blocks.select(group, F.col("block").alias("i"), F.col("keys").alias("ki"), F.col("matrix").alias("mi"))
+    other = blocks.select(F.col("block").alias("j"), F.col("keys").alias("kj"), F.col("matrix").alias("mj"))
+    met = pairs.join(first, "i").join(other, "j").select(group, "ki", "mi", "kj", "mj", (F.col("i") == F.col("j")).alias("_same"))
+    return met.mapInArrow(meet, f"{group} {kind}, a {key_kind}, b {key_kind}, similarity double")
 
 
 def seed_edges(groups: DataFrame, seeds: DataFrame) -> DataFrame:

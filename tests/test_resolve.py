@@ -51,7 +51,35 @@ def test_blocks_meet(spark):
     assert pairs(3) == pairs(1000) and (0, 1) in pairs(3)
 
 
+def test_pairs_of_clusters(spark):
+    """Every pair of every group that reaches the threshold, and few of the blocks' pairs are looked at."""
+    import numpy as np
+
+    from sparkwright.plans.scratch import Scratch
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    x = centres[rng.integers(0, 40, 1500)] + rng.normal(scale=0.1, size=(1500, 8))
+    x[::3] = x[0]  # a hot vector
+    data = [("t" if i % 5 else "u", i, v.tolist()) for i, v in enumerate(x)] + [("t", 5000, [0.0] * 8), ("t", 5001, None), ("w", 5002, [1.0] * 8)]
+    rows = spark.createDataFrame(data, "entity_type string, norm int, embedding array<double>").cache()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, kind = unit @ unit.T >= 0.9, np.arange(1500) % 5 == 0
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near & (kind[:, None] == kind)), strict=True) if a < b}
+    got = [(r["a"], r["b"]) for r in resolve.similar_pairs(rows, 0.9, block=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    blocks = resolve.pair_blocks(rows, "norm", "embedding", "entity_type", 20, Scratch(spark, "test"))
+    n = blocks.filter("entity_type = 't'").count()
+    spread = resolve.meeting_blocks(blocks.filter("entity_type = 't'"), 0.9, "entity_type").count()
+    assert spread < 0.45 * n * (n + 1) / 2
+
+
+def test_pairs_of_no_rows(spark):
+    none = spark.createDataFrame([], "entity_type string, norm int, embedding array<double>")
+    assert resolve.similar_pairs(none).collect() == []
+
+
 def test_look_up(spark):
-    nodes = spark.createDataFrame([("Company", "Intel Corporation", ["INTC"]), ("Company", "AMD", None)], "entity_type string, canonical_name string, aliases array<string>")
-    asked = spark.createDataFrame([("intc",), ("Intel",), ("amd",), ("zzz",)], "surface string")
-    assert {r["surface"]: r["canonical_name"] for r in resolve.look_up(asked, nodes).collect()} == {"intc": "Intel Corporation", "Intel": "Intel Corporation", "amd": "AMD", "zzz": None}
+    nodes = spark.createDataFrame([("Company", "Brell Corporation", ["BRLL"]), ("Company", "QXR", None)], "entity_type string, canonical_name string, aliases array<string>")
+    asked = spark.createDataFrame([("brll",), ("Brell",), ("qxr",), ("zzz",)], "surface string")
+    assert {r["surface"]: r["canonical_name"] for r in resolve.look_up(asked, nodes).collect()} == {"brll": "Brell Corporation", "Brell": "Brell Corporation", "qxr": "QXR", "zzz": None}
