@@ -8,6 +8,8 @@ collected, and one job answers all of them with the rows that the single forms i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +117,7 @@ def resolved(nodes: DataFrame, plans: DataFrame, ontology: Ontology | None = Non
         .when((kind == "path_between") & (F.size("names") != 2), "a path needs exactly two entities")
         .when((kind == "path_between") & (F.col("max_hops") < 0), "max_hops is negative")
     )
-    told = rows.withColumn("reason", reason)
+    told = Scratch(plans.sparkSession, "resolved").keep(rows.withColumn("reason", reason), "plans")
     return told.filter("reason is null").drop("reason"), told.filter("reason is not null").select("plan_id", "reason")
 
 
@@ -125,26 +127,31 @@ def statements(nodes: DataFrame, edges: DataFrame, plans: DataFrame, ontology: O
     Names stand in the statements as they were asked."""
     ontology = ontology or Ontology()
     good, bad = resolved(nodes, plans, ontology)
+    there = {r[0] for r in good.select("query_type").distinct().collect()}  # four at most
     asked = F.get("entity_names", F.lit(0))
     name, other = F.get("names", F.lit(0)), F.get("names", F.lit(1))
     of = lambda kind: good.filter(F.col("query_type") == kind)
     told = good.select("plan_id", asked.alias("entity"), "relationship_type", "second_relationship_type")
-    no_ids = F.expr("cast(array() as array<string>)")
-
-    rows = one_hop(edges, of("one_hop").select("plan_id", name.alias("name"), F.col("relationship_type").alias("rel_type"))).join(told.select("plan_id", "entity"), "plan_id")
-    out = F.col("outgoing")
-    said = F.concat(F.when(out, F.col("entity")).otherwise(F.col("neighbor")), F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), F.when(out, F.col("neighbor")).otherwise(F.col("entity")), F.lit("."))
-    every = rows.select("plan_id", said.alias("text"), "source_chunk_ids")
-
-    rows = two_hop_chain(edges, of("two_hop_chain").select("plan_id", name.alias("name"), F.col("relationship_type").alias("first"), F.col("second_relationship_type").alias("second"))).join(told, "plan_id")
-    said = F.concat("entity", F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), "via", F.lit(", and "), "via", F.lit(" "), ontology.verb(F.col("second_relationship_type")), F.lit(" "), "result", F.lit("."))
-    every = every.unionByName(rows.select("plan_id", said.alias("text"), "source_chunk_ids"))
-
-    rows = aggregate_count(edges, of("aggregate_count").select("plan_id", name.alias("name"), F.col("relationship_type").alias("rel_type"))).join(told, "plan_id")
-    said = F.concat("entity", F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), F.col("count").cast("string"), F.lit(" entities ("), F.array_join("neighbors", ", "), F.lit(")."))
-    every = every.unionByName(rows.select("plan_id", said.alias("text"), no_ids.alias("source_chunk_ids")))
-
-    rows = path_between(edges, of("path_between").select("plan_id", name.alias("start"), other.alias("end"), "max_hops"))
-    clause = F.transform("relationship_path", lambda t, i: F.concat(F.get("node_path", i), F.lit(" "), ontology.verb(t), F.lit(" "), F.get("node_path", i + 1)))
-    every = every.unionByName(rows.select("plan_id", F.concat(F.array_join(clause, "; then "), F.lit(".")).alias("text"), F.flatten("source_chunk_ids_per_hop").alias("source_chunk_ids")))
-    return every, bad
+    no_ids, first = F.expr("cast(array() as array<string>)"), F.col("relationship_type").alias("rel_type")
+    every = []
+
+    def say(rows: DataFrame, text: Column, ids="source_chunk_ids") -> None:
+        every.append(rows.select("plan_id", text.alias("text"), F.col(ids).alias("source_chunk_ids") if isinstance(ids, str) else ids.alias("source_chunk_ids")))
+
+    if "one_hop" in there:
+        rows = one_hop(edges, of("one_hop").select("plan_id", name.alias("name"), first)).join(told.select("plan_id", "entity"), "plan_id")
+        out = F.col("outgoing")
+        say(rows, F.concat(F.when(out, F.col("entity")).otherwise(F.col("neighbor")), F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), F.when(out, F.col("neighbor")).otherwise(F.col("entity")), F.lit(".")))
+    if "two_hop_chain" in there:
+        rows = two_hop_chain(edges, of("two_hop_chain").select("plan_id", name.alias("name"), F.col("relationship_type").alias("first"), F.col("second_relationship_type").alias("second"))).join(told, "plan_id")
+        say(rows, F.concat("entity", F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), "via", F.lit(", and "), "via", F.lit(" "), ontology.verb(F.col("second_relationship_type")), F.lit(" "), "result", F.lit(".")))
+    if "aggregate_count" in there:
+        rows = aggregate_count(edges, of("aggregate_count").select("plan_id", name.alias("name"), first)).join(told, "plan_id")
+        say(rows, F.concat("entity", F.lit(" "), ontology.verb(F.col("relationship_type")), F.lit(" "), F.col("count").cast("string"), F.lit(" entities ("), F.array_join("neighbors", ", "), F.lit(").")), no_ids)
+    if "path_between" in there:
+        rows = path_between(edges, of("path_between").select("plan_id", name.alias("start"), other.alias("end"), "max_hops"))
+        clause = F.transform("relationship_path", lambda t, i: F.concat(F.get("node_path", i), F.lit(" "), ontology.verb(t), F.lit(" "), F.get("node_path", i + 1)))
+        say(rows, F.concat(F.array_join(clause, "; then "), F.lit(".")), F.flatten("source_chunk_ids_per_hop"))
+    if not every:
+        return plans.sparkSession.createDataFrame([], f"plan_id {plans.schema['plan_id'].dataType.simpleString()}, text string, source_chunk_ids array<string>"), bad
+    return reduce(DataFrame.unionByName, every), bad

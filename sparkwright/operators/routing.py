@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import Ontology
+from .name_finder import find_names
 
+#: The routes, and the confidence below which a single one becomes both.
 ROUTES = ("GRAPH", "VECTOR", "BOTH")
 LOW_CONFIDENCE = 0.6
 
@@ -19,16 +21,30 @@ def override(rows: DataFrame, least: float = LOW_CONFIDENCE) -> DataFrame:
 
 def classify(questions: DataFrame, names: list[str], ontology: Ontology | None = None) -> DataFrame:
     """Questions with a route and plan fields by rules: known names in the order they stand in, a verb's type, words that ask for counts, paths and chains."""
-    ontology = ontology or Ontology()
     q = F.lower("question")
     placed = F.array(*[F.struct(F.instr(q, n.lower()).alias("at"), F.lit(n).alias("name")) for n in names]) if names else F.expr("cast(array() as array<struct<at:int,name:string>>)")
     entities = F.transform(F.array_sort(F.filter(placed, lambda x: x["at"] > 0)), lambda x: x["name"])
     said = q  # a verb within a name says nothing
     for n in sorted(names, key=len, reverse=True):
         said = F.replace(said, F.lit(n.lower()), F.lit(" "))
+    return _decided(questions.withColumn("entity_names", entities), said, ontology or Ontology())
+
+
+def classify_set(questions: DataFrame, names: DataFrame, key: str = "question_id", ontology: Ontology | None = None) -> DataFrame:
+    """The same for a table of questions and a table of names of any size: names are found by automata, and no plan grows with them."""
+    found = find_names(questions, names, key, "question").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("_found"))
+    rows = questions.join(found, key, "left").withColumn("entity_names", F.coalesce(F.transform("_found", lambda x: x["name"]), F.expr("cast(array() as array<string>)"))).drop("_found")
+    longest = F.array_sort("entity_names", lambda a, b: F.length(b) - F.length(a))
+    said = F.aggregate(longest, F.lower("question"), lambda text, n: F.replace(text, F.lower(n), F.lit(" ")))
+    return _decided(rows, said, ontology or Ontology())
+
+
+def _decided(questions: DataFrame, said: Column, ontology: Ontology) -> DataFrame:
+    """Questions with ``entity_names`` by the rules; ``said`` is what they say beside the names."""
+    q = F.lower("question")
     verbs = F.array(*[F.struct(F.instr(said, stem(v)).alias("at"), F.lit(r).alias("type")) for r, _, _, v in ontology.relationships])
     types = F.transform(F.array_sort(F.filter(verbs, lambda x: x["at"] > 0)), lambda x: x["type"])
-    out = questions.withColumn("entity_names", entities).withColumn("_types", types)
+    out = questions.withColumn("_types", types)
     n, first, second = F.size("entity_names"), F.get("_types", F.lit(0)), F.get("_types", F.lit(1))
     kind = (
         F.when((n >= 2) & q.rlike("connect|path|between|related"), "path_between")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.vectors import QUERY_PREFIX, embed_text
 from ..ontology import Ontology
-from ..operators import answers, graph_query, routing, vector_search
+from ..operators import answers, graph_plans, graph_query, routing, vector_search
 from ..sources import tables
 
 
@@ -71,6 +71,12 @@ class Engine:
         plan = graph_query.GraphPlan(decision["query_type"], names, decision.get("relationship_type"), decision.get("second_relationship_type"), decision.get("max_hops"))
         return plan, graph_query.execute(self.nodes, self.edges, plan, self.ontology)
 
+    def facts(self, questions: DataFrame, key: str = "question_id") -> tuple[DataFrame, DataFrame]:
+        """((plan_id, text, source_chunk_ids), decisions) for a table of questions (key, question) as one job: the facts that :meth:`ask` shows for each."""
+        decided = routing.override(routing.classify_set(questions, self.nodes.select(F.col("canonical_name").alias("name")), key, self.ontology))
+        plans = routing.graph_branch(decided).filter(F.size("entity_names") > 0).withColumn("plan_id", F.col(key))
+        return graph_plans.statements(self.nodes, self.edges, plans, self.ontology)[0], decided
+
     def passages(self, question: str, k: int) -> DataFrame:
         encode = self.embed or (lambda t: embed_text(t, self.dim))
         return vector_search.top_k(self.vectors, encode(QUERY_PREFIX + question), k)

@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import text as X
 from ..functions import vectors as V
 from ..ontology import Ontology
-from ..operators import answers, chunking, extraction, grading, graph_build, graph_plans, graph_query, html_blocks, resolve, routing, sections, validate, vector_index, vector_search
+from ..operators import answers, chunking, extraction, grading, graph_build, graph_plans, graph_query, html_blocks, name_finder, resolve, routing, sections, validate, vector_index, vector_search
 from ..operators.components import components
 from ..sources import filings, tables
 from .scratch import Scratch
@@ -433,6 +433,31 @@ def route_rules(spark: SparkSession, d: str) -> DataFrame:
     return routed.groupBy("query_type", "route", F.size("entity_names").alias("names")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH named AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{10,}')) AS name FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, name, CAST(instr(lower(text), name) - 1 AS INT) AS at FROM conversations JOIN named ON contains(lower(text), name)""")
+def names_found(spark: SparkSession, d: str) -> DataFrame:
+    """All long words of users, as names, in all turns."""
+    rows = table(spark, d, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    names = rows.filter("role = 'user'").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{10,}"), F.lit(0))).alias("name"))
+    found = name_finder.find_names(rows, names, "key")
+    part = lambda i: F.split("key", "/")[i].cast("long")
+    return found.select(part(0).alias("conv_id"), part(1).alias("turn"), "name", "at")
+
+
+@query(f"""WITH {EDGES}, asked AS (SELECT s_suppkey AS plan_id, s_name AS n, s_suppkey % 3 AS k FROM supplier)
+SELECT plan_id, n || ' supplies ' || b || '.' AS text FROM asked JOIN both_ways ON a = n WHERE k = 0 AND rel_type = 'SUPPLIES'
+UNION ALL SELECT plan_id, n || ' is regulated by ' || count(DISTINCT b) || ' entities (' || array_to_string(list_sort(list_distinct(list(b))), ', ') || ').' FROM asked JOIN both_ways ON a = n WHERE k = 1 AND rel_type = 'REGULATED_BY' GROUP BY plan_id, n""")
+def question_set(spark: SparkSession, d: str) -> DataFrame:
+    """A question about each supplier, a third of them without any name: routed, planned and answered from the graph as one job."""
+    from .engine import Engine
+
+    k = F.col("s_suppkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("To whom does "), "s_name", F.lit(" supply?"))).when(k == 1, F.concat(F.lit("How many bodies regulate "), "s_name", F.lit("?"))).otherwise(F.lit("What is the weather?"))
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("question_id"), said.alias("question"))
+    facts, _ = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d)).facts(asked)
+    return facts.select("plan_id", "text")
+
+
 _GRADED = "graded AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'single_hop' WHEN 2 THEN 'two_hop' ELSE 'aggregation' END AS difficulty, CASE doc_id % 4 WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN contains(lower(text), 'the') OR contains(lower(text), 'der') WHEN 2 THEN contains(lower(text), 'and') AND (contains(lower(text), 'xyz') OR contains(lower(text), 'of')) ELSE n_chars % 2 > 0 END AS correct FROM documents)"
 
 
