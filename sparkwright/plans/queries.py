@@ -13,6 +13,7 @@ from ..functions import vectors as V
 from ..ontology import Ontology
 from ..operators import answers, chunking, extraction, grading, graph_build, graph_plans, graph_query, html_blocks, name_finder, resolve, routing, sections, validate, vector_index, vector_search
 from ..operators.components import components
+from ..operators.evidence_store import EvidenceStore
 from ..sources import filings, tables
 from .scratch import Scratch
 
@@ -104,6 +105,16 @@ def edge_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("src", "rel_type", "dst", joined("source_chunk_ids").alias("chunk_ids"), "confidence")
 
 
+@query(f"WITH {CLAIMS} SELECT source_entity AS src, relationship_type AS rel_type, target_entity AS dst, array_to_string(list_sort(list_distinct(list(source_chunk_id))), ',') AS chunk_ids, max(confidence) AS confidence FROM claims GROUP BY ALL")
+def evidence_merge_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The claims merged into tables of edges and evidence in buckets, in three overlapping batches of which one comes twice."""
+    rows = claims(spark, d).select(F.lit("Company").alias("src_type"), F.col("source_entity").alias("src"), "relationship_type", F.lit("Company").alias("dst_type"), F.col("target_entity").alias("dst"), "source_chunk_id", "confidence")
+    store = EvidenceStore(spark, f"{Scratch(spark, 'evidence').root}/graph", 8)
+    for digits in ("1234", "34567", "890", "34567"):
+        store.merge(rows.filter(F.right("source_chunk_id", F.lit(1)).isin(*digits)))
+    return store.view().select("src", "rel_type", "dst", joined("source_chunk_ids").alias("chunk_ids"), "confidence")
+
+
 @query(f"""WITH {CLAIMS}, named AS (SELECT * REPLACE (CASE WHEN ends_with(source_chunk_id, '1') THEN source_entity || ' Unknown' ELSE source_entity END AS source_entity, CASE WHEN ends_with(source_chunk_id, '2') THEN target_entity || ' Unknown' ELSE target_entity END AS target_entity) FROM claims)
 SELECT count(*) FILTER (WHERE s_name IS NOT NULL AND c_name IS NOT NULL) AS written, count(*) FILTER (WHERE s_name IS NULL OR c_name IS NULL) AS skipped FROM named LEFT JOIN supplier ON source_entity = s_name LEFT JOIN customer ON target_entity = c_name""")
 def edge_unresolved(spark: SparkSession, d: str) -> DataFrame:
