@@ -39,13 +39,14 @@ def chunks(spark: SparkSession, s: Settings) -> DataFrame:
 
 
 def extract(spark: SparkSession, s: Settings, names: str) -> DataFrame:
-    """Chunks through the rule extractor (``names`` is a JSON object name -> type) into the cache and the results; what it cost."""
+    """Chunks through the rule extractor (``names`` is a JSON object name -> type) into the cache and the results, those without a good answer into the rejects; what it cost."""
     rules = extraction.rule_extractor(json.loads("\n".join(r[0] for r in spark.read.text(names).collect())))
     rows, path = chunks(spark, s), s.table("cache")
     known = tables.extraction_cache(spark, path) if there(spark, path) else None
-    made = extraction.extract_chunks(rows, rules, known, s.extractor)
+    made, rejects = extraction.extract_all(rows, rules, known, s.extractor)
     tables.add_to_cache(made.filter(~F.col("from_cache")), path)
-    found = extraction.extract_chunks(rows, rules, tables.extraction_cache(spark, path), s.extractor).join(rows.select("chunk_id", "document_id"), "chunk_id")
+    rejects.write.mode("overwrite").parquet(s.table("rejects"))  # asked again by the next run: they are not in the cache
+    found = made.join(rows.select("chunk_id", "document_id"), "chunk_id")
     tables.write_results(found.withColumnRenamed("chunk_id", "source_chunk_id"), s.table("results"))
     return extraction.total_cost(tables.extraction_cache(spark, path))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import cache_key
 from ..ontology import Ontology
+from ..plans.scratch import Scratch
 
 PROMPT_VERSION, SCHEMA_VERSION = "1", "1"
 # Token budget of a first try, tries in all, dollars for a million tokens in and out.
@@ -121,6 +122,59 @@ def extract_chunks(chunks: DataFrame, extract: Callable[[str, str, int, str], st
     return made.unionByName(hits)
 
 
+RAW = "chunk_id string, cache_key string, raw string, tries int, reason string, input_tokens long, output_tokens long"
+
+
+def asked(extract: Callable[[str, str, int, str], str], section: str, text: str, ontology: Ontology, filer: str = NO_FILER) -> tuple[str | None, int, str | None]:
+    """(output, tries, None) of the first output that is in the ontology's form, or (last output, tries, why it was refused); nothing is raised."""
+    budget, raw, reason = FIRST_BUDGET, None, None
+    for k in range(1, TRIES + 1):
+        try:
+            raw = extract(section, text, budget, filer)
+            parsed(raw, ontology)
+            return raw, k, None
+        except Truncated:
+            budget, reason = budget * 2, "truncated"
+        except json.JSONDecodeError:
+            reason = "not JSON"
+        except (ValueError, KeyError, TypeError) as e:
+            reason = "not in form: " + (str(e) if isinstance(e, ValueError) else f"{type(e).__name__} {e}")
+        except Exception as e:  # an extractor's own failure concerns its chunk alone
+            reason = f"failed: {type(e).__name__}"
+    return raw, TRIES, reason
+
+
+def extract_all(chunks: DataFrame, extract: Callable[[str, str, int, str], str], cache: DataFrame | None = None, model: str = "rules", ontology: Ontology | None = None, workers: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(results as :func:`extract_chunks` has them, rejects (chunk_id, cache_key, reason, tries, raw)): a chunk without a good answer ends nothing.
+
+    The answers are kept in the shared folder once, so that neither table asks again.  They are parsed in the JVM with the
+    declared schema; what does not fit it there is a reject, too."""
+    ontology = ontology or Ontology()
+    keyed = with_keys(chunks, model).withColumn("filer", filer(F.col("metadata")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(workers) if workers > 1 else None
+        for batch in batches:
+            rows = zip(batch["section_path"], batch["text"], batch["filer"], strict=True)
+            told = list((pool.map if pool else map)(lambda x: asked(extract, x[0], x[1], ontology, x[2]), rows))
+            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "cache_key": batch["cache_key"], "raw": [t[0] for t in told], "tries": [t[1] for t in told], "reason": [t[2] for t in told], "input_tokens": [len((t or "").split()) for t in batch["text"]], "output_tokens": [len((t[0] or "").split()) for t in told]})
+
+    fresh = keyed if cache is None else keyed.join(cache, "cache_key", "left_anti")
+    answers = Scratch(chunks.sparkSession, "answers").keep(fresh.select("chunk_id", "cache_key", "section_path", "text", "filer").mapInPandas(run, RAW), "raw")
+    form = schemas.EXTRACTION.simpleString().removesuffix(">") + ",_corrupt:string>"
+    read = answers.withColumn("_r", F.from_json("raw", form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    read = read.withColumn("reason", F.coalesce("reason", F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "not in the schema")))
+    names = F.transform("_r.entities", lambda e: e["raw_name"])
+    whole = F.filter("_r.relationships", lambda r: F.array_contains(names, r["source_entity"]) & F.array_contains(names, r["target_entity"]))
+    result = F.struct(F.col("_r.entities").alias("entities"), whole.alias("relationships")).cast(schemas.EXTRACTION)
+    made = read.filter("reason is null").select("chunk_id", "cache_key", result.alias("result"), "input_tokens", "output_tokens", F.lit(False).alias("from_cache"))
+    rejects = read.filter("reason is not null").select("chunk_id", "cache_key", "reason", "tries", "raw")
+    if cache is None:
+        return made, rejects
+    hits = keyed.select("chunk_id", "cache_key").join(cache, "cache_key").select("chunk_id", "cache_key", "result", "input_tokens", "output_tokens", F.lit(True).alias("from_cache"))
+    return made.unionByName(hits), rejects
+
+
 def dollars(tokens_in: Column, tokens_out: Column) -> Column:
     return F.round(F.coalesce(tokens_in, F.lit(0)) / 1e6 * PRICE_IN + F.coalesce(tokens_out, F.lit(0)) / 1e6 * PRICE_OUT, 4)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -620,6 +621,43 @@ def extract_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.select("chunk_id", joined(F.array_sort(F.transform("result.entities", lambda x: x["raw_name"]))).alias("entities"), joined(said).alias("relationships"))
 
 
+def _unsure(section: str, text: str, budget: int, filer: str) -> str:
+    """An extractor whose answers are bad in ways that the text tells."""
+    entity = {"entity_type": "Company", "raw_name": section, "confidence": 0.5}
+    rows = lambda e, r=(): json.dumps({"entities": [e], "relationships": list(r)})
+    link = {"relationship_type": "SUPPLIES", "source_entity": section, "target_entity": "nobody", "confidence": 0.5}
+    if text == "1":
+        return "no answer"
+    if text == "2":
+        return rows(entity | {"entity_type": "Planet"})
+    if text == "3":
+        return rows(entity | {"confidence": 2})
+    if text == "4" or text == "5" and budget < 3 * extraction.FIRST_BUDGET:
+        raise extraction.Truncated
+    if text == "6":
+        raise ConnectionError("gone")
+    return rows(entity, [link] if text == "7" else [])
+
+
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.col("c_name").alias("section_path"), (F.col("c_custkey") % 8).cast("string").alias("text"), F.create_map(F.lit("company"), "c_name").alias("metadata"))
+    return extraction.extract_all(rows, _unsure)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, c_name AS entities, CAST(0 AS INT) AS relationships FROM customer WHERE c_custkey % 8 IN (0, 5, 7)")
+def extract_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk for each customer; of eight, three have a good answer (one after two truncated ones, one whose relationship has an unknown end)."""
+    good, _ = _answers(spark, d)
+    return good.select("chunk_id", joined(F.transform("result.entities", lambda e: e["raw_name"])).alias("entities"), F.size("result.relationships").alias("relationships"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, CASE c_custkey % 8 WHEN 1 THEN 'not JSON' WHEN 4 THEN 'truncated' WHEN 6 THEN 'failed: ConnectionError' ELSE 'not in form: bad entity' END AS reason, 3 AS tries FROM customer WHERE c_custkey % 8 IN (1, 2, 3, 4, 6)")
+def extract_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The other five of eight, with why they were refused."""
+    _, bad = _answers(spark, d)
+    return bad.select("chunk_id", F.regexp_replace("reason", "(bad entity).*", "$1").alias("reason"), "tries")
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 

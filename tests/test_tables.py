@@ -126,3 +126,25 @@ def test_deep_pages_take_linear_time():
     for page in ("<div>" * 50_000 + "x", "<p><b>" * 30_000 + "x", "<div>" * 30_000 + "</p>" * 30_000, "<div>" + "<b>x" * 50_000):
         html_blocks.leaf_blocks(page)
     assert time.time() - began < 30
+
+
+def test_a_bad_chunk_ends_nothing(spark):
+    """Good answers, cached ones and rejects each have their table; an answer that the JVM's schema refuses is a reject, too."""
+    import json
+
+    good = {"entities": [{"entity_type": "Company", "raw_name": "A", "confidence": 1.0}], "relationships": [{"relationship_type": "SUPPLIES", "source_entity": "A", "target_entity": "B", "confidence": 1.0}]}
+
+    def extract(section, text, budget, filer):
+        if text == "raise":
+            raise RuntimeError("no")
+        return {"good": json.dumps(good), "list": "[1]", "none": "null", "word": json.dumps({"entities": [{**good["entities"][0], "confidence": True}], "relationships": []}), "bad": "{", "lacks": "{}"}[text]
+
+    rows = spark.createDataFrame([(k, k, k, {"company": "X"}) for k in ("good", "list", "none", "word", "bad", "lacks", "raise")], "chunk_id string, section_path string, text string, metadata map<string,string>")
+    made, rejects = extraction.extract_all(rows, extract)
+    kept = made.collect()
+    assert [r["chunk_id"] for r in kept] == ["good"] and kept[0]["result"]["relationships"] == [] and kept[0]["result"]["entities"][0]["raw_name"] == "A"
+    why = {r["chunk_id"]: (r["reason"].split(":")[0], r["tries"]) for r in rejects.collect()}
+    assert why == {"list": ("not in form", 3), "none": ("not in form", 3), "word": ("not in the schema", 1), "bad": ("not JSON", 3), "lacks": ("not in form", 3), "raise": ("failed", 3)}
+    cache = made.select("cache_key", "result", "input_tokens", "output_tokens")
+    again, rejects = extraction.extract_all(rows, extract, cache)
+    assert [(r["chunk_id"], r["from_cache"]) for r in again.collect()] == [("good", True)] and rejects.count() == 6
