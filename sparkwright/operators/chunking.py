@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: A window's tokens, and how many of them the next one has again.
 TARGET, OVERLAP = 800, 100
 #: A token with the white space before it: joined again they give the text.
 TOKEN = "\\s*\\S+"
@@ -31,11 +32,13 @@ def windows(rows: DataFrame, tokens_col: str = "tokens", target: int = TARGET, o
     return spread.withColumn("piece", F.array_join(F.slice(tokens_col, F.col("window_pos") * (target - overlap) + 1, F.lit(target)), ""))
 
 
-def chunk_documents(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP, tokenize=tokens) -> DataFrame:
-    """Chunks of documents: no window crosses sections, empty pieces go, ids count over the whole document."""
+def chunk_documents(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP, tokenize=tokens, as_text=lambda piece: piece) -> DataFrame:
+    """Chunks of documents: no window crosses sections, empty pieces go, ids count over the whole document.
+
+    ``tokenize`` makes tokens of a text column, ``as_text`` makes text of joined tokens (:mod:`..functions.bpe` has both for byte pairs)."""
     parts = docs.select("document_id", "metadata", "document_type", "date", F.posexplode("sections").alias("section_pos", "s"))
     parts = parts.select("document_id", "metadata", "document_type", "date", "section_pos", "s.section_path", X.strip(F.col("s.text")).alias("_text")).filter("_text <> ''")
-    pieces = windows(parts.withColumn("tokens", tokenize(F.col("_text"))), "tokens", target, overlap).withColumn("text", X.strip(F.col("piece"))).filter("text <> ''")
+    pieces = windows(parts.withColumn("tokens", tokenize(F.col("_text"))), "tokens", target, overlap).withColumn("text", X.strip(as_text(F.col("piece")))).filter("text <> ''")
     index = (F.row_number().over(Window.partitionBy("document_id").orderBy("section_pos", "window_pos")) - 1).cast("int")
     told = F.create_map(F.lit("company"), F.try_element_at("metadata", F.lit("company")), F.lit("ticker"), F.try_element_at("metadata", F.lit("ticker")), F.lit("document_type"), F.col("document_type"), F.lit("date"), F.date_format("date", "yyyy-MM-dd"))
     return pieces.withColumn("chunk_index", index).select(X.chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "section_path", "text", told.alias("metadata"))

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,34 @@ def test_dangling(spark):
     names = spark.createDataFrame([("c1", "A"), ("c1", "B"), ("c2", "A")], "source_chunk_id string, raw_name string")
     claims = spark.createDataFrame([("c1", "A", "B"), ("c1", "A", "a"), ("c2", "A", "B")], "source_chunk_id string, source_entity string, target_entity string")
     assert [tuple(r) for r in validate.drop_dangling(names, claims).select("source_chunk_id", "source_entity", "target_entity").collect()] == [("c1", "A", "B")]
+
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pattern that splits text before the merges of these ranks.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no ranks")
+def test_windows_of_byte_pairs(spark):
+    """As many tokens as the encoder counts; windows without overlap join to the text, even where one cuts a character."""
+    import tiktoken
+
+    from sparkwright.functions import bpe
+
+    ranks = bpe.load_ranks(RANKS)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["A filing of 2024, with figures.", "日本語のテキスト 😀😀 ünïcödé", "", None, "  \n\n  x", "word " * 500, "<|endoftext|>"]
+    tokenize = bpe.byte_pair_tokens(ranks, PATTERN)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", "t", tokenize(F.col("t")).alias("tokens"))
+    for r in rows.select("id", "t", F.size("tokens").alias("n"), bpe.as_text(F.array_join("tokens", "")).alias("whole")).collect():
+        assert r["n"] == len(encoding.encode_ordinary(r["t"] or "")) and r["whole"] == (r["t"] or "")
+    pieces = chunking.windows(rows, "tokens", 3, 0).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("window_pos", "piece"))).alias("p"))
+    joined = {r["id"]: r["t"] for r in pieces.select("id", bpe.as_text(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("t")).collect()}
+    assert joined == {i: t for i, t in enumerate(texts) if t}
+    got = chunking.windows(rows, "tokens", 5, 2).select("id", "window_pos", bpe.as_text(F.col("piece")).alias("text")).collect()
+    for r in got:
+        ids = encoding.encode_ordinary(texts[r["id"]])[3 * r["window_pos"] : 3 * r["window_pos"] + 5]
+        assert r["text"] == encoding.decode(ids)
+    docs = spark.createDataFrame([("d", {"company": "X"}, "text", None, [("s", texts[5])])], "document_id string, metadata map<string,string>, document_type string, date date, sections array<struct<section_path string, text string>>")
+    chunks = chunking.chunk_documents(docs, 100, 10, tokenize, bpe.as_text).orderBy("chunk_index").collect()
+    assert len(chunks) == 6 and all(set(c["text"].split()) == {"word"} for c in chunks) and len(encoding.encode_ordinary(" " + chunks[1]["text"])) == 100
