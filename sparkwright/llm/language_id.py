@@ -5,8 +5,8 @@ Texts are lower-cased by single characters, everything but letters becomes a spa
 columns.  A row is sqrt(tf) * idf, scaled to unit length.  Document frequencies cover
 every training document.  The weights are trained by follow-the-regularised-leader
 with elastic-net penalties on at most about ``PER_LANGUAGE`` documents of each
-language (picked by a hash of the id), and a temperature is fitted on a held-back
-tenth of them.  More than ``max_languages`` different languages are an error, since
+language (picked by a hash of the id; of about ``SAMPLE_BYTES`` of text in all, so that neither long texts
+nor many languages fill the driver), and a temperature is fitted on a held-back tenth of them.  More than ``max_languages`` different languages are an error, since
 the weights have a column for each; none is left out silently.
 
 Documents are scored whole.  A null text, or one without letters, is ``und`` with
@@ -29,6 +29,7 @@ from .common import blocks
 
 DIMS = 1 << 14
 PER_LANGUAGE = 1500
+SAMPLE_BYTES = 24 << 20
 MAX_LANGUAGES = 1000
 ROWS = 32  # documents that are held as dense rows at a time
 
@@ -172,12 +173,14 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         df[r["column"]] = r["n"]
     idf = (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    told = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).limit(max_languages + 1).collect()}
+    sizes = {lang: r["n"] for lang, r in told.items()}
     if not sizes:
         return None
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages")
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    most = SAMPLE_BYTES / len(sizes)
+    shares = F.create_map(*[F.lit(x) for lang, r in told.items() for x in (lang, min(1.0, per_language / r["n"], most / max(r["size"], 1)))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.filter(place < F.coalesce(shares[F.col("lang")], F.lit(0.0))).withColumn("part", F.crc32(F.concat(F.lit("t"), F.col("id")).cast("binary")) % 10)
 
