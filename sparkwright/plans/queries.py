@@ -584,7 +584,7 @@ def hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
 
 
-@query(f"WITH {CLAIMS}, names AS (SELECT DISTINCT source_chunk_id, source_entity AS n FROM claims UNION SELECT DISTINCT source_chunk_id, target_entity FROM claims WHERE confidence > 0.03) SELECT c.source_chunk_id, c.source_entity, c.target_entity, c.confidence FROM claims c SEMI JOIN names a ON a.source_chunk_id = c.source_chunk_id AND a.n = c.source_entity SEMI JOIN names b ON b.source_chunk_id = c.source_chunk_id AND b.n = c.target_entity")
+@query(f"WITH {CLAIMS.replace('claims AS (', 'claims AS MATERIALIZED (')}, names AS MATERIALIZED (SELECT DISTINCT source_chunk_id, source_entity AS n FROM claims UNION SELECT DISTINCT source_chunk_id, target_entity FROM claims WHERE confidence > 0.03) SELECT c.source_chunk_id, c.source_entity, c.target_entity, c.confidence FROM claims c SEMI JOIN names a ON a.source_chunk_id = c.source_chunk_id AND a.n = c.source_entity SEMI JOIN names b ON b.source_chunk_id = c.source_chunk_id AND b.n = c.target_entity")
 def dangling_drop(spark: SparkSession, d: str) -> DataFrame:
     rows = claims(spark, d)
     names = rows.select("source_chunk_id", F.col("source_entity").alias("raw_name")).unionByName(rows.filter("confidence > 0.03").select("source_chunk_id", F.col("target_entity").alias("raw_name")))
@@ -741,7 +741,7 @@ def ask(spark: SparkSession, d: str) -> DataFrame:
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     """A passage for each supplier, which says its name and a word of its own."""
     text = F.concat("s_name", F.lit(" widget"), F.col("s_suppkey").cast("string"), F.lit(" filed."))
-    return table(spark, d, "supplier").select(F.format_string("p%d", "s_suppkey").alias("chunk_id"), F.lit("Item 1").alias("section_path"), F.col("s_name").alias("company"), text.alias("text")).withColumn("embedding", V.embedder(256)("text"))
+    return table(spark, d, "supplier").select(F.format_string("p%d", "s_suppkey").alias("chunk_id"), F.lit("Item 1").alias("section_path"), F.col("s_name").alias("company"), text.alias("text")).withColumn("embedding", V.embedder(2048)("text"))
 
 
 @query(f"""SELECT s_name || ' is regulated by ' || n_name || '. (Item 1, ' || s_name || ') ' || s_name || ' widget' || s_suppkey || ' filed.' AS answer_text, 'BOTH' AS route, false AS overridden, 's' || s_suppkey || ',p' || s_suppkey AS cited,
@@ -750,7 +750,7 @@ def ask_both(spark: SparkSession, d: str) -> DataFrame:
     """A question that asks why: facts of the graph, and the nearest passage."""
     from .engine import Engine
 
-    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d)).ask(f"Why does who regulate {NAME} so?", 1)
+    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d), dim=2048).ask(f"Why does who regulate {NAME} so?", 1)
     return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")
 
 
@@ -759,5 +759,5 @@ def ask_vector(spark: SparkSession, d: str) -> DataFrame:
     """A question that names nobody: passages alone."""
     from .engine import Engine
 
-    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d)).ask("widget7 filed.", 1)
+    answer = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d), dim=2048).ask("widget7 filed.", 1)
     return answer.select("answer_text", "route", "overridden", joined(F.transform("claims", lambda c: c["chunk_id"])).alias("cited"), "rejected_claim_count", "graph_evidence_count", "vector_evidence_count")
