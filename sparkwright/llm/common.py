@@ -11,6 +11,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -168,11 +169,29 @@ class Scratch(scratch.Scratch):
 def release() -> None:
     """Gives memory that a fit on the driver used back to the system."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run):
+    """A function of batches that gives the memory it used back to the system when its task ends: workers stay for later tasks."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ``BATCH_ROWS`` rows, unless the session has a size of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

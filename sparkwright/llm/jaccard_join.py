@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, drop_rows, gathered, lowered, mix64, span_hash, text_key, word_spans
+from .common import Scratch, blocks, drop_rows, gathered, lowered, mix64, span_hash, text_key, tidy, trim, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -218,6 +218,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("row"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def describe(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -249,6 +250,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = described.filter(F.size("tokens") > 0).select(F.explode("tokens").alias("t"), "ka")
     tokens = tokens.select(F.shiftright("t", 1).alias("h"), F.col("t").bitwiseAND(1).cast("tinyint").alias("tested"), "ka").repartition(parts, "h").sortWithinPartitions("h", "ka")
 
+    @tidy
     def shared(batches):
         """Rows of hashes that two sets have, counted by set; runs may go on from batch to batch."""
         held = None
@@ -278,6 +280,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     live = scratch.keep(live, "live")
     count = live.count()
 
+    @tidy
     def sets_of(batches):
         for batch in batches:
             for lo, hi, raw, off in blocks(batch.column(0)):
@@ -297,6 +300,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefix = ranked.withColumn("left", F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("r"))).filter("left > 0")
     prefix = prefix.select("ka", "n", F.explode(F.slice("r", F.lit(1), F.col("left").cast("int"))).alias("x")).select("ka", "n", F.col("x.h").alias("h"))
 
+    @tidy
     def neighbours(batches):
         """Edges between neighbours in size within a run of equal hashes, while their sizes can link."""
         last = None
@@ -336,6 +340,7 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not len(left) or right is not None and not len(right):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         found = np.array(list(tree_links(hashes, left, right)), np.int64).reshape(-1, 2)
+        trim()
         return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     links = work.groupBy("component", "one", "two").applyInPandas(link, "a long, b long")

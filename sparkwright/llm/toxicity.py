@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, lowered, span_hash, word_spans
+from .common import Scratch, blocks, lowered, release, span_hash, tidy, word_spans
 
 WINDOW, STRIDE = 32, 16
 PER_CLASS = 1500
@@ -316,6 +316,7 @@ def _trained(frame: pd.DataFrame) -> pd.DataFrame:
     net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     told = (held if job < FOLDS else np.ones(len(y), bool)) & np.array([bool(t.split()) for t in texts])
     logits = _logits(net, [t for t, h in zip(texts, told, strict=True) if h])
+    release()  # what the training took
     return pd.DataFrame({"job": [job], "net": [pickle.dumps(net) if job == FOLDS else None], "logits": [logits.tobytes()], "labels": [y[told].astype(np.int64).tobytes()]})
 
 
@@ -347,6 +348,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id and score of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(model.scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
@@ -379,6 +381,7 @@ def reject(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str
     model = _learn(docs, labels, is_training, id_col, text_col, per_class)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold))
