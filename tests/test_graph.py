@@ -86,3 +86,23 @@ def test_statements(spark, graph):
     assert say("two_hop_chain", ("A",), "COMPETES_WITH", "SUPPLIES") == ["A competes with B, and B supplies C."] * 2
     assert say("path_between", ("A", "C")) == ["A competes with B; then B supplies C."]
     assert say("aggregate_count", ("A",), "ACQUIRED") == ["A acquired 0 entities ()."]
+
+
+def test_stored_graph_follows_its_tables(spark, tmp_path):
+    """A folder whose tables are replaced is another graph, though its path is the same."""
+    import shutil
+
+    from pyarrow import parquet
+
+    from sparkwright.plans import queries
+
+    for name in ("lineitem", "orders", "supplier", "customer", "nation"):
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    at = str(tmp_path)
+    before = queries.edges(spark, at).count()
+    assert queries.edges(spark, at).inputFiles() == queries.edges(spark, at).inputFiles()  # stored once
+    none = parquet.read_table(tmp_path / "lineitem.parquet").slice(0, 0)
+    (tmp_path / "lineitem.parquet").unlink()
+    parquet.write_table(none, tmp_path / "lineitem.parquet")
+    after = queries.edges(spark, at).groupBy("rel_type").count().collect()
+    assert before > 100 and "SUPPLIES" not in {r["rel_type"] for r in after}
