@@ -23,17 +23,13 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .functions.vectors import embedder
 from .operators import chunking, extraction, graph_build, resolve
+from .operators.cache_store import CacheStore
 from .plans import benchmark
 from .plans.engine import Engine
 from .shipping import ship
 from .sources import tables
 
 
-def there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def chunks(spark: SparkSession, s: Settings) -> DataFrame:
     return chunking.chunk_documents(tables.documents(spark, s.table("documents"), "parquet"), s.chunk_tokens, s.chunk_overlap)
 
@@ -41,14 +37,15 @@ def chunks(spark: SparkSession, s: Settings) -> DataFrame:
 def extract(spark: SparkSession, s: Settings, names: str) -> DataFrame:
     """Chunks through the rule extractor (``names`` is a JSON object name -> type) into the cache and the results, those without a good answer into the rejects; what it cost."""
     rules = extraction.rule_extractor(json.loads("\n".join(r[0] for r in spark.read.text(names).collect())))
-    rows, path = chunks(spark, s), s.table("cache")
-    known = tables.extraction_cache(spark, path) if there(spark, path) else None
-    made, rejects = extraction.extract_all(rows, rules, known, s.extractor)
-    tables.add_to_cache(made.filter(~F.col("from_cache")), path)
-    rejects.write.mode("overwrite").parquet(s.table("rejects"))  # asked again by the next run: they are not in the cache
-    found = made.join(rows.select("chunk_id", "document_id"), "chunk_id")
-    tables.write_results(found.withColumnRenamed("chunk_id", "source_chunk_id"), s.table("results"))
-    return extraction.total_cost(tables.extraction_cache(spark, path))
+    rows, store = chunks(spark, s), CacheStore(spark, s.table("cache"))
+    try:
+        made, rejects = store.extract(rows, rules, s.extractor)
+        rejects.write.mode("overwrite").parquet(s.table("rejects"))  # asked again by the next run: they are not in the cache
+        found = made.join(rows.select("chunk_id", "document_id"), "chunk_id")
+        tables.write_results(found.withColumnRenamed("chunk_id", "source_chunk_id"), s.table("results"))
+        return spark.createDataFrame(extraction.total_cost(store.rows()).collect(), "results long, input_tokens long, output_tokens long, cost double")
+    finally:
+        store.close()
 
 
 def graph(spark: SparkSession, s: Settings) -> DataFrame:

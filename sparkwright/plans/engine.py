@@ -71,9 +71,21 @@ class Engine:
         plan = graph_query.GraphPlan(decision["query_type"], names, decision.get("relationship_type"), decision.get("second_relationship_type"), decision.get("max_hops"))
         return plan, graph_query.execute(self.nodes, self.edges, plan, self.ontology)
 
-    def facts(self, questions: DataFrame, key: str = "question_id") -> tuple[DataFrame, DataFrame]:
-        """((plan_id, text, source_chunk_ids), decisions) for a table of questions (key, question) as one job: the facts that :meth:`ask` shows for each."""
-        decided = routing.override(routing.classify_set(questions, self.nodes.select(F.col("canonical_name").alias("name")), key, self.ontology))
+    def decide(self, questions: DataFrame, key: str = "question_id") -> DataFrame:
+        """The decisions for a table of questions (key, question), low confidence overridden."""
+        return routing.override(routing.classify_set(questions, self.nodes.select(F.col("canonical_name").alias("name")), key, self.ontology))
+
+    def facts(self, questions: DataFrame, key: str = "question_id", batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """((plan_id, text, source_chunk_ids), decisions) for a table of questions (key, question) as one job: the facts that :meth:`ask` shows for each.
+
+        With ``log`` and a ``batch`` the decisions are logged beside those of single questions and read back, so that they are made once."""
+        decided = self.decide(questions, key)
+        if self.log and batch is not None:
+            at = f"{self.log}_sets"
+            tables.log_batch(decided.withColumn("asked_at", F.lit(datetime.now(timezone.utc))).withColumn("question_id", F.col(key)), at, batch)
+            logged = tables.logged_batches(self.spark, at).filter(F.col("batch") == batch)
+            kind = questions.schema[key].dataType
+            decided = logged.select(F.col("question_id").cast(kind).alias(key), *(c for c in decided.columns if c in schemas.DECISION.names))
         plans = routing.graph_branch(decided).filter(F.size("entity_names") > 0).withColumn("plan_id", F.col(key))
         return graph_plans.statements(self.nodes, self.edges, plans, self.ontology)[0], decided
 

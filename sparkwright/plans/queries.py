@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..ontology import Ontology
 from ..operators import answers, chunking, extraction, grading, graph_build, graph_plans, graph_query, html_blocks, name_finder, resolve, routing, sections, validate, vector_index, vector_search
+from ..operators.cache_store import CacheStore
 from ..operators.components import components
 from ..operators.evidence_store import EvidenceStore
 from ..sources import filings, tables
@@ -481,6 +482,21 @@ def question_set(spark: SparkSession, d: str) -> DataFrame:
     return facts.select("plan_id", "text")
 
 
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS question_id, b AS batch, CASE WHEN s_suppkey % 3 = 2 THEN 'VECTOR' ELSE 'GRAPH' END AS route, CASE s_suppkey % 3 WHEN 0 THEN 'one_hop' WHEN 1 THEN 'aggregate_count' END AS query_type, CASE s_suppkey % 3 WHEN 2 THEN '' ELSE s_name END AS names
+FROM supplier, (VALUES ('first'), ('second')) v(b) WHERE b = 'first' OR s_suppkey % 2 = 0""")
+def decision_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets of questions about suppliers, decided and logged by batch; the first is run twice and logged once."""
+    from .engine import Engine
+
+    k = F.col("s_suppkey") % 3
+    said = F.when(k == 0, F.concat(F.lit("To whom does "), "s_name", F.lit(" supply?"))).when(k == 1, F.concat(F.lit("How many bodies regulate "), "s_name", F.lit("?"))).otherwise(F.lit("What is the weather?"))
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("question_id"), said.alias("question"))
+    engine = Engine(spark, _nodes(spark, d), edges(spark, d), _passages(spark, d), log=f"{Scratch(spark, 'decisions').root}/log")
+    for questions, batch in ((asked, "first"), (asked.filter("question_id % 2 = 0"), "second"), (asked, "first")):
+        engine.facts(questions, batch=batch)
+    return tables.logged_batches(spark, f"{engine.log}_sets").select("question_id", "batch", "route", "query_type", joined("entity_names").alias("names"))
+
+
 _GRADED = "graded AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'single_hop' WHEN 2 THEN 'two_hop' ELSE 'aggregation' END AS difficulty, CASE doc_id % 4 WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN contains(lower(text), 'the') OR contains(lower(text), 'der') WHEN 2 THEN contains(lower(text), 'and') AND (contains(lower(text), 'xyz') OR contains(lower(text), 'of')) ELSE n_chars % 2 > 0 END AS correct FROM documents)"
 
 
@@ -669,6 +685,22 @@ def extract_rejects(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("chunk_id", F.regexp_replace("reason", "(bad entity).*", "$1").alias("reason"), "tries")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS chunk_id, c_name AS entities, c_custkey % 16 < 8 AS from_cache, 1 AS stored FROM customer WHERE c_custkey % 8 IN (0, 5, 7)")
+def cache_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the chunks go through the store in buckets, then all of them, then all results are added again: each key is there once."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"), F.col("c_name").alias("section_path"), (F.col("c_custkey") % 8).cast("string").alias("text"), F.create_map(F.lit("company"), "c_name").alias("metadata"))
+    scratch = Scratch(spark, "cache-buckets")
+    store = CacheStore(spark, f"{scratch.root}/store", 8)
+    try:
+        store.extract(rows.filter("chunk_id % 16 < 8"), _unsure)
+        found, _ = store.extract(rows, _unsure)
+        store.add(found)
+        times = store.rows().groupBy("cache_key").agg(F.count(F.lit(1)).cast("int").alias("stored"))
+        return scratch.keep(found.join(times, "cache_key").select("chunk_id", joined(F.transform("result.entities", lambda e: e["raw_name"])).alias("entities"), "from_cache", "stored"), "told")
+    finally:
+        store.close()
+
+
 # --- sources and sinks --------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 
-PAUSE_SECONDS = 0.3  # between requests, for whoever fetches the files
+# The pause between requests, and where a filing's page stands (number without leading zeros, accession without dashes, page).
+PAUSE_SECONDS = 0.3
+PAGE_ADDRESS = "https://www.sec.gov/Archives/edgar/data/%s/%s/%s"
 
 
 class UnknownTickers(ValueError):
@@ -72,6 +78,38 @@ def to_fetch(wanted: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFr
     return wanted.join(there, "ticker", "left_anti")
 
 
+def page_address(cik: Column, accession: Column, page: Column) -> Column:
+    return F.format_string(PAGE_ADDRESS, cik.cast("long").cast("string"), F.replace(accession, F.lit("-"), F.lit("")), page)
+
+
+FETCHED = "name string, url string, content binary, reason string"
+
+
+def fetch(wanted: DataFrame, get: Callable[[str], bytes], pause: float = PAUSE_SECONDS, lanes: int = 1) -> DataFrame:
+    """(name, url, content, reason) of wanted pages (name, url): ``get`` is asked once for each address, politely.
+
+    ``lanes`` tasks ask side by side, each after ``lanes`` pauses, so that all together keep one pause between
+    requests.  A page that cannot be had has a reason in place of content and ends nothing.  The result
+    is written by who calls (:func:`write_raw`): computing it again asks again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            got = []
+            for url in batch["url"]:
+                if last is not None:
+                    time.sleep(max(0.0, last + pause * lanes - time.monotonic()))
+                last = time.monotonic()
+                try:
+                    got.append((get(url), None))
+                except Exception as e:  # a request's own failure concerns its page alone
+                    got.append((None, f"{type(e).__name__}: {e}"))
+            yield batch.assign(content=[c for c, _ in got], reason=[r for _, r in got])
+
+    pages = wanted.filter("url is not null").groupBy("url").agg(F.min("name").alias("name")).select("name", "url")
+    return pages.repartition(lanes, "url").mapInPandas(run, FETCHED)
+
+
 def write_raw(pages: DataFrame, path: str) -> None:
     """Adds raw pages (name, content) that are not there yet; a page that is there is never changed."""
     spark = pages.sparkSession

@@ -70,6 +70,22 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DECISION).json(path).dropDuplicates(["asked_at", "question"])
 
 
+def log_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Decisions of a set of questions (question_id beside the decision's columns) in the folder of their batch.
+
+    A batch that is logged again takes its own place, so a job that is run again logs nothing twice; other batches stay.
+    A set's questions are decided together, so that no single one has a latency."""
+    have = [F.col(c) if c in rows.columns else F.lit(None).cast(schemas.DECISION[c].dataType).alias(c) for c in schemas.DECISION.names]
+    told = rows.select(F.col("question_id").cast("string").alias("question_id"), *have, F.lit(batch).alias("batch"))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
+
+
+def logged_batches(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`log_batch` wrote; ids and batches stay text."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.DECISION)
+    return spark.read.schema(f"question_id string, {columns}, batch string").json(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
