@@ -86,3 +86,64 @@ def test_rejected_rows_and_calibration(spark, make):
     assert (1, texts[1]) in stays and (0, texts[1]) in stays and (1, texts[0]) not in stays and (None, None) in stays
     scores = [r["score"] for r in toxicity.toxicity(docs, known, train).collect()]
     assert abs(np.mean(scores) - 0.25) < 0.05
+
+
+def plain_score(model, text):
+    """One text by loops over words, windows, steps and units, from the definition alone (only a word's hash is the module's)."""
+    import re
+
+    net, D, H = {k: v.astype(float) for k, v in model.net.items()}, toxicity.DIM, toxicity.HIDDEN
+    lower = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    words = re.findall(rb"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return model.constant
+
+    def entry(word):
+        raw = np.frombuffer(word, np.uint8)
+        key = int(toxicity.span_hash(raw, np.array([0]), np.array([len(word)]))[0])
+        mean, last = np.zeros(D), len(word) - 1
+        for i, byte in enumerate(word):
+            left = word[i - 1] if i > 0 else 2
+            right = word[i + 1] if i < last else 3
+            after = word[i + 2] if i + 1 < last else 4
+            mixed = (left * 2654435761 ^ byte * 2246822519 ^ right * 3266489917 ^ after * 374761393) & 0xFFFFFFFF
+            mixed = ((mixed ^ mixed >> 15) * 668265263) & 0xFFFFFFFF
+            mean += net["chars"][mixed * toxicity.CHAR_ROWS >> 32] / len(word)
+        return np.concatenate([net["words"][key % toxicity.WORD_ROWS], mean])
+
+    x = [entry(w) for w in words]
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    best = -np.inf
+    last = max(len(x) - toxicity.WINDOW, 0)
+    for start in sorted({*range(0, last, toxicity.STRIDE), last}):
+        part = x[start : start + toxicity.WINDOW]
+        attend, value = np.zeros(len(part)), np.zeros(len(part))
+        for side in "fb":
+            h = np.zeros(H)
+            for t in range(len(part)) if side == "f" else reversed(range(len(part))):
+                gate = lambda g: part[t] @ net[f"W{g}{side}"] + net[f"c{g}{side}"]  # noqa: B023, E731
+                z = logistic(gate("z") + h @ net[f"Uz{side}"])
+                r = logistic(gate("r") + h @ net[f"Ur{side}"])
+                c = np.tanh(gate("n") + r * (h @ net[f"Un{side}"]))
+                h = (1 - z) * c + z * h
+                attend[t] += h @ net[f"a{side}"]
+                value[t] += h @ net[f"o{side}"]
+        weight = np.exp(attend) / np.exp(attend).sum()
+        best = max(best, float(weight @ value) + net["bias"][0])
+    return float(logistic(model.scale * best + model.shift))
+
+
+def test_scores_are_those_of_plain_loops(spark, make):
+    """Every document's score through the operator against the definition: short and long texts, edges of windows, odd characters."""
+    rng = random.Random(5)
+    words = ["vile", "scum", "a", "ab", "abc", "Straße", "日本", "x" * 40, "don't", "e\u0301", *[f"word{i}" for i in range(60)]]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 5, 31, 32, 33, 47, 48, 49, 64, 65, 200) for _ in range(2)]
+    texts += [None, "", " \n\t", "UPPER lower\x0bMiXed\r\nÄ", texts[5]]
+    labels = np.array([int("vile" in (t or "")) for t in texts])
+    net = toxicity.train([t or "" for t in texts], labels, steps=40, batch=8)
+    model = toxicity.Model(net, 1.3, -0.4, 0.125)
+    docs = make(texts)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    want = [plain_score(model, t) for t in texts]
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-4
+    assert len({round(w, 4) for w in want}) > 15  # the scores do differ
