@@ -117,6 +117,21 @@ def evidence_merge_buckets(spark: SparkSession, d: str) -> DataFrame:
     return store.view().select("src", "rel_type", "dst", joined("source_chunk_ids").alias("chunk_ids"), "confidence")
 
 
+@query(f"WITH {CLAIMS} SELECT source_entity AS src, relationship_type AS rel_type, target_entity AS dst, count(DISTINCT source_chunk_id) AS chunks, max(confidence) AS confidence FROM claims GROUP BY ALL")
+def evidence_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The claims as a stream of files into the same tables: half of them, then what has landed since, then all again from the start."""
+    from ..streaming.incremental import merge_evidence
+
+    root = Scratch(spark, "evidence-stream").root
+    rows = claims(spark, d).select(F.lit("Company").alias("src_type"), F.col("source_entity").alias("src"), "relationship_type", F.lit("Company").alias("dst_type"), F.col("target_entity").alias("dst"), "source_chunk_id", "confidence")
+    odd = F.right("source_chunk_id", F.lit(1)).isin(*"13579")
+    for part, mark in ((rows.filter(odd), "one"), (rows.filter(~odd), "one"), (None, "two")):
+        if part is not None:
+            part.write.mode("append").parquet(f"{root}/landed")
+        merge_evidence(spark.readStream.schema(rows.schema).parquet(f"{root}/landed"), f"{root}/graph", f"{root}/{mark}", 8).awaitTermination()
+    return EvidenceStore(spark, f"{root}/graph", 8).strengths().select("src", "rel_type", "dst", "chunks", "confidence")
+
+
 @query(f"""WITH {CLAIMS}, named AS (SELECT * REPLACE (CASE WHEN ends_with(source_chunk_id, '1') THEN source_entity || ' Unknown' ELSE source_entity END AS source_entity, CASE WHEN ends_with(source_chunk_id, '2') THEN target_entity || ' Unknown' ELSE target_entity END AS target_entity) FROM claims)
 SELECT count(*) FILTER (WHERE s_name IS NOT NULL AND c_name IS NOT NULL) AS written, count(*) FILTER (WHERE s_name IS NULL OR c_name IS NULL) AS skipped FROM named LEFT JOIN supplier ON source_entity = s_name LEFT JOIN customer ON target_entity = c_name""")
 def edge_unresolved(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.chunking import OVERLAP, TARGET, tokens, windows
+from ..operators.evidence_store import BUCKETS, EvidenceStore
 from ..operators.graph_build import collapse_claims, merge_edges
 from ..plans.scratch import Scratch
 
@@ -89,6 +90,23 @@ def merge_claims(claims: DataFrame, path: str, checkpoint: str, trigger: dict |
     return claims.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def merge_evidence(claims: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps edges and their evidence at ``path`` up to date (read them by :class:`EvidenceStore`): a batch appends what is not there and rewrites nothing.
+
+    A batch that is replayed, or was ended between its two tables, adds what is missing: evidence comes first, and
+    edges are looked for on their own."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        scratch, store = Scratch(batch.sparkSession, "stream"), EvidenceStore(batch.sparkSession, path, buckets)  # a batch has a session of its own
+        try:
+            store.merge(scratch.keep(batch, "new"))  # read once for both tables
+        finally:
+            store.close()
+            scratch.clear()
+
+    return claims.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def for_each(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Any batch operator of the library over what is there now."""
     return stream.writeStream.foreachBatch(lambda b, _: work(b)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
