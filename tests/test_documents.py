@@ -117,3 +117,8 @@ def test_windows_of_byte_pairs(spark):
     docs = spark.createDataFrame([("d", {"company": "X"}, "text", None, [("s", texts[5])])], "document_id string, metadata map<string,string>, document_type string, date date, sections array<struct<section_path string, text string>>")
     chunks = chunking.chunk_documents(docs, 100, 10, tokenize, bpe.as_text).orderBy("chunk_index").collect()
     assert len(chunks) == 6 and all(set(c["text"].split()) == {"word"} for c in chunks) and len(encoding.encode_ordinary(" " + chunks[1]["text"])) == 100
+
+
+def test_only_whole_references_are_decoded():
+    page = "<h1>a &amp;&amp;&amp</h1><p>&lt;b&gt; &copy &#65; &#x42 &nosuch; &notit; &amp;lt; &</p>"
+    assert html_blocks.leaf_blocks(page) == [("h1", "a &&&amp"), ("p", "<b> &copy A B &nosuch; &notit; &lt; &")]
