@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
+#: Places of a vector that a gram is spread over; 16 are one hash.
+PLACES = 16
+
+
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,14 +37,16 @@ def literal(vector) -> Column:
 
 
 def embed_text(text: str | None, dim: int) -> np.ndarray:
-    """Hashed words and word pairs with signs, scaled to unit length; the zero vector for no words."""
-    import zlib
+    """Hashed words and word pairs with signs, scaled to unit length; the zero vector for no words.
+
+    Each gram is spread over :data:`PLACES` places, so that two different grams meet in a few of them by chance, never in all:
+    what they add to a product by chance is a small share of what a gram in common adds."""
+    import hashlib
 
-    out = np.zeros(dim, np.float64)
     words = (text or "").lower().split()
-    for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-        h = zlib.crc32(gram.encode())
-        out[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+    grams = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]
+    h = np.frombuffer(b"".join(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=4 * PLACES).digest() for g in grams), "<u4")
+    out = np.bincount((h & 0x7FFFFFFF) % dim, weights=np.where(h >> 31, 1.0, -1.0), minlength=dim)
     size = float(np.sqrt(out @ out))
     return out / size if size else out
 

@@ -90,8 +90,10 @@ class Engine:
         return graph_plans.statements(self.nodes, self.edges, plans, self.ontology)[0], decided
 
     def passages(self, question: str, k: int) -> DataFrame:
-        encode = self.embed or (lambda t: embed_text(t, self.dim))
-        return vector_search.top_k(self.vectors, encode(QUERY_PREFIX + question), k)
+        # the prefix tells a model what the text is for; to the offline embedder its words would be words of the question
+        query = self.embed(QUERY_PREFIX + question) if self.embed else embed_text(question, self.dim)
+        # what its places have in common by chance may be less than nothing, and leaves no passage out
+        return vector_search.top_k(self.vectors, query, k, 0.0 if self.embed else -1.0)
 
     def ask(self, question: str, vector_k: int = 5, vector_only: bool = False) -> DataFrame:
         """One row: answer_text, route, overridden, claims, rejected_claims and how much evidence of either kind there was."""

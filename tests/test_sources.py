@@ -122,3 +122,13 @@ def test_stream_merges_twice(spark, tmp_path):
     incremental.merge_claims(spark.readStream.schema(claims).parquet(str(tmp_path / "in")), out, str(tmp_path / "anew")).awaitTermination()  # all of it again
     assert {r["rel_type"]: r["source_chunk_ids"] for r in incremental.current_edges(spark, out).collect()} == found
     assert incremental.current_edges(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_nearest_of_many_passages_by_hashed_words():
+    """One word in common outweighs what thousands of passages have in common with the question by chance."""
+    import numpy as np
+
+    said = [f"Supplier#{i:09d} widget{i} filed." for i in range(1, 6001)]
+    vectors = np.array([V.embed_text(t, 2048) for t in said])
+    for question, want in (("Why does who regulate Supplier#000000001 so?", 0), ("widget7 filed.", 6)):
+        assert int((vectors @ V.embed_text(question, 2048)).argmax()) == want
