@@ -51,48 +51,55 @@ def aggregate_count(edges: DataFrame, plans: DataFrame) -> DataFrame:
 def path_between(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """``plans``: (plan_id, start, end, max_hops).  Each plan's least shortest path; no row for a plan without one.
 
-    All plans' frontiers grow together, from the starts and the ends in turn, a round for
-    each hop.  A plan leaves when its frontiers have met, when one of them is empty or when
-    its hops are used up.  Frontiers are tables in the shared folder; the driver sees how many plans are left."""
+    Frontiers belong to the starts and the ends, not to the plans: plans that share one share what has been reached from it.
+    They grow together, from the starts and the ends in turn, a round for each hop.  A plan leaves when its two frontiers have met,
+    when one of them is empty or when its hops are used up.  Frontiers are tables in the shared folder, without the edges' chunks, which only the paths that are found look up;
+    the driver sees how many plans and rows are left."""
     spark = edges.sparkSession
     u = graph_query.undirected(edges).select("a", "b", "rel_type", "source_chunk_ids", "edge_id")
     scratch = Scratch(spark, "paths")
     asked = plans.select("plan_id", "start", "end", F.coalesce(F.nullif("max_hops", F.lit(0)), F.lit(HOPS)).alias("max_hops")).filter("start <> end")
-    asked = scratch.keep(asked, "plans")
-    none = [F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<bigint>)").alias("path_edges"), F.expr("cast(array() as array<array<string>>)").alias("ids")]
-    parts = ("nodes", "types", "path_edges", "ids")
-    sides = [asked.select("plan_id", F.col(end).alias("node"), F.array(end).alias("nodes"), *none) for end in ("start", "end")]
-    seen = [s.select("plan_id", "node") for s in sides]
-    left, found = asked.select("plan_id", "max_hops"), None
-    most = asked.agg(F.max("max_hops")).first()[0] or 0
+    left, found = scratch.keep(asked, "plans"), None
+    most = left.agg(F.max("max_hops")).first()[0] or 0
+    none = [F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<bigint>)").alias("path_edges")]
+    ends, parts = ("start", "end"), ("nodes", "types", "path_edges")
+    sides = [left.select(F.col(end).alias("origin"), F.col(end).alias("node")).distinct().select("*", F.array("origin").alias("nodes"), *none) for end in ends]
+    seen = [s.select("origin", "node") for s in sides]
 
     def longer(path: str, piece: str, from_end: bool) -> Column:
         return F.concat(F.array(piece), path) if from_end else F.concat(path, F.array(piece))
 
+    def rows_of(going: DataFrame, side: int) -> int:
+        return going.join(sides[side].groupBy(F.col("origin").alias(ends[side])).count(), ends[side]).agg(F.sum("count")).first()[0] or 0
+
     for hop in range(1, most + 1):
         side, from_end = (hop + 1) % 2, hop % 2 == 0
-        reached = seen[side].select("plan_id", F.col("node").alias("b"))
-        step = sides[side].join(u, F.col("node") == F.col("a")).join(reached, ["plan_id", "b"], "left_anti")
-        grown = F.struct(longer("nodes", "b", from_end).alias("nodes"), longer("types", "rel_type", from_end).alias("types"), longer("path_edges", "edge_id", from_end).alias("path_edges"), longer("ids", "source_chunk_ids", from_end).alias("ids"))
-        step = step.join(left.filter(F.col("max_hops") >= hop).select("plan_id"), "plan_id", "left_semi")
-        sides[side] = scratch.keep(step.groupBy("plan_id", F.col("b").alias("node")).agg(F.min(grown).alias("p")).select("plan_id", "node", *[f"p.{c}" for c in parts]), f"frontier{hop}")
-        seen[side] = seen[side].unionByName(sides[side].select("plan_id", "node"))
-        near = sides[0].select("plan_id", "node", *[F.col(c).alias(f"l_{c}") for c in parts])
-        whole = near.join(sides[1], ["plan_id", "node"]).join(left.filter(F.col("max_hops") >= hop).select("plan_id"), "plan_id", "left_semi").select(
-            "plan_id", F.concat("l_nodes", F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0)))).alias("nodes"),
-            *[F.concat(f"l_{c}", c).alias(c) for c in parts[1:]],
+        going = left.filter(F.col("max_hops") >= hop)
+        reached = seen[side].select("origin", F.col("node").alias("b"))
+        step = sides[side].join(going.select(F.col(ends[side]).alias("origin")).distinct(), "origin", "left_semi").join(u.drop("source_chunk_ids"), F.col("node") == F.col("a")).join(reached, ["origin", "b"], "left_anti")
+        grown = F.struct(longer("nodes", "b", from_end).alias("nodes"), longer("types", "rel_type", from_end).alias("types"), longer("path_edges", "edge_id", from_end).alias("path_edges"))
+        sides[side] = scratch.keep(step.groupBy("origin", F.col("b").alias("node")).agg(F.min(grown).alias("p")).select("origin", "node", *[f"p.{c}" for c in parts]), f"frontier{hop}")
+        seen[side] = seen[side].unionByName(sides[side].select("origin", "node"))
+        near, far = (sides[i].select(F.col("origin").alias(ends[i]), "node", *[F.col(c).alias(f"{x}_{c}") for c in parts]) for i, x in ((0, "l"), (1, "r")))
+        # the side with fewer rows is dealt to the plans, the other one meets it by its end and node
+        one, other = ((near, "start"), (far, "end"))[:: 1 if rows_of(going, 0) <= rows_of(going, 1) else -1]
+        whole = going.join(one[0], one[1]).join(other[0], [other[1], "node"]).select(
+            "plan_id", F.concat("l_nodes", F.slice("r_nodes", F.lit(2), F.greatest(F.size("r_nodes") - 1, F.lit(0)))).alias("nodes"),
+            *[F.concat(f"l_{c}", f"r_{c}").alias(c) for c in parts[1:]],
         )
-        best = whole.groupBy("plan_id").agg(F.min(F.struct(*parts)).alias("p")).select("plan_id", F.col("p.nodes").alias("node_path"), F.col("p.types").alias("relationship_path"), F.col("p.ids").alias("source_chunk_ids_per_hop"), F.lit(hop).alias("hops"))
-        best = scratch.keep(best, f"met{hop}")
+        best = scratch.keep(whole.groupBy("plan_id").agg(F.min(F.struct(*parts)).alias("p")).select("plan_id", *[f"p.{c}" for c in parts], F.lit(hop).alias("hops")), f"met{hop}")
         found = best if found is None else found.unionByName(best)
-        left = scratch.keep(left.join(best.select("plan_id"), "plan_id", "left_anti").join(sides[side].select("plan_id").distinct(), "plan_id", "left_semi"), f"left{hop}")
+        left = scratch.keep(left.join(best.select("plan_id"), "plan_id", "left_anti").join(sides[side].select(F.col("origin").alias(ends[side])).distinct(), ends[side], "left_semi").select(*asked.columns), f"left{hop}")
         if left.isEmpty():
             break
     shape = f"plan_id {plans.schema['plan_id'].dataType.simpleString()}, {graph_query.PATH}"
     if found is None:
         scratch.clear()
         return spark.createDataFrame([], shape)
-    out = scratch.keep(found, "found")
+    each = found.select("plan_id", "nodes", "types", F.posexplode("path_edges").alias("pos", "edge_id")).select("plan_id", "pos", "edge_id", F.get("nodes", F.col("pos")).alias("a"), F.get("nodes", F.col("pos") + 1).alias("b"), F.get("types", F.col("pos")).alias("rel_type"))
+    chunks = each.join(u, ["edge_id", "a", "b", "rel_type"]).groupBy("plan_id", "pos").agg(F.min("source_chunk_ids").alias("ids")).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_c"))
+    told = found.join(chunks, "plan_id").select("plan_id", F.col("nodes").alias("node_path"), F.col("types").alias("relationship_path"), F.transform("_c", lambda x: x["ids"]).alias("source_chunk_ids_per_hop"), "hops")
+    out = scratch.keep(told, "found")
     for name in ("plans", *(f"{part}{hop}" for hop in range(1, most + 1) for part in ("frontier", "met", "left"))):
         scratch.drop(name)
     return out

@@ -64,3 +64,20 @@ def test_no_plans(spark):
     nodes, edges = graph(spark)
     got, bad = graph_plans.statements(nodes, edges, spark.createDataFrame([], graph_plans.PLAN))
     assert got.collect() == [] and bad.collect() == []
+
+
+def test_plans_with_one_end_share_its_frontier(spark, monkeypatch):
+    """What is reached from an end is kept once, however many plans ask for that end."""
+    links = [("Company", f"s{i}", "SUPPLIES", "Company", f"c{j}", [f"{i}-{j}"], 0.5) for i in range(30) for j in (i % 5, 5)]
+    links += [("Company", f"c{j}", "HAS_SEGMENT", "BusinessSegment", "Hub", [f"h{j}"], 0.5) for j in range(20)]
+    edges, sizes, keep = spark.createDataFrame(links, SHAPE), {}, graph_plans.Scratch.keep
+
+    def counted(self, frame, name):
+        sizes[name] = (out := keep(self, frame, name)).count()
+        return out
+
+    monkeypatch.setattr(graph_plans.Scratch, "keep", counted)
+    plans = spark.createDataFrame([(f"p{i}", f"s{i}", "Hub", 3) for i in range(30)], "plan_id string, start string, end string, max_hops int")
+    found = {r["plan_id"]: r for r in graph_plans.path_between(edges, plans).collect()}
+    assert sizes["frontier1"] == 60 and sizes["frontier2"] == 20 and len(found) == 30
+    assert found["p7"]["node_path"] == ["s7", "c2", "Hub"] and found["p7"]["source_chunk_ids_per_hop"] == [["7-2"], ["h2"]] and found["p7"]["hops"] == 2
