@@ -42,3 +42,17 @@ def test_a_set_of_questions_is_routed_as_each_by_itself(spark):
         known = [n for n in names if n.lower() in q.lower()]
         want = routing.classify(rows.filter(f"question_id = {i}"), known).select(fields).first()
         assert got[i] == want, q
+
+
+def test_texts_do_not_meet_each_part_of_the_names(spark):
+    """However many names there are, a text is not sent to all of them: what is shuffled grows with what is found."""
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    names = [f"name{i:05d}x" for i in range(500)]
+    texts = [(i, f"of name{i:05d}X and nobody") for i in range(400)]
+    before = shuffled()
+    got = told(name_finder.find_names(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in names], "name string"), "id", automaton_bytes=100))
+    assert got == [(i, 3, names[i]) for i in range(400)]
+    assert shuffled() - before < 20_000  # each text to each of the 100 parts would be 40,000
