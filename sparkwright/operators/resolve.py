@@ -17,6 +17,8 @@ from .components import components
 THRESHOLD = 0.87
 #: Representatives of a type in a block; two blocks are compared at a time.
 BLOCK = 512
+#: Blocks of a stripe at most (about), and how many stripes there are at least, so that small tables keep all tasks busy.
+STRIPE, LEAST_STRIPES = 64, 8
 #: Vectors that blocks are told apart by, out of a sample of so many; parts of a hot group's blocks.
 PIVOTS, SAMPLE, SALTS = 24, 2048, 8
 
@@ -116,33 +118,46 @@ def meeting_blocks(blocks: DataFrame, threshold: float, group: str) -> DataFrame
     return (met if threshold <= 0 else met.filter(~apart)).select("i", "j")
 
 
-def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, key: str = "norm", vector: str = "embedding", group: str = "entity_type", block: int = BLOCK) -> DataFrame:
+def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD, key: str = "norm", vector: str = "embedding", group: str = "entity_type", block: int = BLOCK, stripe: int = STRIPE) -> DataFrame:
     """(group, a, b, similarity) with a < b of one group whose cosine reaches the threshold.
 
     Rows that lie alike stand in a block; the blocks' angles to some pivots tell which two can hold a pair at
-    all, and only those meet, as matrices.  A task holds two blocks however large the group is; rows without a vector are in no pair."""
+    all, and only those meet, as matrices.  Blocks are dealt to stripes, and two stripes meet in a cell: a block is sent once to
+    each cell that has a pair of it, and a task holds one cell's blocks however large the group is; rows without a vector are in no pair."""
     scratch = Scratch(rows.sparkSession, "pairs")
     blocks = pair_blocks(rows, key, vector, group, block, scratch)
-    pairs = scratch.keep(meeting_blocks(blocks, threshold, group), "meet")
+    count = blocks.count()
+    stripes = max(1, min(count, max(LEAST_STRIPES, -(-count // stripe))))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(stripes))
+    met = meeting_blocks(blocks, threshold, group).withColumn("_cell", F.least(of("i"), of("j")) * stripes + F.greatest(of("i"), of("j")))
+    pairs = scratch.keep(met, "meet")
     kind, key_kind = rows.schema[group].dataType.simpleString(), rows.schema[key].dataType.simpleString()
 
     def meet(batches):
+        cell, held = None, {}
         for batch in batches:
+            cells, first, second, body = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5)
             for r in range(batch.num_rows):
-                ka, kb = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (1, 3))
-                x, y = (np.frombuffer(batch.column(c)[r].as_py(), np.float64).reshape(len(k), -1) for c, k in ((2, ka), (4, kb)))
+                if cells[r] != cell:
+                    cell, held = cells[r], {}
+                if second[r] is None:  # a block; a cell's blocks come before its pairs
+                    keys = batch.column(4)[r].values.to_numpy(zero_copy_only=False)
+                    held[first[r]] = batch.column(3).slice(r, 1), keys, np.frombuffer(body[r].as_py(), np.float64).reshape(len(keys), -1)
+                    continue
+                (of_group, ka, x), (_, kb, y) = held[first[r]], held[second[r]]
                 s = x @ y.T
                 a, b = np.nonzero(s >= threshold)
                 left, right, s = ka[a], kb[b], s[a, b]
-                keep = left < right if batch.column(5)[r].as_py() else left != right
+                keep = left < right if first[r] == second[r] else left != right
                 low, high = np.where(left < right, left, right)[keep], np.where(left < right, right, left)[keep]
-                kinds = batch.column(1).type.value_type
-                yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(low), r))), pa.array(low, kinds), pa.array(high, kinds), pa.array(s[keep])], names=[group, "a", "b", "similarity"])
-
-    first = blocks.select(group, F.col("block").alias("i"), F.col("keys").alias("ki"), F.col("matrix").alias("mi"))
-    other = blocks.select(F.col("block").alias("j"), F.col("keys").alias("kj"), F.col("matrix").alias("mj"))
-    met = pairs.join(first, "i").join(other, "j").select(group, "ki", "mi", "kj", "mj", (F.col("i") == F.col("j")).alias("_same"))
-    return met.mapInArrow(meet, f"{group} {kind}, a {key_kind}, b {key_kind}, similarity double")
+                kinds = batch.column(4).type.value_type
+                yield pa.record_batch([of_group.take(pa.array(np.zeros(len(low), np.int64))), pa.array(low, kinds), pa.array(high, kinds), pa.array(s[keep])], names=[group, "a", "b", "similarity"])
+
+    needed = pairs.select("_cell", "i").unionByName(pairs.select("_cell", F.col("j").alias("i"))).distinct()
+    sent = needed.join(blocks.select(F.col("block").alias("i"), group, "keys", "matrix"), "i").select("_cell", "i", F.lit(None).cast("long").alias("j"), group, "keys", "matrix")
+    asked = pairs.select("_cell", "i", "j", F.lit(None).cast(kind).alias(group), F.lit(None).cast(f"array<{key_kind}>").alias("keys"), F.lit(None).cast("binary").alias("matrix"))
+    dealt = sent.unionByName(asked).repartition(max(1, stripes * (stripes + 1) // 2), "_cell").sortWithinPartitions("_cell", F.asc_nulls_first("j"))
+    return dealt.mapInArrow(meet, f"{group} {kind}, a {key_kind}, b {key_kind}, similarity double")
 
 
 def seed_edges(groups: DataFrame, seeds: DataFrame) -> DataFrame:

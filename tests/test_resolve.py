@@ -83,3 +83,20 @@ def test_look_up(spark):
     nodes = spark.createDataFrame([("Company", "Brell Corporation", ["BRLL"]), ("Company", "QXR", None)], "entity_type string, canonical_name string, aliases array<string>")
     asked = spark.createDataFrame([("brll",), ("Brell",), ("qxr",), ("zzz",)], "surface string")
     assert {r["surface"]: r["canonical_name"] for r in resolve.look_up(asked, nodes).collect()} == {"brll": "Brell Corporation", "Brell": "Brell Corporation", "qxr": "QXR", "zzz": None}
+
+
+def test_blocks_are_sent_once_to_a_cell(spark, monkeypatch):
+    """A block goes to each stripe that it meets, not to each block: what is sent grows with the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [("Company", i, v.tolist()) for i, v in enumerate(rng.normal(size=(640, 6)))]
+    frame = spark.createDataFrame(rows, "entity_type string, id long, embedding array<double>")
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.3, 1))
+    found = resolve.similar_pairs(frame, 0.3, "id", block=8, stripe=40)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    before = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    sent = max(before.apply(i).shuffleWriteBytes() for i in range(before.size()))
+    assert sent < 12 * x.nbytes + 200_000  # eighty blocks to each other would be more than forty times
