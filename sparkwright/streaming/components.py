@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.components import components
+from ..plans.scratch import Scratch
 
 
 def _table(spark: SparkSession, path: str, shape: str) -> DataFrame:
@@ -49,7 +50,8 @@ def add_links(links: DataFrame, number: int, path: str) -> None:
     spark = links.sparkSession
     kind = links.schema["a"].dataType.simpleString()
     nodes, merged = (_table(spark, f"{path}/{name}", shape).filter(F.col("batch") < number) for name, shape in zip(("nodes", "merged"), _shapes(kind), strict=True))
-    links = links.filter("a is not null and b is not null").select("a", "b").distinct()
+    scratch = Scratch(spark, "links")
+    links = scratch.keep(links.filter("a is not null and b is not null").select("a", "b").distinct(), "links")  # whatever makes them runs once
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     known = _renamed(nodes.select("node", "component").join(ends, "node", "left_semi"), merged)  # only nodes that the batch names
     named = ends.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("name"), F.col("component").isNull().alias("fresh"))
@@ -57,12 +59,14 @@ def add_links(links: DataFrame, number: int, path: str) -> None:
     left, right = (named.select(F.col("node").alias(c), F.col("name").alias(f"_{c}")) for c in ("a", "b"))
     small = components(links.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnsRenamed({"node": "name", "component": "_least"})
     told = named.join(small, "name", "left").withColumn("_least", F.coalesce("_least", "name")).withColumn("batch", F.lit(number).cast("long"))
+    told = scratch.keep(told, "told")
 
     def write(rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
 
     write(told.filter("fresh").select("node", F.col("_least").alias("component"), "batch"), "nodes")
     write(told.filter("not fresh and name <> _least").select(F.col("name").alias("component"), F.col("_least").alias("into"), "batch").distinct(), "merged")
+    scratch.clear()
 
 
 def merge_links(links: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

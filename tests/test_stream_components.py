@@ -48,3 +48,19 @@ def test_stream_that_grows(spark, tmp_path):
 def test_no_links(spark, tmp_path):
     kept.add_links(spark.createDataFrame([], SHAPE), 0, str(tmp_path / "c"))
     assert told(kept.current(spark, str(tmp_path / "c"))) == []
+
+
+def test_links_of_a_batch_are_made_once(spark, tmp_path):
+    """What makes a batch's links may be costly: it runs once a batch."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    links = spark.range(0, 40, 1, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).mapInArrow(count, "a long, b long")
+    kept.add_links(links, 0, str(tmp_path))
+    assert made.value == 40 and kept.current(spark, str(tmp_path)).filter("component = 0").count() == 41
