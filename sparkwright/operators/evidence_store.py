@@ -21,10 +21,17 @@ from pyspark.sql import functions as F
 from .graph_build import EDGE_KEY
 
 BUCKETS = 64
+#: Claims of a bucket, where the number of buckets follows the claims.
+BUCKET_CLAIMS = 1 << 20
 EDGES = "edge_id BIGINT, src_type STRING, src STRING, rel_type STRING, dst_type STRING, dst STRING"
 EVIDENCE = "edge_id BIGINT, chunk_id STRING, confidence DOUBLE"
 
 
+def buckets_for(claims: int, least: int = 8) -> int:
+    """So many buckets that no task's bucket grows with the claims."""
+    return max(least, -(-claims // BUCKET_CLAIMS))
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A setting for as long as something runs; then what it was."""
@@ -65,15 +72,19 @@ class EvidenceStore:
         # the stored side is in buckets of the edge alone, and may stay so though more than the edge is compared
         with setting(self.spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
             self._append("evidence", self.unseen(new))
-            self._append("edges", new.select("edge_id", *EDGE_KEY).distinct().join(self.edges().select("edge_id"), "edge_id", "left_anti"))
+            self._append("edges", self._dealt(new.select("edge_id", *EDGE_KEY)).distinct().join(self.edges().select("edge_id"), "edge_id", "left_anti"))
 
     def unseen(self, new: DataFrame) -> DataFrame:
-        rows = new.select("edge_id", "chunk_id", "confidence").distinct().repartition(self.buckets, "edge_id")
+        rows = self._dealt(new.select("edge_id", "chunk_id", "confidence").distinct())
         return rows.join(self.evidence(), ["edge_id", "chunk_id", "confidence"], "left_anti")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows in the tables' buckets: the join and the write after it keep to them."""
+        return rows.repartition(self.buckets, "edge_id")
+
     def _append(self, kind: str, rows: DataFrame) -> None:
-        # a bucket's new rows are one file
-        rows.repartition(self.buckets, "edge_id").sortWithinPartitions("edge_id").write.insertInto(self.names[kind])
+        # rows come dealt: a bucket's new rows are one file
+        rows.sortWithinPartitions("edge_id").write.insertInto(self.names[kind])
         self.spark.catalog.refreshTable(self.names[kind])
 
     def strengths(self) -> DataFrame:

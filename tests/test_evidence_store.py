@@ -73,3 +73,27 @@ def test_hub_has_no_wide_row(spark, store):
 def test_nothing(spark, store):
     store.merge(claims(spark, []))
     assert store.view().collect() == [] and store.strengths().collect() == []
+
+
+def test_buckets_follow_the_claims():
+    from sparkwright.operators.evidence_store import BUCKET_CLAIMS, buckets_for
+
+    assert buckets_for(0) == buckets_for(600_000) == 8 and buckets_for(216_000_000) == -(-216_000_000 // BUCKET_CLAIMS)
+
+
+def test_the_write_does_not_deal_again(spark, tmp_path, monkeypatch):
+    """What is appended is in its buckets already: evidence is folded and dealt, edges are dealt and folded there."""
+    plans = []
+    append = EvidenceStore._append
+    monkeypatch.setattr(EvidenceStore, "_append", lambda self, kind, rows: (plans.append(rows.sortWithinPartitions("edge_id")._jdf.queryExecution().executedPlan().toString()), append(self, kind, rows)))
+    store = EvidenceStore(spark, str(tmp_path / "graph"), 4)
+    try:
+        with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = [("Company", "A", "SUPPLIES", "Company", "B", f"c{i % 3}", 0.5) for i in range(6)]
+        store.merge(spark.createDataFrame(rows, "src_type string, src string, relationship_type string, dst_type string, dst string, source_chunk_id string, confidence double"))
+        assert store.evidence().count() == 3 and store.edges().count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+        store.close()
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1], plans
