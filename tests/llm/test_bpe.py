@@ -53,3 +53,19 @@ def test_long_words_and_full_caches(library, monkeypatch):
 
 def test_empty(make):
     assert bpe.encode_decode(make([])).collect() == []
+
+
+def test_merges_of_many_words_are_those_of_each():
+    model = bpe.Bpe(FILE)
+    words = ["lowest", "", "a", "zzzzzz", "Ġ", "th" * 30, "xq", "ÃŃÃŃ", "日", "thequickbrown"]
+    assert model.merged_many(words) == [np.array(model.merged(model.symbols(w)), "<u4").tobytes() for w in words]
+    assert model.merged_many([]) == []
+
+
+def test_the_cache_holds_a_pieces_ids_alone():
+    """Ids and decoded text of each piece, twice, took an executor beyond its memory."""
+    model = bpe.Bpe(FILE)
+    ((cut, table),) = model.encode(["Theragon, <|endoftext|>theragon élan x-y"])
+    assert all(type(table[p]) is bytes for p in cut)
+    ids = b"".join(table[p] for p in cut)
+    assert model.decoded(ids).decode() == model.decode(np.frombuffer(ids, "<u4"))
