@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def collapse_claims(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*[F.col(k) if k != "rel_type" else F.col("relationship_type").alias("rel_type") for k in EDGE_KEY]).agg(F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
 
 
-def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert: chunks are added where unseen, confidence is the higher one; merging again changes nothing."""
-    both = existing.select(*EDGE_KEY, "source_chunk_ids", "confidence").unionByName(new.select(*EDGE_KEY, "source_chunk_ids", "confidence"))
-    return both.groupBy(*EDGE_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
+def merge_edges(existing: DataFrame, *batches: DataFrame) -> DataFrame:
+    """Upsert: chunks are added where unseen, confidence is the higher one; merging again changes nothing.  All batches meet in one shuffle."""
+    every = reduce(DataFrame.unionByName, [x.select(*EDGE_KEY, "source_chunk_ids", "confidence") for x in (existing, *batches)])
+    return every.groupBy(*EDGE_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
 
 
 def merge_nodes(existing: DataFrame, new: DataFrame) -> DataFrame:
