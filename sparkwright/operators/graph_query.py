@@ -15,6 +15,8 @@ from .resolve import look_up
 ONE_HOP = "relationship_type string, neighbor string, neighbor_type string, source_chunk_ids array<string>, outgoing boolean"
 TWO_HOP = "via string, result string, result_type string, source_chunk_ids array<string>"
 PATH = "node_path array<string>, relationship_path array<string>, source_chunk_ids_per_hop array<array<string>>, hops int"
+#: Rows of a frontier up to which it is sent to the edges instead of dealing the edges out.
+SENT = 10_000
 COUNT = "count long, neighbors array<string>"
 QUERY_TYPES = ("one_hop", "two_hop_chain", "path_between", "aggregate_count")
 
@@ -77,10 +79,11 @@ def path_between(edges: DataFrame, start: str, end: str, max_hops: int = 3) -> D
     scratch = Scratch(spark, "path")
     shape = "node string, nodes array<string>, types array<string>, path_edges array<long>, ids array<array<string>>"
     sides = [spark.createDataFrame([(name, [name], [], [], [])], shape) for name in (start, end)]
-    seen, sizes = [s.select("node") for s in sides], [1, 1]
+    seen, sizes, known = [s.select("node") for s in sides], [1, 1], [1, 1]
 
-    def grown(frontier: DataFrame, reached: DataFrame, from_end: bool) -> DataFrame:
-        step = frontier.join(u, frontier["node"] == u["a"]).join(reached.withColumnRenamed("node", "_s"), F.col("b") == F.col("_s"), "left_anti")
+    def grown(frontier: DataFrame, reached: DataFrame, from_end: bool, size: int, past: int) -> DataFrame:
+        sent, before = (F.broadcast(x) if n <= SENT else x for x, n in ((frontier, size), (reached.withColumnRenamed("node", "_s"), past)))
+        step = u.join(sent, frontier["node"] == u["a"]).join(before, F.col("b") == F.col("_s"), "left_anti")
 
         def longer(path: str, piece: str) -> F.Column:
             return F.concat(F.array(piece), path) if from_end else F.concat(path, F.array(piece))
@@ -91,8 +94,9 @@ def path_between(edges: DataFrame, start: str, end: str, max_hops: int = 3) -> D
     try:
         for hop in range(1, max_hops + 1):
             side = 0 if sizes[0] <= sizes[1] else 1
-            sides[side] = scratch.keep(grown(sides[side], seen[side], side == 1), f"frontier{hop}")
+            sides[side] = scratch.keep(grown(sides[side], seen[side], side == 1, sizes[side], known[side]), f"frontier{hop}")
             sizes[side] = sides[side].count()
+            known[side] += sizes[side]
             if not sizes[side]:
                 return none
             seen[side] = seen[side].unionByName(sides[side].select("node"))
