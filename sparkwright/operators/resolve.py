@@ -182,14 +182,15 @@ def canonical(names: DataFrame) -> DataFrame:
 
 def resolve_entities(mentions: DataFrame, threshold: float = THRESHOLD, seeds: DataFrame | None = None, embed=None) -> tuple[DataFrame, DataFrame]:
     """(mentions with canonical_name, registry (entity_type, canonical_name, aliases))."""
-    groups = name_groups(mentions)
+    scratch = Scratch(mentions.sparkSession, "names")
+    groups = scratch.keep(name_groups(mentions), "groups")  # the mentions are read once for the names
 
     @F.pandas_udf("array<double>")
     def default(names: pd.Series) -> pd.Series:
         # letters in threes as words: names that differ little have near vectors
         return names.map(lambda n: embed_text(" ".join(f"  {n} "[i : i + 3].replace(" ", "_") for i in range(len(n) + 1)), 256).tolist())
 
-    vectors = groups.select("entity_type", "norm", (embed or default)(F.col("norm")).alias("embedding"))
+    vectors = scratch.keep(groups.select("entity_type", "norm", (embed or default)(F.col("norm")).alias("embedding")), "vectors")
     edges = similar_pairs(vectors, threshold).select("entity_type", "a", "b")
     if seeds is not None:
         edges = edges.unionByName(seed_edges(groups, seeds))
