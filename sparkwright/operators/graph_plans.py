@@ -20,6 +20,8 @@ from .resolve import look_up
 
 PLAN = "plan_id string, query_type string, entity_names array<string>, relationship_type string, second_relationship_type string, max_hops int"
 HOPS = 3
+#: Relationship types up to which a set of plans is read by type.
+TYPES = 64
 
 
 def one_hop(edges: DataFrame, plans: DataFrame) -> DataFrame:
@@ -29,12 +31,18 @@ def one_hop(edges: DataFrame, plans: DataFrame) -> DataFrame:
     return rows.select("plan_id", F.col("rel_type").alias("relationship_type"), F.col("b").alias("neighbor"), F.col("b_type").alias("neighbor_type"), "source_chunk_ids", "outgoing")
 
 
+def _typed(edges: DataFrame, plans: DataFrame, column: str) -> DataFrame:
+    """The edges of the types that plans name, where these are few: other folders are not read."""
+    wanted = [r[0] for r in plans.select(column).distinct().limit(TYPES + 1).collect()]
+    return edges if len(wanted) > TYPES else edges.filter(F.col("rel_type").isin([t for t in wanted if t is not None]))
+
+
 def two_hop_chain(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """``plans``: (plan_id, name, first, second).  Different chains over two different edges that don't lead back."""
-    u = graph_query.undirected(edges)
-    one = u.join(plans.select("plan_id", F.col("name").alias("a"), F.col("first").alias("rel_type"), F.col("second").alias("_next")), ["a", "rel_type"])
+    one_of, two_of = (graph_query.undirected(_typed(edges, plans, c)) for c in ("first", "second"))
+    one = one_of.join(plans.select("plan_id", F.col("name").alias("a"), F.col("first").alias("rel_type"), F.col("second").alias("_next")), ["a", "rel_type"])
     one = one.select("plan_id", F.col("a").alias("_start"), F.col("_next").alias("rel_type"), F.col("b_type").alias("m_type"), F.col("b").alias("via"), F.col("source_chunk_ids").alias("i1"), F.col("edge_id").alias("e1"))
-    two = u.select("rel_type", F.col("a_type").alias("m_type"), F.col("a").alias("via"), F.col("b").alias("result"), F.col("b_type").alias("result_type"), F.col("source_chunk_ids").alias("i2"), F.col("edge_id").alias("e2"))
+    two = two_of.select("rel_type", F.col("a_type").alias("m_type"), F.col("a").alias("via"), F.col("b").alias("result"), F.col("b_type").alias("result_type"), F.col("source_chunk_ids").alias("i2"), F.col("edge_id").alias("e2"))
     rows = one.join(two, ["m_type", "via", "rel_type"]).filter((F.col("e1") != F.col("e2")) & (F.col("result") != F.col("_start")))
     return rows.select("plan_id", "via", "result", "result_type", F.concat("i1", "i2").alias("source_chunk_ids")).distinct()
 
