@@ -16,7 +16,7 @@ ONE_HOP = "relationship_type string, neighbor string, neighbor_type string, sour
 TWO_HOP = "via string, result string, result_type string, source_chunk_ids array<string>"
 PATH = "node_path array<string>, relationship_path array<string>, source_chunk_ids_per_hop array<array<string>>, hops int"
 #: Rows of a frontier up to which it is sent to the edges instead of dealing the edges out.
-SENT = 10_000
+SENT = 1_000
 COUNT = "count long, neighbors array<string>"
 QUERY_TYPES = ("one_hop", "two_hop_chain", "path_between", "aggregate_count")
 
