@@ -22,9 +22,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwright import schemas
 from sparkwright.ontology import Ontology
-from sparkwright.operators import answers, graph_build, graph_query
-from sparkwright.plans.queries import all_claims
+from sparkwright.operators import answers, graph_query
+from sparkwright.plans.queries import collapsed, typed_claims
 from sparkwright.shipping import ship
 from sparkwright.sources import tables as T
 
@@ -51,18 +52,22 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     """Writes edges, sheets and summary anew; what was read and written."""
     config, ontology = load() | (config or {}), Ontology()
     wanted = [ontology.check_type(t) for t in config["relationship_types"]]
-    seen, kept, stated = Observation("claims"), Observation("edges"), Observation("sheets")
+    kept, stated = Observation("edges"), Observation("sheets")
 
-    claims = all_claims(spark, tables).observe(seen, F.count(F.lit(1)).alias("rows"))
-    edges = graph_build.collapse_claims(claims.filter(F.col("relationship_type").isin(wanted))).filter(F.col("confidence") >= config["least_confidence"])
+    claims = typed_claims(spark, tables)
+    asked = {types: rows for types, rows in claims.items() if types[1] in wanted}
+    seen = {types: Observation(f"claims {types[1]}") for types in asked}
+    edges = collapsed({types: rows.observe(seen[types], F.count(F.lit(1)).alias("rows")) for types, rows in asked.items()}) if asked else spark.createDataFrame([], schemas.EDGE)
+    edges = edges.filter(F.col("confidence") >= config["least_confidence"])
     T.write_edges(edges.observe(kept, F.count(F.lit(1)).alias("rows")), f"{out}/edges")
 
     made = sheets(T.edges(spark, f"{out}/edges"), ontology).observe(stated, F.count(F.lit(1)).alias("rows"))
-    made.sortWithinPartitions("relationship_type", "entity").write.mode("overwrite").partitionBy("relationship_type").parquet(f"{out}/sheets")
+    with T.in_one_pass(spark):
+        made.write.mode("overwrite").partitionBy("relationship_type").parquet(f"{out}/sheets")
     counts = read(spark, out).groupBy("entity_type", "entity", "relationship_type").agg(F.count_distinct("neighbor").alias("neighbors"), F.count(F.lit(1)).alias("statements"))
     counts.write.mode("overwrite").parquet(f"{out}/summary")
 
-    told = {"claims_read": seen.get["rows"], "edges_written": kept.get["rows"], "statements_written": stated.get["rows"]}
+    told = {"claims_read": sum(seen[t].get["rows"] if t in seen else rows.count() for t, rows in claims.items()), "edges_written": kept.get["rows"], "statements_written": stated.get["rows"]}
     log.info("%s to %s: %s", tables, out, json.dumps(told))
     return told
 

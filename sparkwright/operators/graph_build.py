@@ -39,6 +39,15 @@ def collapse_claims(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*[F.col(k) if k != "rel_type" else F.col("relationship_type").alias("rel_type") for k in EDGE_KEY]).agg(F.array_sort(F.collect_set("source_chunk_id")).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
 
 
+def collapse_typed(claims: DataFrame, src_type: str, rel_type: str, dst_type: str) -> DataFrame:
+    """The edges of claims (src, dst, source_chunk_id, confidence) of one type.
+
+    They are dealt and sorted by their ends' names alone; :func:`~sparkwright.sources.tables.in_one_pass` folds the runs as they come."""
+    rows = claims.select("src", "dst", "source_chunk_id", "confidence").repartition("src", "dst").sortWithinPartitions("src", "dst")
+    edges = rows.groupBy("src", "dst").agg(F.sort_array(F.collect_set("source_chunk_id")).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
+    return edges.select(F.lit(src_type).alias("src_type"), "src", F.lit(rel_type).alias("rel_type"), F.lit(dst_type).alias("dst_type"), "dst", "source_chunk_ids", "confidence")
+
+
 def merge_edges(existing: DataFrame, *batches: DataFrame) -> DataFrame:
     """Upsert: chunks are added where unseen, confidence is the higher one; merging again changes nothing.  All batches meet in one shuffle."""
     every = reduce(DataFrame.unionByName, [x.select(*EDGE_KEY, "source_chunk_ids", "confidence") for x in (existing, *batches)])

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkwright.operators import graph_build, graph_plans, graph_query, resolve, validate
+from sparkwright.sources import tables
 
 EDGE = "src_type string, src string, rel_type string, dst_type string, dst string, source_chunk_ids array<string>, confidence double"
 
@@ -54,3 +55,21 @@ def test_no_table_of_names_is_held(spark):
     kept = validate.drop_dangling(entities, claims)
     assert [tuple(r)[:3] for r in kept.select("source_chunk_id", "source_entity", "target_entity").collect()] == [("1", "a", "b")]
     assert "Aggregate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_of_a_type_fold_in_one_pass(spark, tmp_path):
+    """The same edges as by aggregation, but without hash tables of sets and without a sort for the writer; settings are as before."""
+    rows = [("a", "b", "2", 0.1), ("a", "b", "1", 0.4), ("a", "b", "2", 0.3), ("a", None, "3", None), ("b", "a", None, 0.2), ("a", None, "4", 0.5)]
+    claims = spark.createDataFrame(rows, "src string, dst string, source_chunk_id string, confidence double")
+    edges = graph_build.collapse_typed(claims, "Company", "SUPPLIES", "Person")
+    want = graph_build.collapse_claims(claims.withColumns({"src_type": F.lit("Company"), "relationship_type": F.lit("SUPPLIES"), "dst_type": F.lit("Person")}))
+    told = lambda frame: sorted(map(str, frame.select(want.columns).collect()))
+    keys = ("spark.sql.execution.replaceHashWithSortAgg", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(k, None) for k in keys]
+    with tables.in_one_pass(spark):
+        plan = graph_build.collapse_typed(claims, "Company", "SUPPLIES", "Person")._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and plan.count("SortAggregate") == 1 and plan.count("Exchange") == 1
+    assert [spark.conf.get(k, None) for k in keys] == before
+    tables.write_edges(edges.unionByName(edges.withColumn("rel_type", F.lit("ACQUIRED"))), f"{tmp_path}/edges")
+    assert told(tables.edges(spark, f"{tmp_path}/edges").filter("rel_type = 'SUPPLIES'")) == told(edges) == told(want)
+    assert tables.edges(spark, f"{tmp_path}/edges").count() == 2 * len(told(want))
