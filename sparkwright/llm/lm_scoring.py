@@ -48,7 +48,8 @@ SIZES = (1 << 18, 1 << 19, 1 << 21, 1 << 21)
 #: Different tokens that a task keeps at hand.
 KEPT = 2_000_000
 UNIT_BYTES = 2 << 20  # text whose equal tokens are spelled once
-SPELL = 16_000  # symbols (about) whose bits are held at a time: they stay in the cache
+SHARE = 1 << 17  # symbols (about) of which those with equal bits are told once
+SPELL = 16_000  # symbols whose bits are held at a time: they stay in the cache
 BASES = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 SLOTS = sum(SIZES)
 #: Cells (a slot's zeros and ones are two) that are summed together.
@@ -230,6 +231,32 @@ class Units:
         word = np.concatenate([self.different[self.word], np.zeros(self.count - len(self.word), np.uint64)])
         return mix64(word ^ ((self.before.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
 
+    def alike(self) -> np.ndarray:
+        """An order of the words' units in which those of a group that begin alike lie together."""
+        words, last = len(self.start), max(len(self.raw) - 1, 0)
+        key = (self.before[:words] // CLASSES).astype(np.uint64)
+        for i in range(7 if words else 0):
+            key = (key << np.uint64(8)) | np.where(self.start + i < self.stop, self.raw[np.minimum(self.start + i, last)], 0).astype(np.uint64)
+        return np.argsort(key, kind="stable")
+
+    def shared(self, step: int = 1):
+        """Stretches (symbols, place, before, unit of each, order, first of each run): symbols are equal to those of their run, and so are their bits.
+
+        Bits are told by the beginning of the word with the symbol itself, by the group, and up to the third symbol by the class of the word before."""
+        every = list(self.stretches(SHARE))
+        for lo, hi in (every[i] for k in range(step) for i in range(k, len(every), step)):
+            symbols, unit, place = self.symbols(lo, hi)
+            before = self.before[lo:hi][unit]
+            sums, down = prefix_hash((symbols & 255).astype(np.uint8))
+            first = np.arange(len(symbols)) - place
+            state = np.where(place < 3, before, before | (CLASSES - 1)) * 2 + (place < 3)
+            key = mix64((sums[1:] - sums[first]) * down[first] ^ ((state * SYMBOLS + symbols + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            low = np.uint64((1 << len(key).bit_length()) - 1)  # the key's upper bits and where it is: sorted as one number
+            order = (np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+            key = key[order]
+            runs = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            yield lo, hi, symbols, place, before, unit, order, runs
+
     def pick(self, some: np.ndarray) -> "Spelled":
         """Some of the words' units, and all of the ends'."""
         words = len(self.start)
@@ -311,26 +338,27 @@ class Pool:
             size = np.concatenate([p[1] for p in self.parts])
             stop = np.cumsum(size)
             units = Spelled(np.concatenate([p[0] for p in self.parts]), stop - size, stop, np.concatenate([*(p[2] for p in self.parts), np.arange(CLASSES * GROUPS)]))
-            self.take(units, np.concatenate([self.counts[: self.size], self.ends]))
+            order = units.alike()
+            self.take(units.pick(order), np.concatenate([self.counts[: self.size][order], self.ends]))
             self.ends[:] = 0
         self.clear()
 
 
-def context_hashes(symbols: np.ndarray, place: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of each symbol's contexts."""
-    n = len(symbols)
+def context_hashes(symbols: np.ndarray, place: np.ndarray, before: np.ndarray, some: np.ndarray | None = None) -> list[np.ndarray]:
+    """A 32-bit hash of the contexts of each symbol, or of some of them."""
+    some = np.arange(len(symbols)) if some is None else some
+    sums, down = prefix_hash((symbols & 255).astype(np.uint8))
+    place, before = place[some], before[some]
     started = np.uint64(400) + (before % CLASSES).astype(np.uint64)
     group = (before // CLASSES).astype(np.uint64) << np.uint64(50)
-    chain, out = np.zeros(n, np.uint64), []
+    chain, out = np.zeros(len(some), np.uint64), []
     for k in range(1, 4):
-        back = np.zeros(n, np.uint64)
-        back[k:] = symbols[:-k].astype(np.uint64) + np.uint64(1)
+        back = symbols[np.maximum(some - k, 0)].astype(np.uint64) + np.uint64(1)
         back = np.where(place >= k, back, np.where(place == k - 1, started, np.uint64(0)))
         chain = chain * np.uint64(0x9E3779B97F4A7C15) + back + np.uint64(k)
     out += [mix64(np.where(place == 0, started, np.uint64(0)) ^ group), mix64(chain)]
-    sums, down = prefix_hash((symbols & 255).astype(np.uint8))
-    first = np.arange(n) - place
-    whole = (sums[:-1] - sums[first]) * down[first]
+    first = some - place
+    whole = (sums[some] - sums[first]) * down[first]
     whole = np.where(place == 0, np.uint64(400), whole) ^ (np.minimum(place, 60).astype(np.uint64) << np.uint64(57))
     out += [mix64(whole ^ np.uint64(0xABCDEF)), mix64(whole ^ group ^ np.uint64(0x123456789))]
     return [(h >> np.uint64(32)).astype(np.uint32) for h in out]
@@ -355,6 +383,16 @@ class Bits:
         return mixed.astype(np.int64)
 
 
+def weighed(code: Code, units: Units, often: np.ndarray):
+    """Different bits (bits, hashes of their contexts, how often each bit is there), a few at a time."""
+    for lo, hi, symbols, place, before, unit, order, runs in units.shared(8):
+        rows, hashes = code.rows(symbols, place), context_hashes(symbols, place, before, told := order[runs])
+        times = np.add.reduceat(often[lo:hi][unit[order]].astype(float), runs)
+        for at in range(0, len(told), SPELL):
+            bits = Bits(code, rows[told[at : at + SPELL]])
+            yield bits, [h[at : at + SPELL] for h in hashes], np.repeat(times[at : at + SPELL], bits.size)
+
+
 def stretch(p):
     return np.log(p / (1 - p))
 
@@ -417,6 +455,7 @@ class Model:
         keys, words = units.keys(), len(units.start)
         there, values = kept.find(keys)
         new = np.flatnonzero(~there[:words])
+        new = new[units.pick(new).alike()]
         fresh = self.log10_units(units.pick(new))
         values[new], values[words:] = fresh[: len(new)], fresh[len(new) :]
         kept.add(keys[new], values[new])
@@ -425,16 +464,18 @@ class Model:
     def log10_units(self, units: Units) -> np.ndarray:
         """log10 probability of each unit."""
         total = np.zeros(units.count)
-        for lo, hi in units.stretches(SPELL):
-            symbols, unit, place = units.symbols(lo, hi)
-            bits = Bits(self.code, self.code.rows(symbols, place))
-            slots = [bits.slots(i, h) for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit]))]
-            gate = self.gate([self.level[i].take(s) if i else None for i, s in enumerate(slots)])
-            x = self.refined(self.mix([t.take(s) for t, s in zip(self.logit, slots, strict=True)], gate), gate)
-            x = np.where(bits.bit == 1, -x, x)  # -log p(bit) = log(1 + e^x)
-            cost = np.log1p(np.exp(-np.abs(x))) + np.maximum(x, 0)
-            first = np.flatnonzero(place == 0)
-            total[lo:hi] = np.add.reduceat(cost, (np.cumsum(bits.size) - bits.size)[first])
+        for lo, hi, symbols, place, before, _, order, runs in units.shared():
+            rows, hashes, parts = self.code.rows(symbols, place), context_hashes(symbols, place, before, told := order[runs]), []
+            for at in range(0, len(told), SPELL):
+                bits = Bits(self.code, rows[told[at : at + SPELL]])
+                slots = [bits.slots(i, h[at : at + SPELL]) for i, h in enumerate(hashes)]
+                gate = self.gate([self.level[i].take(s) if i else None for i, s in enumerate(slots)])
+                x = self.refined(self.mix([t.take(s) for t, s in zip(self.logit, slots, strict=True)], gate), gate)
+                x = np.where(bits.bit == 1, -x, x)  # -log p(bit) = log(1 + e^x)
+                parts.append(np.add.reduceat(np.log1p(np.exp(-np.abs(x))) + np.maximum(x, 0), np.cumsum(bits.size) - bits.size, dtype=float))
+            cost = np.empty(len(symbols))
+            cost[order] = np.repeat(np.concatenate(parts), np.diff(np.append(runs, len(order))))
+            total[lo:hi] = np.add.reduceat(cost, np.flatnonzero(place == 0))
         return total / -np.log(10)
 
 
@@ -453,12 +494,10 @@ class Learner:
 
     def take(self, units: Units, often: np.ndarray) -> None:
         """A Newton step of every gate's weights for each stretch, with the curvature summed so far, then the table's sums."""
-        for lo, hi in units.stretches(SPELL):
-            symbols, unit, place = units.symbols(lo, hi)
-            bits = Bits(self.code, self.code.rows(symbols, place))
-            bit, weight = bits.bit.astype(np.float32), np.repeat(often[lo:hi][unit].astype(np.float32), bits.size)
+        for bits, hashes, weight in weighed(self.code, units, often):
+            bit, weight = bits.bit.astype(np.float32), weight.astype(np.float32)
             x, levels = np.empty((len(SIZES) + 1, len(weight)), np.float32), []
-            for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])):
+            for i, h in enumerate(hashes):
                 slot = bits.slots(i, h)
                 slot += BASES[i]
                 both = self.cells.take(slot)
@@ -526,11 +565,8 @@ def learnt(train: DataFrame, code: Code, marks: tuple[np.ndarray, np.ndarray], z
 
 def add_counts(code: Code, units: Units, often: np.ndarray, seen: list[np.ndarray]) -> None:
     """Adds the units' bits to each context's table of zeros and ones."""
-    for lo, hi in units.stretches(SPELL):
-        symbols, unit, place = units.symbols(lo, hi)
-        bits = Bits(code, code.rows(symbols, place))
-        weight = np.repeat(often[lo:hi][unit].astype(np.float64), bits.size)
-        for i, h in enumerate(context_hashes(symbols, place, units.before[lo:hi][unit])):
+    for bits, hashes, weight in weighed(code, units, often):
+        for i, h in enumerate(hashes):
             slot = bits.slots(i, h)
             slot *= 2
             slot += bits.bit

@@ -112,3 +112,29 @@ def test_all_training_documents_are_learnt_from(make):
         symbols, unit, place = u.symbols()
         want += int((code.size[code.rows(symbols, place)] * np.bincount(u.unit, minlength=u.count)[unit]).sum())
     assert round(float(sums[-2 * lm.GATES * lm.BINS : -lm.GATES * lm.BINS].sum())) == want
+
+
+def test_equal_bits_are_told_once(monkeypatch):
+    """Words that begin alike share their bits: as many counts and the same scores as when each word is spelled, from far fewer bits."""
+    text = b"the then there therefore them these thesis \xc3\xa9t\xc3\xa9 \x00 \x00\x01 the. then, there! " + b"x" * 300 + b" " + b" ".join(b"word%d word%d. word%d," % (i % 50, i % 50, i % 50) for i in range(400))
+    raw, off = np.frombuffer(text + b"the", np.uint8), np.array([0, 40, 40, len(text), len(text) + 3])
+    marks = (np.sort(lm.span_hash(raw, np.array([0]), np.array([3]))), np.array([3]))
+    units = lm.Units(raw, off, marks)
+    often = np.bincount(units.unit, minlength=units.count)
+    code = lm.Code(np.random.default_rng(1).integers(0, 9, (lm.TERM + 1, lm.SYMBOLS)))
+    symbols, unit, place = units.symbols()
+    bits = lm.Bits(code, code.rows(symbols, place))
+    every = np.repeat(often[unit], bits.size)
+    want = [np.bincount(2 * bits.slots(i, h) + bits.bit, weights=every, minlength=2 * lm.SIZES[i]) for i, h in enumerate(lm.context_hashes(symbols, place, units.before[unit]))]
+    seen, told = [np.zeros(2 * n) for n in lm.SIZES], 0
+    lm.add_counts(code, units, often, seen)
+    assert all((a == b).all() for a, b in zip(seen, want, strict=True))
+    told = sum(len(w) for _, _, w in lm.weighed(code, units, often))
+    assert told < 0.7 * len(bits.bit)
+    zeros, ones = (np.concatenate([t[k::2] for t in seen]).astype(np.float32) for k in (0, 1))
+    model = lm.Model(code, zeros, ones, marks)
+    together = model.log10_units(units)
+    monkeypatch.setattr(lm, "SHARE", 1)  # each unit for itself
+    assert np.allclose(together, model.log10_units(units))
+    order = units.alike()
+    assert sorted(order) == list(range(len(units.start)))
