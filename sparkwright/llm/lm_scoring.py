@@ -178,6 +178,40 @@ def word_groups(train: DataFrame, words: np.ndarray, groups: int = GROUPS - 1, r
     return words, of + 1
 
 
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts 64-bit hashes, equal ones as they come: their upper bits are sorted with their places as one number."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    sorted_ = keys[order]
+    return order if (sorted_[1:] >= sorted_[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted different hashes, which of them each is, how often each is there)."""
+    order = ranked(keys)
+    runs = np.append(True, keys[order[1:]] != keys[order[:-1]])[: len(keys)]
+    at = np.flatnonzero(runs)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(runs) - 1
+    return keys[order[at]], inverse, np.diff(np.append(at, len(keys)))
+
+
+def numbered_small(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each different value is first, which of the sorted different values each is) of values below a limit."""
+    if limit > 1 << 25:  # one long text
+        _, first, inverse = np.unique(values, return_index=True, return_inverse=True)
+        return first, inverse
+    there = np.zeros(limit, bool)
+    there[values] = True
+    different = np.flatnonzero(there)
+    number = np.empty(limit, np.int32)
+    number[different] = np.arange(len(different))
+    inverse = number[values].astype(np.int64)
+    first = np.empty(len(different), np.int64)
+    first[inverse[::-1]] = np.arange(len(values))[::-1]
+    return first, inverse
+
+
 class Units:
     """The different tokens of a block (word, class of the word before, group of the last frequent word): symbols, counts, and each token's unit."""
 
@@ -188,7 +222,7 @@ class Units:
         self.words = np.bincount(doc, minlength=n)
         self.doc = doc
         self.key = span_hash(raw, starts, ends)
-        different, inverse, times = np.unique(self.key, return_inverse=True, return_counts=True)
+        different, inverse, times = numbered(self.key)
         self.different, self.inverse, self.times = different, inverse, times
         last = _CLASS[raw[ends - 1]] if len(ends) else np.empty(0, np.int64)
         place = head_places(marks[0], different)
@@ -203,7 +237,7 @@ class Units:
         final[some] = state[(first_word + self.words - 1)[some]]
         ends_of = CLASSES * GROUPS
         mixed = inverse * np.int64(ends_of) + before
-        _, first, unit = np.unique(mixed, return_index=True, return_inverse=True)
+        first, unit = numbered_small(mixed, len(different) * ends_of)
         self.word = inverse[first]
         self.start, self.stop, self.before = starts[first], ends[first], np.concatenate([before[first], np.arange(ends_of)])
         self.unit = np.concatenate([unit, len(first) + final])  # the texts' ends are the last units
@@ -289,11 +323,12 @@ class Kept:
         """(whether each is there, its value)."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        order, at = ranked(keys), np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)  # in order it stays in the cache
         return self.keys[at] == keys, self.values[at]
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
+        order = ranked(keys)
         if len(self.keys) + len(keys) > KEPT:
             self.keys, self.values = keys[order], values[order]
             return
@@ -693,7 +728,7 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
                 raw = lowered(raw)
                 starts, ends, doc = word_spans(raw, off)
                 keys = span_hash(raw, starts, ends)
-                different, inverse = np.unique(keys, return_inverse=True)
+                different, inverse, _ = numbered(keys)
                 rare = (head_places(head_, different) < 0)[inverse]
                 pair, n = np.unique(doc[rare] * np.int64(len(different)) + inverse[rare], return_counts=True)
                 d, k = pair // max(len(different), 1), pair % max(len(different), 1)

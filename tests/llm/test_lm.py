@@ -138,3 +138,13 @@ def test_equal_bits_are_told_once(monkeypatch):
     assert np.allclose(together, model.log10_units(units))
     order = units.alike()
     assert sorted(order) == list(range(len(units.start)))
+
+
+def test_hashes_are_numbered_as_by_sorting():
+    rng = np.random.default_rng(5)
+    for keys in (np.empty(0, np.uint64), rng.integers(0, 1 << 62, 5000).astype(np.uint64)[rng.integers(0, 5000, 20_000)], rng.integers(0, 9, 500).astype(np.uint64)):
+        assert (lm.ranked(keys) == np.argsort(keys, kind="stable")).all()  # small numbers differ in their lower bits alone
+        assert all((a == b).all() for a, b in zip(lm.numbered(keys), np.unique(keys, return_inverse=True, return_counts=True), strict=True))
+    small = rng.integers(0, 300, 1000)
+    for limit in (300, 1 << 26):
+        assert all((a == b).all() for a, b in zip(lm.numbered_small(small, limit), np.unique(small, return_index=True, return_inverse=True)[1:], strict=True))
