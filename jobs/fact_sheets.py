@@ -19,7 +19,7 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright import schemas
@@ -32,6 +32,8 @@ from sparkwright.sources import tables as T
 log = logging.getLogger("jobs.fact_sheets")
 CONFIG = Path(__file__).with_suffix(".json")
 SHEET = "entity_type string, entity string, neighbor string, text string, cited string, chunks int, confidence double, relationship_type string"
+#: Pairs of names up to which they are sent to the sheets instead of dealing the sheets out.
+SENT = 10_000
 SUMMARY = "entity_type string, entity string, relationship_type string, neighbors long, statements long"
 
 
@@ -48,6 +50,24 @@ def sheets(edges: DataFrame, ontology: Ontology) -> DataFrame:
     return told.select("entity_type", "entity", "neighbor", text.alias("text"), answers.reference(F.col("source_chunk_ids"), F.lit(0)).alias("cited"), F.size("source_chunk_ids").alias("chunks"), "confidence", "relationship_type")
 
 
+def summarised(spark: SparkSession, out: str) -> DataFrame:
+    """Neighbours and statements of each entity and type, from the edges and sheets that are written.
+
+    A neighbour is told twice only where two names have several edges of a type.  These are found by a hash of
+    the pair, and only their names are told apart; all other rows are counted as they are read."""
+    def pair(rel_type: str, *names: str) -> Column:
+        return F.xxhash64(rel_type, F.least(*names), F.greatest(*names)).alias("pair")
+
+    again = T.edges(spark, f"{out}/edges").groupBy(pair("rel_type", "src", "dst")).count().filter("count > 1").select("pair")
+    few = again.limit(SENT + 1).collect()
+    if len(few) <= SENT:
+        again = F.broadcast(spark.createDataFrame(few, "pair long"))
+    rows = read(spark, out).select("entity_type", "entity", "relationship_type", "neighbor", pair("relationship_type", "entity", "neighbor"))
+    rows = rows.join(again.withColumn("twice", F.lit(True)), "pair", "left")
+    once, others = F.count(F.when(F.col("twice").isNull(), F.col("neighbor"))), F.count_distinct(F.when(F.col("twice"), F.col("neighbor")))
+    return rows.groupBy("entity_type", "entity", "relationship_type").agg((once + others).alias("neighbors"), F.count(F.lit(1)).alias("statements"))
+
+
 def run(spark: SparkSession, tables: str, out: str, config: dict | None = None) -> dict:
     """Writes edges, sheets and summary anew; what was read and written."""
     config, ontology = load() | (config or {}), Ontology()
@@ -64,8 +84,7 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None)
     made = sheets(T.edges(spark, f"{out}/edges"), ontology).observe(stated, F.count(F.lit(1)).alias("rows"))
     with T.in_one_pass(spark):
         made.write.mode("overwrite").partitionBy("relationship_type").parquet(f"{out}/sheets")
-    counts = read(spark, out).groupBy("entity_type", "entity", "relationship_type").agg(F.count_distinct("neighbor").alias("neighbors"), F.count(F.lit(1)).alias("statements"))
-    counts.write.mode("overwrite").parquet(f"{out}/summary")
+    summarised(spark, out).write.mode("overwrite").parquet(f"{out}/summary")
 
     told = {"claims_read": sum(seen[t].get["rows"] if t in seen else rows.count() for t, rows in claims.items()), "edges_written": kept.get["rows"], "statements_written": stated.get["rows"]}
     log.info("%s to %s: %s", tables, out, json.dumps(told))

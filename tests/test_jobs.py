@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import fact_sheets, ingest_chunks
 
@@ -115,3 +116,17 @@ def test_nothing_of_the_other_package():
     for path in [*(root / "jobs").glob("*.py"), Path(__file__)]:
         lines = [x for x in path.read_text().splitlines() if x.startswith(("import ", "from "))]
         assert not any("llm" in x or "corpus_pipeline" in x for x in lines)
+
+
+def test_neighbours_of_several_edges_count_once(spark, tmp_path, monkeypatch):
+    """Edges both ways, of other types' namesakes, loops and a missing name: as count_distinct has it, with pairs sent or dealt."""
+    ends = [("C", "a", "C", "b"), ("C", "b", "C", "a"), ("C", "a", "P", "b"), ("C", "a", "C", "a"), ("C", "a", "P", "a"), ("C", "a", "C", "c"), ("C", "d", "C", None)]
+    edges = [(st, s, r, dt, d, ["1"], 0.5) for st, s, dt, d in ends for r in ("SUPPLIES", "ACQUIRED")] + [("C", "a", "OWNS", "C", "b", ["2"], 0.5)]
+    out = str(tmp_path)
+    fact_sheets.T.write_edges(spark.createDataFrame(edges, "src_type string, src string, rel_type string, dst_type string, dst string, source_chunk_ids array<string>, confidence double"), f"{out}/edges")
+    fact_sheets.sheets(fact_sheets.T.edges(spark, f"{out}/edges"), fact_sheets.Ontology()).write.partitionBy("relationship_type").parquet(f"{out}/sheets")
+    key = ["entity_type", "entity", "relationship_type"]
+    want = sorted(map(str, fact_sheets.read(spark, out).groupBy(*key).agg(F.count_distinct("neighbor").alias("neighbors"), F.count(F.lit(1)).alias("statements")).collect()))
+    assert any("neighbors=0" in w for w in want) and sorted(map(str, fact_sheets.summarised(spark, out).collect())) == want
+    monkeypatch.setattr(fact_sheets, "SENT", 0)
+    assert sorted(map(str, fact_sheets.summarised(spark, out).collect())) == want
